@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, mixing
+from pyspark.sql import functions as F
+
+from . import exact_dedup, host_rules, language, mixing, near_dedup, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = language.fold(F.col("doc_id"), 3) == 1
+    model = quality.learn(docs, labels.where(~held_out))
+    out = quality.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold(F.col("doc_id"), 5) == 0
+    model = language.learn(docs.where(~held_out), "text", "lang", "doc_id")
+    out = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,7 +42,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("row.doc_id", "size", "source_size", "target", "size * copies AS taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_host_rules, op5_exact_dedup, op7_mixing)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op3_host_rules, op4_language, op5_exact_dedup, op7_mixing, op8_substring_dedup, op9_near_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -69,4 +95,24 @@ c AS (SELECT d.*, source_size, target, each_, CAST(sum(each_) OVER (PARTITION BY
         + ('0x' || substr(md5('mix' || d.src), 1, 8))::BIGINT % 16777216 AS fin FROM d JOIN e USING (src))
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken, copies
 FROM (SELECT *, (fin // 16777216) - ((fin - each_) // 16777216) AS copies FROM c)""",
+    "op8_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM rep),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS k FROM (FROM pos ANTI JOIN cov USING (doc_id, p)) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+    "op9_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.c + ny.c - i)),
+both_ AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) m USING (doc_id)""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +34,28 @@ def clear_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; results that were not written yet become unreadable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docweave-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of one bitmap of Spark's bitmap functions, and the most bitmaps (4 KB each) that a pre-filter broadcasts.
+BITMAP_BITS, MOST_BITMAPS = 32768, 4096
+
+
+def prefilter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Drop most rows whose long ``key`` is not in the one-column table ``wanted``, before a join that would shuffle them.
+
+    A membership bitmap of ``wanted`` is broadcast; it has 16 bits for each value up to MOST_BITMAPS * 4 KB = 16 MB, its proven
+    bound. Values can share a bit, so that the join must still follow; beyond the bound more rows pass and results stay the same.
+    """
+    (column,) = wanted.columns
+    n = min(MOST_BITMAPS, max(1, -(-wanted.count() * 16 // BITMAP_BITS)))
+
+    def place(c: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(c, F.lit("bitmap"))
+        return F.pmod(h, F.lit(n)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(BITMAP_BITS)).cast("int")
+
+    part, bit = place(F.col(column).cast("long"))
+    maps = wanted.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_map"))
+    part, bit = place(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumns({"_part": part, "_bit": bit}).join(F.broadcast(maps), "_part")
+    return found.where(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
