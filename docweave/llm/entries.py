@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, host_rules, language, mixing, near_dedup, quality, substring_dedup
+from . import exact_dedup, extraction, host_rules, language, mixing, near_dedup, quality, sentencepieces, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+#: What the edits of the token-count query replace: addresses of e-mail, and runs of four digits or more.
+PERSONAL, PLACEHOLDER = r"[\w.+-]++@[\w-]+(?:\.[\w-]+)+|\d{4,}", "<redacted>"
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.edits_for(table(spark, sf_dir, "documents").select("doc_id", "text"), PERSONAL, PLACEHOLDER, needs="@0123456789")
+    return token_counts.count_edited(docs, token_counts.ranks_of(), keep=["doc_id"])
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.learn(pages), keep=["page_id", "url"])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.selectExpr("row.doc_id", "size", "source_size", "target", "size * copies AS taken", "copies")
@@ -50,7 +64,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_host_rules, op4_language, op5_exact_dedup, op7_mixing, op8_substring_dedup, op9_near_dedup)}
+def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepieces.load(), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_host_rules, op4_language, op5_exact_dedup, op6_extraction, op7_mixing, op8_substring_dedup, op9_near_dedup, op10_sentencepieces)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

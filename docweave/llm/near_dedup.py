@@ -9,8 +9,8 @@ No group is gathered, and no bucket is capped:
 * a bucket of up to ``small`` nodes proposes all its pairs; a larger one proposes each node with two centres;
 * larger buckets whose nodes are then still in different components are compared exactly and completely, in blocks of
   ``block`` x ``block`` nodes, except inside the largest component, where no test can change the result.
-Proposals below an estimated similarity of ``threshold - 0.15`` (4.5 standard deviations) are dropped. A pair at the
-threshold is missed with a probability below 1e-5; every link is confirmed on full sets.
+Bands have as many rows as keep the chance to miss a pair at the threshold below 1e-6. Proposals below an estimated similarity
+of ``threshold - 0.15`` (over 4 standard deviations) are dropped; every link is confirmed on full sets.
 
 Defined cases: null and empty texts and texts without words have the empty set and are linked with nothing; fewer than
 ``shingle`` words form one shingle; repeated rows share a node; the component of rows that all lack an id is null; an empty
@@ -29,11 +29,15 @@ from .components import connected
 from .staging import prefilter, staged
 from .words import Words, mix, pieces, windows
 
-BANDS, ROWS = 24, 5
-COORDS = BANDS * ROWS
+COORDS = 120
 _STEP = 0x9E3779B1  # odd, so that its multiples are distinct shifts
 
 
+def band_rows(percent: int) -> int:
+    """Rows of a band: the most (of the divisors of COORDS up to 6) that miss a pair at the threshold with a chance below 1e-6."""
+    return max([1, *(r for r in range(2, 7) if (1 - (percent / 100) ** r) ** (COORDS // r) < 1e-6)])
+
+
 def shingle_sets(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and the n + 1 offsets of the texts."""
     w = Words(text, lower=True)
@@ -87,11 +91,14 @@ def signatures(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (hash of the whole set, null if empty), sig (a byte of each coordinate), bands (their keys)."""
 
+    height = band_rows(percent)
+    n_bands = COORDS // height
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(BANDS, dtype=np.uint64))
+        salt = mix(np.arange(n_bands, dtype=np.uint64))
         for batch in batches:
             for b in pieces(batch, "text"):
                 keys, first = shingle_sets(b.column(1), shingle)
@@ -99,13 +106,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 full, sig = np.flatnonzero(n), signatures(keys, first)
                 node = node_ids(keys, first)
                 band = np.repeat(salt[None], len(full), 0)
-                for r in range(ROWS):
-                    band = mix(band ^ sig[:, r::ROWS].astype(np.uint64))
+                for r in range(height):
+                    band = mix(band ^ sig[:, r::height].astype(np.uint64))
                 rows = np.full(b.num_rows, -1)
                 rows[full] = np.arange(len(full))
                 at = pa.array(rows, mask=rows < 0)
                 bytes_ = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * n_bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), bytes_.take(at), lists.take(at)], ["doc_id", "n_shingles", "node", "sig", "bands"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, sig binary, bands array<long>")
@@ -209,7 +216,7 @@ def blocked_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percen
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80, small: int = 32, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links have 100 * intersection >= percent * union."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = staged(sketches(rows, shingle), "sketches")
+    sketch = staged(sketches(rows, shingle, percent), "sketches")
     filled = sketch.where("node is not null")
     nodes = staged(filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
 
