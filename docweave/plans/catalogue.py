@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from . import text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (text,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
 
 
 def flagship(spark, sf_dir):
