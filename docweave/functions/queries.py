@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .common import SPACE, is_blank, trim_all
+from .common import SPACE, is_blank, let, trim_all
 
 #: Query types in order of precedence, and the phrases that speak for each.
 KEYWORDS = {
@@ -37,9 +37,8 @@ def query_type(text: Column) -> Column:
     """The type with most of its phrases in the text; the first of equals, and of none."""
     low = F.lower(text)
     scores = [reduce(lambda a, b: a + b, [F.contains(low, F.lit(k)).cast("int") for k in words]) for words in KEYWORDS.values()]
-    best = F.greatest(*scores)
-    out = reduce(lambda c, x: c.when(x[1] == best, x[0]), list(zip(TYPES, scores))[1:], F.when(is_blank(text) | (scores[0] == best), TYPES[0]))
-    return out.otherwise(TYPES[0])
+    best = let(F.array(*scores), lambda s: F.element_at(F.array(*map(F.lit, TYPES)), F.array_position(s, F.array_max(s)).cast("int")))
+    return F.when(is_blank(text), TYPES[0]).otherwise(best)
 
 
 def reply_type(reply: Column) -> Column:

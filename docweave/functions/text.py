@@ -12,8 +12,8 @@ from .common import SPACE, let, trim_all
 
 #: Characters that normalisation replaces, and what replaces each.
 CHARACTERS = {
-    " ": " ", " ": " ", " ": " ", " ": " ", "​": " ",
-    "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-",
+    "\u00a0": " ", "\u2003": " ", "\u2002": " ", "\u2009": " ", "\u200b": " ",
+    "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-",
 }
 
 

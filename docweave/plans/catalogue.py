@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import text
+from . import retrieval, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text,):
+for _part in (text, retrieval):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 

@@ -21,7 +21,7 @@ ENGLISH = cleaning.Rules(
     repeated=(2, 30),
 )
 #: What queries put before a document's text, as the given texts hold no such characters.
-FANCY = "“Quote” ‘q’ – a—b c d e f​g é "
+FANCY = "\u201cQuote\u201d \u2018q\u2019 \u2013 a\u2014b\u00a0c\u2003d\u2002e\u2009f\u200bg e\u0301 "
 FORM = "Name: _____ \n__________\n12/03/2024 Signature ____ Approved:yes ,then .And\tTab  x   \n\n\n\nEnd"
 
 
