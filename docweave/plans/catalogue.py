@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import retrieval, text
+from . import answers, retrieval, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text, retrieval):
+for _part in (text, retrieval, answers):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
