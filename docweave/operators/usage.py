@@ -33,7 +33,7 @@ def search_audit(log: DataFrame, user: int | None = None, action: str | None = N
 
 def shape_audit(rows: DataFrame, details: list[str]) -> DataFrame:
     """Audit rows with action and resource cut to their columns' widths, details as JSON, and the duration in ms of started_at and ended_at."""
-    ms = F.unix_millis("ended_at") - F.unix_millis("started_at")
+    ms = F.unix_millis(F.col("ended_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))
     return rows.withColumn("action", F.substring("action", 1, 100)).withColumn("resource", F.substring("resource", 1, 255)).withColumn("details", F.to_json(F.struct(*details))).withColumn("duration_ms", ms)
 
 

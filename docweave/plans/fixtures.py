@@ -127,7 +127,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 150).alias("user_id"), (F.col("event_id") % 1000).alias("doc_id"), F.concat(F.lit("src"), F.col("event_id") % 20).alias("tenant_id"), (1 + F.col("event_id") % 3).cast("int").alias("needed"), F.col("ts").alias("at"))
 
 
-REQUESTS = "requests AS (SELECT event_id AS request_id, user_id % 150 AS user_id, event_id % 1000 AS doc_id, 'src' || event_id % 20 AS tenant_id, CAST(1 + event_id % 3 AS INTEGER) AS needed, ts AS at FROM events)"
+REQUESTS = "requests AS (SELECT event_id AS request_id, user_id % 150 AS user_id, event_id % 1000 AS doc_id, 'src' || event_id % 20 AS tenant_id, CAST(1 + event_id % 3 AS INTEGER) AS needed, ts AS \"at\" FROM events)"
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
