@@ -15,7 +15,7 @@ from docweave.llm.staging import staged
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (no letters, or too uncertain) go."""
     model = language.learn(docs, "text", "lang", "doc_id")
-    return language.identify(docs, model).where("accepted").select(*docs.columns)
+    return language.accepted(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import unpacked
 from .words import Words, per_text, pieces
 
 #: Fixed values of HTML: inline tags (text goes on across them), tags without content, and tags whose text is never shown.
@@ -136,7 +137,7 @@ def blocks(html: str, known: dict) -> list[tuple[str, tuple, float]]:
 
 
 # Pages with known labels. KEEP and DROP mark blocks in composed pages; both are private-use characters.
-KEEP, DROP = "", ""
+KEEP, DROP = "\ue000", "\ue001"
 #: Common names of page parts in class and id attributes.
 NAMES = {
     "main": "content main-content article-body post-content entry-content story body-text post entry page-content text primary prose article__body blog-post single".split(),
@@ -415,4 +416,4 @@ def extract(pages: DataFrame, net: Labeller, html: str = "html", keep: list[str]
                 texts = [" ".join(x[0] for x, k in zip(page, kept) if k) for page, kept in zip(parsed, shared.value.keep(parsed))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chars long").select("row.*", "text", "n_chars")
+    return unpacked(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chars long"), "text", "n_chars")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .staging import unpacked
 from .words import LOWER, bytes_of, pieces
 
 BITS, DIM, ORDERS = 15, 16, (2, 3, 4)
@@ -148,13 +149,13 @@ def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int =
     return fit(samples, got["label"].to_pylist())
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with lang_pred, score and accepted."""
+def judged(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row: struct of the ``keep`` columns, lang_pred, score, accepted) of each document."""
     keep = docs.columns if keep is None else keep
     letter = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    if model is None:
-        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"), letter.alias("letter"))
+    if model is None:
+        return rows.select("row", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,17 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", k
                 best[none], score[none] = len(m.labels), 0
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~none & (score >= m.min_score))], ["row", "lang_pred", "score", "accepted"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, accepted boolean").select("row.*", "lang_pred", "score", "accepted")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+
+
+def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` with lang_pred, score and accepted (which replace columns of these names)."""
+    return unpacked(judged(docs, model, text, keep), "lang_pred", "score", "accepted")
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is accepted."""
+    return judged(docs, model, text).where("accepted").select("row.*")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

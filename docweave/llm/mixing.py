@@ -72,7 +72,7 @@ def with_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     blocks = staged(rows.groupBy("src", "class", "part").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")), "blocks")
     sizes = blocks.groupBy("src").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     goals = source_targets(sizes, weights, share, cap)
-    goals = goals.withColumn("each", F.least(F.lit(int(cap * UNIT)), F.coalesce(F.round(F.col("target") / F.col("source_size") * UNIT), F.lit(0.0)).cast("long")))
+    goals = goals.withColumn("each", F.least(F.lit(int(cap * UNIT)), F.coalesce(F.round(F.try_divide(F.col("target"), F.col("source_size")) * UNIT), F.lit(0.0)).cast("long")))
     starts = W.partitionBy("src").orderBy("class", "part").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.drop("source").join(goals.hint("shuffle_hash"), "src")
     blocks = blocks.withColumn("start", F.coalesce(F.sum(F.col("docs") * F.col("each")).over(starts), F.lit(0)) + spread(F.col("src"), seed) % UNIT)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import prefilter, unpacked
 from .words import Words, mix, pieces, span_hashes
 
 BITS, DIM, NEAR, NONZERO = 14, 24, 2, 4
@@ -173,8 +174,6 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 x = pooled(b.column(2), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["id", "label", "x"])
 
-    from .staging import prefilter
-
     rows = prefilter(known.withColumn("key", F.xxhash64("id")), "key", labels.select(F.xxhash64("id").alias("key"))).join(labels.hint("merge"), "id").select("id", "label", "text")
     got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, x array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     y = np.asarray(got["label"]).astype(float)
@@ -196,4 +195,4 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1)))], ["row", "score"])
 
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
-    return out.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return unpacked(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "score", "predicted")

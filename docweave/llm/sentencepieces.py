@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import unpacked
 from .words import pieces as slices
 
 MARK = "▁"
@@ -260,12 +261,11 @@ def zipf_scores(ranks: list[float]) -> list[float]:
 
 def load(path: str = DEFAULT_MODEL, scores: str = "auto") -> PieceModel:
     """Read a SentencePiece model file. ``scores``: "file", "zipf" (of the file's ranks), or "auto" by the file's kind."""
-    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2 as pb
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    del SentencePieceProcessor
     kind = {1: "normal", 2: "unknown", 3: "control", 4: "normal", 5: "unused", 6: "byte"}
     names, kinds = [p.piece for p in proto.pieces], [kind[p.type] for p in proto.pieces]
     given = [p.score for p in proto.pieces]
@@ -297,7 +297,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[st
                 trip = [x is None or m.decode(x) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(counts, pa.int64()), pa.array(np.diff(bytes_), pa.int64()), pa.array(trip, pa.bool_())], ["row", "ids", "n_pieces", "n_byte_pieces", "round_trip"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_pieces long, n_byte_pieces long, round_trip boolean").select("row.*", "ids", "n_pieces", "n_byte_pieces", "round_trip")
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_pieces long, n_byte_pieces long, round_trip boolean")
+    return unpacked(out, "ids", "n_pieces", "n_byte_pieces", "round_trip")
 
 
 def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -310,4 +311,4 @@ def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", into: str = "de
             texts = [shared.value.decode(None if x is None else np.array(x, np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", into])
 
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {into} string").select("row.*", into)
+    return unpacked(packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {into} string"), into)

@@ -36,6 +36,12 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unpacked(df: DataFrame, *new: str) -> DataFrame:
+    """The fields of the ``row`` struct and the ``new`` columns, which replace fields of the same name."""
+    taken = {n.lower() for n in new}
+    return df.select(*[F.col("row").getField(n).alias(n) for n in df.schema["row"].dataType.names if n.lower() not in taken], *new)
+
+
 #: Bits of one bitmap of Spark's bitmap functions, and the most bitmaps (4 KB each) that a pre-filter broadcasts.
 BITMAP_BITS, MOST_BITMAPS = 32768, 4096
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import unpacked
 from .words import pieces
 
 #: The public pre-token pattern of the 50k byte-level vocabulary, which looks one character past a token at most
@@ -173,7 +174,8 @@ def edits_for(docs: DataFrame, pattern: str, new: str, text: str = "text", needs
                 found = [[] if t is None or needs and not any(c in t for c in needs) else [{"start": m.start(), "end": m.end(), "text": new} for m in find(t)][::-1] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["row", "edits"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, edits array<struct<start:int,end:int,text:string>>").select("row.*", "edits")
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, edits array<struct<start:int,end:int,text:string>>")
+    return unpacked(out, "edits")
 
 
 def count_edited(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", edits: str = "edits", keep: list[str] | None = None) -> DataFrame:
@@ -195,4 +197,5 @@ def count_edited(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", e
                     out.append((before, len(es or ()), tree.n_tokens, tree.encoded))
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i] for x in out], pa.int64()) for i in range(4)]], ["row", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long").select("row.*", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long")
+    return unpacked(out, "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
