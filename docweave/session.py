@@ -14,3 +14,12 @@ def build(app: str = "docweave", master: str | None = None, **conf: str) -> Spar
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset (tests, a laptop)."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docweave-")
+    return f"{root.rstrip('/')}/docweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
