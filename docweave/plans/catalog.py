@@ -163,10 +163,10 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n3(spark, sf_dir):
-    return usage.search_audit(audit_log(spark, sf_dir), action="ur", resource="1", number=2, size=40).select("id", "user_id", "action", "at", "total")
+    return usage.search_audit(audit_log(spark, sf_dir), action="ur", resource="1", number=2, size=10).select("id", "user_id", "action", "at", "total")
 
 
-N3 = """SELECT id, user_id, action, "at", CAST(total AS INTEGER) AS total FROM (SELECT event_id AS id, user_id, event_type AS action, ts AS "at", count(*) OVER () AS total FROM events WHERE contains(event_type, 'ur') AND contains(props, '1')) ORDER BY "at" DESC, id DESC LIMIT 40 OFFSET 40"""
+N3 = """SELECT id, user_id, action, "at", CAST(total AS INTEGER) AS total FROM (SELECT event_id AS id, user_id, event_type AS action, ts AS "at", count(*) OVER () AS total FROM events WHERE contains(event_type, 'ur') AND contains(props, '1')) ORDER BY "at" DESC, id DESC LIMIT 10 OFFSET 10"""
 
 
 def n4(spark, sf_dir):
