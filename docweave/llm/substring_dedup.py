@@ -68,8 +68,8 @@ def runs_of(w: Words, k: int, m: int) -> tuple[np.ndarray, ...]:
     return text, start - w.first[text], n, anchor[begin], Spans(w.hashes).of(start, start + n + k - 1)
 
 
-def kept_digests(w: Words, keep: np.ndarray) -> list[str]:
-    """SHA-256 of each text's kept words, joined by one space."""
+def kept_words(w: Words, keep: np.ndarray) -> list[bytes]:
+    """Each text's kept words, joined by one space."""
     starts, lengths = w.starts[keep], (w.ends - w.starts)[keep]
     order = np.arange(int(lengths.sum()))
     word = np.repeat(np.arange(len(lengths)), lengths)
@@ -81,7 +81,11 @@ def kept_digests(w: Words, keep: np.ndarray) -> list[str]:
     count = np.zeros(len(keep) + 1, np.int64)
     np.cumsum(keep, out=count[1:])
     at = total[count[w.first]]
-    return [hashlib.sha256(out[i : max(i, j - 1)]).hexdigest() for i, j in zip(at[:-1], at[1:])]
+    return [out[i : max(i, j - 1)].tobytes() for i, j in zip(at[:-1], at[1:])]
+
+
+def digests(texts: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
 
 def scan(rows: DataFrame, k: int, m: int) -> DataFrame:
@@ -94,7 +98,7 @@ def scan(rows: DataFrame, k: int, m: int) -> DataFrame:
                 w = Words(b.column(2))
                 none = lambda n, t=pa.int64(): pa.nulls(n, t)
                 n = b.num_rows
-                texts = [b.column(0), b.column(1), pa.array(w.counts(), pa.int64()), pa.array(kept_digests(w, np.ones(len(w.starts), bool)), pa.string()), *[none(n)] * 4]
+                texts = [b.column(0), b.column(1), pa.array(w.counts(), pa.int64()), digests(kept_words(w, np.ones(len(w.starts), bool))), *[none(n)] * 4]
                 yield pa.RecordBatch.from_arrays(texts, names)
                 text, start, count, anchor, content = runs_of(w, k, m)
                 r = len(text)
@@ -123,8 +127,9 @@ def expanded(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("rid", "text", "spans").mapInArrow(run, "rid long, at long, window long, anchor long")
 
 
-def removed(texts: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept text or its digest) of (doc_id, text, spans)."""
+def removed(texts: DataFrame, k: int, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256 or kept_text) of (doc_id, text, spans); null spans remove nothing."""
+    last = "kept_text" if as_text else "kept_sha256"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +144,11 @@ def removed(texts: DataFrame, k: int) -> DataFrame:
                 keep = np.cumsum(cover)[: size - 1] == 0
                 gone = np.zeros(size, np.int64)
                 np.cumsum(~keep, out=gone[1:])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts(), pa.int64()), pa.array(np.diff(gone[w.first])), pa.array(kept_digests(w, keep), pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                kept = kept_words(w, keep)
+                out = pa.array([x.decode() for x in kept], pa.string()) if as_text else digests(kept)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts(), pa.int64()), pa.array(np.diff(gone[w.first])), out], ["doc_id", "n_words", "n_removed", last])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return texts.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, {last} string")
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -153,14 +160,15 @@ def repeated_spans(rows: DataFrame, scanned: DataFrame, k: int = K) -> DataFrame
     """(rid, spans): the runs and windows of each text that occur elsewhere too, as (first window, number of windows)."""
     runs = scanned.where("start is not null").select("rid", "start", "n", "anchor", "content")
     nodes = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
-    nodes = nodes.select("anchor", (F.col("lo") != F.col("hi")).alias("branching"))
+    # Written out: a join of two plain shuffles is one that Spark can split where an anchor or a window is very frequent.
+    nodes = staged(nodes.select("anchor", (F.col("lo") != F.col("hi")).alias("branching")), "nodes")
     found = staged(runs.drop("content").join(nodes.hint("merge"), "anchor"), "paths")
 
     branching = found.where("branching").groupBy("rid").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("spans"))
     branching = staged(branching, "branching")
-    texts = prefilter(rows, "rid", branching.select("rid")).dropDuplicates(["rid"]).join(branching.hint("merge"), "rid")
+    texts = prefilter(rows, "rid", branching.select("rid")).join(branching.hint("merge"), "rid")
     edges = staged(expanded(texts, k), "windows")
-    often = edges.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window", "anchor")
+    often = staged(edges.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window", "anchor"), "often")
     windows_ = edges.join(often.hint("merge"), ["window", "anchor"]).select("rid", F.col("at").alias("start"), F.lit(1).cast("long").alias("n"))
     whole = found.where("not branching").select("rid", "start", "n")
     return whole.unionAll(windows_).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -174,3 +182,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cut = removed(prefilter(rows, "rid", spans.select("rid")).join(spans.hint("merge"), "rid"), k)
     whole = scanned.where("start is null").join(spans.select("rid").hint("merge"), "rid", "left_anti")
     return cut.unionAll(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")))
+
+
+def kept_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K, m: int = M) -> DataFrame:
+    """doc_id, n_words, n_removed and the kept text itself (words joined by one space) of every row."""
+    rows = keyed(docs, text, doc_id)
+    spans = repeated_spans(rows, staged(scan(rows, k, m), "runs"), k)
+    return removed(rows.join(spans.hint("merge"), "rid", "left"), k, as_text=True)
