@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .staging import unpacked
-from .words import LOWER, bytes_of, pieces
+from .words import LOWER, bytes_of, pieces, with_body
 
 BITS, DIM, ORDERS = 15, 16, (2, 3, 4)
 #: Bytes that are neither ASCII letters nor part of longer characters act as word boundaries.
@@ -153,7 +153,8 @@ def judged(docs: DataFrame, model: LanguageModel | None, text: str = "text", kee
     """(row: struct of the ``keep`` columns, lang_pred, score, accepted) of each document."""
     keep = docs.columns if keep is None else keep
     letter = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"), letter.alias("letter"))
+    inside = text in keep and docs.schema[text].dataType.simpleString() == "string"  # then the text travels once
+    rows = docs.select(F.struct(*keep).alias("row"), letter.alias("letter"), *[F.col(text).cast("string").alias("text")] * (not inside))
     if model is None:
         return rows.select("row", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,9 +163,9 @@ def judged(docs: DataFrame, model: LanguageModel | None, text: str = "text", kee
         m = shared.value
         names = np.array([*m.labels, UND], object)
         for batch in batches:
-            for b in pieces(batch, "text"):
-                best, score = m.predict(b.column(1))
-                none = ~np.asarray(b.column(2))
+            for b in pieces(with_body(batch, text) if inside else batch, "text"):
+                best, score = m.predict(b.column(2))
+                none = ~np.asarray(b.column(1))
                 best[none], score[none] = len(m.labels), 0
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~none & (score >= m.min_score))], ["row", "lang_pred", "score", "accepted"])
 

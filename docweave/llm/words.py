@@ -116,6 +116,12 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int, base: int = 0xD6E8FEB
     return mix((total[at + k] - total[at]) * powers(pow(base, -1, _M64), n)[at]), at
 
 
+def with_body(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    """A batch whose first column is a struct, with that struct's string field ``name`` as one more column ("text"); nothing is copied."""
+    at = batch.schema.field(0).type.get_field_index(name)
+    return pa.RecordBatch.from_arrays([*batch.columns, batch.column(0).flatten()[at]], [*batch.schema.names, "text"])
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows whose texts hold about ``limit`` bytes; a longer text comes alone."""
     at = batch.schema.get_field_index(column)
