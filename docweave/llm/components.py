@@ -7,21 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from .staging import staged
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and hash of an edge set; two rounds with the same mark hold the same edges."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child; contractions keep components, so that each star is one then."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("child")), F.struct(F.col("v").alias("n"), F.lit(0).alias("child")))).alias("x")).select("x.n", "x.child")
+    roles = ends.groupBy("n").agg(F.sum("child").alias("children"), F.min("child").alias("least"))
+    return roles.where("children > 1 or (children = 1 and least = 0)").isEmpty()
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node with a link; label is the smallest node of its component.
 
     A round links every larger neighbour to the smallest one (large star), then does so for smaller neighbours (small star).
-    Neighbourhoods are never gathered: minima are pre-aggregated sums, and frequent nodes meet them in plain shuffled joins.
+    Neighbourhoods are never gathered: minima are pre-aggregated, and what they are joined to is shuffled by node.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = staged(edges, "links")
-    mark, before = _mark(edges), None
-    while mark != before:
+    edges = staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    while not _is_star_forest(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,5 +29,4 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         edges = staged(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "small-star")
-        before, mark = mark, _mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -188,6 +188,7 @@ def blocked_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percen
     rows = staged(rows, "large-buckets")
     parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    largest = staged(largest, "largest")
     rows = rows.join(largest.hint("merge"), "key").withColumn("outside", F.col("label") != F.col("largest"))
     n_all, n_out = F.ceil(F.col("n") / block).cast("int"), F.ceil((F.col("n") - F.col("most")) / block).cast("int")
     h = F.xxhash64("node", F.lit(7))
@@ -221,13 +222,14 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nodes = staged(filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
 
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Tables of counts and minima are written out: a join of two plain shuffles is one that Spark can split where a key is frequent.
+    size = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = staged(keyed.join(size.hint("merge"), "key"), "buckets")
     close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     few = shared.where(F.col("size") <= small)
     pairs = few.select("key", F.col("node").alias("a"), "n").join(few.select("key", F.col("node").alias("b"), F.col("n").alias("m")).hint("merge"), "key").where((F.col("a") < F.col("b")) & close)
     many = shared.where(F.col("size") > small)
-    centres = many.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y"))
+    centres = staged(many.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y")), "centres")
     stars = many.join(centres.hint("merge"), "key").select("node", "n", F.explode(F.array("x", "y")).alias("c")).select(F.col("node").alias("a"), F.col("c.node").alias("b"), "n", F.col("c.n").alias("m"))
     stars = stars.where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = staged(likely(pairs.select("a", "b").unionAll(stars).distinct(), nodes, percent / 100), "likely")
@@ -236,7 +238,7 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(one.hint("merge"), "node")
     wanted = staged(wanted, "wanted")
-    texts = prefilter(rows.where("doc_id is not null").withColumn("id", F.col("doc_id").cast("long")), "id", wanted.select("doc_id"))
+    texts = prefilter(rows.where("doc_id is not null").withColumn("id", F.xxhash64("doc_id")), "id", wanted.select(F.xxhash64("doc_id").alias("id")))
     sets = staged(sets_of(texts.join(wanted.hint("merge"), "doc_id"), shingle).dropDuplicates(["node"]), "sets")
 
     links = staged(confirmed(pairs, sets, percent), "confirmed")
@@ -247,7 +249,7 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             labels = staged(connected(links.unionAll(more)), "labels")
 
     members = filled.select("doc_id", "n_shingles", "node").join(labels.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = staged(members.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     out = members.join(least.hint("merge"), "label").select("doc_id", "n_shingles", "component_id")
     out = out.unionAll(sketch.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -256,4 +258,4 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
     gone = staged(near_components(docs, text, doc_id, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[doc_id] == gone["_gone"], "left_anti")
