@@ -163,15 +163,15 @@ def ranks_of(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
 
 
 def edits_for(docs: DataFrame, pattern: str, new: str, text: str = "text", needs: str = "") -> DataFrame:
-    """``docs`` with an ``edits`` column that replaces every match of ``pattern`` (last match first); ``needs``: any of these characters is in each match."""
+    """``docs`` with an ``edits`` column that replaces every match of ``pattern`` (last match first); ``needs``: a pattern that is found in each match."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).finditer
+        find, may = regex.compile(pattern).finditer, regex.compile(needs).search
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
         for batch in batches:
             for b in pieces(batch, "text"):
-                found = [[] if t is None or needs and not any(c in t for c in needs) else [{"start": m.start(), "end": m.end(), "text": new} for m in find(t)][::-1] for t in b.column(1).to_pylist()]
+                found = [[] if t is None or not may(t) else [{"start": m.start(), "end": m.end(), "text": new} for m in find(t)][::-1] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["row", "edits"])
 
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, edits array<struct<start:int,end:int,text:string>>")

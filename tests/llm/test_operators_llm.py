@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import components, exact_dedup, extraction, host_rules, language, mixing, near_dedup, quality, sentencepieces, staging, substring_dedup, token_counts, words
+from docweave.llm import components, entries, exact_dedup, extraction, host_rules, language, mixing, near_dedup, quality, sentencepieces, staging, substring_dedup, token_counts, words
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, score int, size int, key int, label string, _part int"
@@ -433,6 +433,13 @@ def test_token_frames(spark, docs, empty):
     assert token_counts.count_edited(token_counts.edits_for(empty, "a", "b"), ranks).count() == 0
 
 
+def test_edits_of_other_digits(spark, tmp_path):
+    texts = ["call \u0660\u0661\u0662\u0663\u0664", "\u0967\u0968\u0969\u096a now", "id \uff11\uff12\uff13\uff14 7", "id 1234", "a.b@c.de", "\u0660\u0661", "none"]
+    make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_edits"] for r in entries.op2_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+
+
 def test_prefilter(spark):
     rows, wanted = spark.range(5000).withColumnRenamed("id", "k"), spark.range(0, 5000, 7)
     out = {r["k"] for r in staging.prefilter(rows, "k", wanted).collect()}
