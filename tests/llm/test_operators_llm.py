@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and their defined cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -221,6 +222,18 @@ def test_near_large_group(spark):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == classes(rows, 3, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signature_estimate_loses_no_more_than_bands(spark, percent):
+    t, n = percent / 100, near_dedup.COORDS
+    sig = lambda agree: bytes([1] * agree + [2] * (n - agree))
+    nodes = spark.createDataFrame([(0, sig(n)), *[(k, sig(k)) for k in range(1, n)]], "node long, sig binary")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, n)], "a long, b long")
+    least = min(r["b"] for r in near_dedup.likely(pairs, nodes, t).collect())
+    loss = sum(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(least))
+    height = near_dedup.band_rows(percent)
+    assert loss + (1 - t**height) ** (n // height) < 1e-6
+
+
 def test_circulant_signature():
     keys = words.mix(np.arange(3000, dtype=np.uint64))
     a, b = np.sort(keys[:2000]), np.sort(keys[500:2500])
