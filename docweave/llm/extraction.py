@@ -30,10 +30,14 @@ from .staging import unpacked
 from .words import Words, per_text, pieces
 
 #: Fixed values of HTML: inline tags (text goes on across them), tags without content, and tags whose text is never shown.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title textarea iframe svg math object select head".split())
+HIDDEN = frozenset("script style noscript template title textarea iframe select head annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: What may stand in a head; other start tags and text end it, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag of the key ends an open element of the value.
 CLOSES = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "option": "option", "dt": "dd", "dd": "dd"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -84,6 +88,8 @@ def blocks(html: str, known: dict) -> list[tuple[str, tuple, float]]:
 
     def take(s: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and s.strip():
+            pop(len(stack) - 1)
         if not hidden and s:
             text.append(s)
             if links:
@@ -109,6 +115,8 @@ def blocks(html: str, known: dict) -> list[tuple[str, tuple, float]]:
                     pop(i)
                     break
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
         if tag in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in (tag, CLOSES[tag]):

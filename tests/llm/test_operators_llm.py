@@ -344,6 +344,23 @@ def test_extraction_of_other_pages(spark, labeller):
     assert extraction.extract(rows.limit(0), labeller).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<html><head><meta charset=x><title>t</title><p>one<p>two", ["one", "two"]),
+        ("<head><script>x<y</script><style>s</style><link rel=x>\n<div>one</div>", ["one"]),
+        ("<head><title>t</title> one <p>two", ["one", "two"]),
+        ("<html><head><title>t</title><template><p>no</p></template></head><body><p>one</body>", ["one"]),
+        ("<p>area <math><mi>r</mi><mo>+</mo><mn>2</mn></math> here</p>", ["area r+2 here"]),
+        ("<p>x <math><semantics><mi>r</mi><annotation encoding=t>\\r</annotation></semantics></math></p>", ["x r"]),
+        ("<article><object data=x><p>fallback</p></object><svg><title>t</title><text>label</text></svg><p>end</p></article>", ["fallback", "label", "end"]),
+        ("<article><svg/><p>end</p></article>", ["end"]),
+    ],
+)
+def test_blocks_hold_all_shown_text(html, texts):
+    assert [t for t, _, _ in extraction.blocks(html, {})] == texts
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     net = extraction.Labeller.fresh(rng)
