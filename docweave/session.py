@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,10 +19,19 @@ def build(app: str = "docweave", master: str | None = None, **conf: str) -> Spar
     return b.getOrCreate()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset (tests, a laptop)."""
-    import tempfile
-    import uuid
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder. Only a local session
+    (tests, a laptop) that has neither gets a temporary one; elsewhere that is an error, as other machines could not read it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder is needed that all machines of the cluster share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-docweave-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docweave-")
-    return f"{root.rstrip('/')}/docweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/docweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
