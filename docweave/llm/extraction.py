@@ -9,14 +9,17 @@ blocks of at most about ``most_pages`` real pages (the bound is that parameter):
 sidebars, notices, adverts, forms and comments in many arrangements, where each block's label is known by construction.
 
 Defined cases: null or empty html, and pages without kept blocks, give the empty text; markup may be broken (unclosed or stray tags,
-``>`` in quoted attributes, tags in script strings); without any page to learn from only arrangements with stock words are
-composed; repeated rows give equal texts; an empty table gives an empty result; extra columns are left alone.
+``>`` in quoted attributes, tags in script strings): a ``<`` that no ``>`` follows is text, and after the first quote that stays open quotes
+count no more on that page; very long pages, deep nesting and many blocks take time and memory in proportion to the page; without
+any page to learn from only arrangements with stock words are composed; repeated rows give equal texts; an empty table
+gives an empty result; extra columns are left alone, and ``text`` and ``n_chars`` replace columns of these names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -40,7 +43,9 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag of the key ends an open element of the value.
 CLOSES = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "option": "option", "dt": "dd", "dd": "dd"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: The rest of a tag: attributes with quoted values up to the closing sign; without backing up, so that a failure costs one pass.
+_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = np.zeros(256, bool)
@@ -55,92 +60,144 @@ def slot(token: str, bits: int) -> int:
 def element(tag: str, attributes: str, known: dict) -> tuple:
     """Slots of a tag and of the words in its class, id and role."""
     key = (tag, attributes)
-    if key not in known:
+    if key in known:
+        return known[key]
+    names = (a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ()
+    out = (slot(tag, PATH_BITS), *(slot("." + w.lower(), PATH_BITS) for n in names for w in _PARTS.findall(n)))
+    if len(attributes) < 200:
         if len(known) > 50_000:
             known.clear()
-        names = (a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ()
-        known[key] = (slot(tag, PATH_BITS), *(slot("." + w.lower(), PATH_BITS) for n in names for w in _PARTS.findall(n)))
-    return known[key]
+        known[key] = out
+    return out
 
 
-def blocks(html: str, known: dict) -> list[tuple[str, tuple, float]]:
-    """(text, path slots, share of linked characters) of each block of a page that holds text."""
-    out: list = []
-    stack: list[tuple[str, tuple]] = []
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, tag or "" with "/" first if it ends an element, attributes) in page order; comments and the like end the text before them.
+
+    One pass: every search either moves on or is not tried again."""
+    at, strict, cdata, last = 0, True, True, html.rfind(">")
+    begin = 0
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            yield html[begin:at], "", ""
+            at = begin = end + 3 if end >= 0 else len(html)
+            continue
+        if cdata and html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            if end >= 0:
+                yield html[begin:at], "", ""
+                yield html[at + 9 : end].replace("&", "&amp;"), "", ""
+                at = begin = end + 3
+                continue
+            cdata = False
+        if at > last:
+            break
+        name = _NAME.match(html, at + 1)
+        if name is None:
+            if html[at + 1] not in "!?":
+                at += 1
+                continue
+            yield html[begin:at], "", ""
+            at = begin = html.find(">", at) + 1
+            continue
+        rest = _REST.match(html, name.end()) if strict else None
+        if rest is None:
+            strict = False
+        end = rest.end() if rest else html.find(">", name.end()) + 1
+        yield html[begin:at], name[0].lower(), html[name.end() : end - 1]
+        at = begin = end
+        tag = name[0].lower()
+        if tag in RAW:
+            close = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            at = begin = end + 1 if end >= 0 else len(html)
+    yield html[begin:], "", ""
+
+
+def scan(html: str, known: dict) -> tuple[list[tuple[str, int, float]], list[int]]:
+    """Blocks (text, place in the steps, share of linked characters) of a page that hold text, and the steps: every slot + 1 that the tag
+    path gains, negative where it loses it. A block's path is the sum of the steps before its place."""
+    out: list[tuple[str, int, float]] = []
+    steps: list[int] = []
+    stack: list[tuple[str, tuple, int]] = []  # tag, slots, and where the nearest element that is not inline stands
+    opened: Counter = Counter()
     text: list[str] = []
-    linked = links = hidden = at = 0
+    linked = links = hidden = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             s = " ".join(unescape("".join(text)).split())
             if s:
-                out.append((s, tuple(x for tag, e in stack if tag not in INLINE for x in e), min(1.0, linked / len(s))))
+                out.append((s, len(steps), min(1.0, linked / len(s))))
             text.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal links, hidden
-        for tag, _ in stack[to:]:
+        for tag, slots, _ in stack[to:]:
+            opened[tag] -= 1
             links -= tag == "a"
             hidden -= tag in HIDDEN
+            if tag not in INLINE:
+                steps.extend(-x - 1 for x in slots)
         del stack[to:]
 
-    def take(s: str) -> None:
-        nonlocal linked
-        if stack and stack[-1][0] == "head" and s.strip():
-            pop(len(stack) - 1)
-        if not hidden and s:
-            text.append(s)
-            if links:
-                linked += len(s)
-
-    n = len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            take(html[at:])
-            break
-        take(html[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            take((m[1] or "").replace("&", "&amp;"))
+    def top() -> str:
+        return stack[-1][0] if stack else ""
+
+    for before, name, attributes in tokens(html):
+        if before:
+            if top() == "head" and before.strip():
+                pop(len(stack) - 1)
+            if not hidden:
+                text.append(before)
+                if links:
+                    linked += len(before)
+        if not name:
             continue
-        tag = m[3].lower()
+        tag = name.lstrip("/")
         if tag not in INLINE:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+        if name[0] == "/":
+            if opened[tag]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+        if top() == "head" and tag not in IN_HEAD:
             pop(len(stack) - 1)
         if tag in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in (tag, CLOSES[tag]):
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE and stack[i][0] != "p":
-                    break
-        elif tag not in INLINE and stack and any(t == "p" for t, _ in stack[-4:]) and tag not in VOID:
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
+            if opened[tag] or opened[CLOSES[tag]]:
+                i = stack[-1][2]
+                while i >= 0 and stack[i][0] == "p" != tag:
+                    i = stack[i - 1][2] if i else -1
+                if i >= 0 and stack[i][0] in (tag, CLOSES[tag]):
                     pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
-        elif tag not in VOID:
+        elif tag not in INLINE and tag not in VOID and stack and stack[-1][2] >= len(stack) - 4 and stack[stack[-1][2]][0] == "p":
+            pop(stack[-1][2])  # a block ends an open paragraph
+        if tag not in VOID and tag not in RAW:
             if tag == "body":
                 pop(0)
-            stack.append((tag, element(tag, m[4] or "", known)))
+            slots = element(tag, attributes, known)
+            if tag not in INLINE:
+                steps.extend(x + 1 for x in slots)
+            stack.append((tag, slots, len(stack) if tag not in INLINE else stack[-1][2] if stack else -1))
+            opened[tag] += 1
             links += tag == "a"
             hidden += tag in HIDDEN
     flush()
+    return out, steps
+
+
+def blocks(html: str, known: dict) -> list[tuple[str, tuple, float]]:
+    """(text, path slots, share of linked characters) of each block of a page that holds text; for pages of little depth."""
+    found, steps = scan(html, known)
+    out, path, at = [], Counter(), 0
+    for text, place, share in found:
+        for x in steps[at:place]:
+            path[abs(x) - 1] += 1 if x > 0 else -1
+        at = place
+        out.append((text, tuple(path.elements()), share))
     return out
 
 
@@ -160,14 +217,14 @@ NAMES = {
 }
 
 
-def compose(rng: np.random.Generator, texts: list[str]) -> str:
+def compose(rng: np.random.Generator, texts: list[list[str]]) -> str:
     """A page of random arrangement whose blocks start with KEEP or DROP."""
     pick = lambda xs: xs[rng.integers(len(xs))]
     chance = lambda p: rng.random() < p
     escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
     def words(lo: int, hi: int) -> str:
-        w, n = pick(texts).split(), int(rng.integers(lo, hi + 1))
+        w, n = pick(texts), int(rng.integers(lo, hi + 1))
         i = int(rng.integers(max(1, len(w) - n + 1)))
         return escape(" ".join(w[i : i + n]))
 
@@ -244,6 +301,8 @@ def compose(rng: np.random.Generator, texts: list[str]) -> str:
 
 
 HID, PATH_DIM, WORD_DIM = 16, 24, 8
+#: Cells (pages times blocks) that are labelled at a time; a page with more blocks is taken alone.
+CELLS = 1 << 14
 WIDE = PATH_DIM + WORD_DIM + 4
 
 
@@ -251,17 +310,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def packed(pages: list[list[tuple[str, tuple, float]]]) -> dict:
-    """A batch of pages, padded to the longest: slots of paths and words with the cell (page, block) of each, and four numbers a cell."""
+def packed(pages: list[list[tuple]], steps_of: list[list[int]] | None = None) -> dict:
+    """A batch of pages, padded to the longest: slots of paths and words with the cell (page, block) of each, and four numbers a cell.
+
+    Blocks hold their paths; with ``steps_of``, places in the steps of their pages."""
     n, steps = len(pages), max(map(len, pages))
     sizes = np.array([len(p) for p in pages])
     within = np.concatenate([np.arange(k) for k in sizes])
     cell = np.repeat(np.arange(n) * steps, sizes) + within
     texts, paths, linked = zip(*(b for p in pages for b in p))
-    paths = [p or (0,) for p in paths]
     w = Words(pa.array(texts, pa.string()), lower=True)
     count = np.maximum(1, w.counts())
-    path = np.fromiter(chain.from_iterable(paths), np.int64), np.repeat(cell, [len(p) for p in paths])
+    if steps_of is None:
+        ids = np.fromiter(chain.from_iterable(paths), np.int64)
+        path = ids, np.repeat(cell, [len(p) for p in paths]), np.ones(len(ids), np.float32)
+    else:
+        begin = np.cumsum([0, *map(len, steps_of)])[:-1]
+        path = np.fromiter(chain.from_iterable(steps_of), np.int64), cell, np.repeat(begin, sizes), np.array(paths)
     word = (w.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), cell[w.text_of_word()]
     long = np.diff(w.offsets)
     numbers = np.zeros((n * steps, 4), np.float32)
@@ -270,7 +335,7 @@ def packed(pages: list[list[tuple[str, tuple, float]]]) -> dict:
     mask[cell] = 1
     return {
         "shape": (n, steps), "numbers": numbers.reshape(n, steps, 4), "mask": mask.reshape(n, steps),
-        "path": (*path, np.ones(len(path[0]), np.float32)), "word": (*word, np.repeat(1 / count, w.counts()).astype(np.float32)),
+        "path": path, "word": (*word, np.repeat(1 / count, w.counts()).astype(np.float32)),
     }
 
 
@@ -290,6 +355,12 @@ class Labeller:
         n, steps = b["shape"]
         x = np.zeros((n * steps, WIDE), np.float32)
         for name, lo, dim in (("path", 0, PATH_DIM), ("word", PATH_DIM, WORD_DIM)):
+            if len(b[name]) == 4:  # sums of steps before a block, less those before its page
+                ids, cells, begin, place = b[name]
+                total = np.zeros((len(ids) + 1, dim))
+                np.cumsum(self.p[name][np.abs(ids) - 1] * np.sign(ids)[:, None], axis=0, out=total[1:])
+                x[cells, lo : lo + dim] = total[begin + place] - total[begin]
+                continue
             ids, cells, w = b[name]
             if not len(ids):
                 continue
@@ -298,7 +369,8 @@ class Labeller:
         x[:, -4:] = b["numbers"].reshape(-1, 4)
         return x.reshape(n, steps, WIDE)
 
-    def forward(self, b: dict) -> tuple[np.ndarray, dict]:
+    def forward(self, b: dict, traced: bool = True) -> tuple[np.ndarray, dict]:
+        """Scores of all cells, and what :meth:`gradients` needs if ``traced``."""
         x, mask = self.inputs(b), b["mask"]
         n, steps = mask.shape
         trace, outs = {"x": x}, {}
@@ -313,7 +385,8 @@ class Labeller:
                 m = mask[:, t, None]
                 new = f * c + i * u
                 tc = np.tanh(new)
-                log.append((t, i, f, o, u, c, tc, h, m))
+                if traced:
+                    log.append((t, i, f, o, u, c, tc, h, m))
                 c, h = m * new + (1 - m) * c, m * (o * tc) + (1 - m) * h
                 hs[:, t] = h
             outs[d], trace[d] = hs, log
@@ -350,15 +423,25 @@ class Labeller:
             np.add.at(g[name], ids, dx[cells, lo : lo + dim] * w[:, None])
         return g
 
-    def keep(self, pages: list[list]) -> list[np.ndarray]:
-        """Which blocks of each page to keep; pages of like length are taken together."""
-        out: list = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), 128):
-            part = order[lo : lo + 128]
-            z, _ = self.forward(packed([pages[i] for i in part]))
+    def keep(self, scans: list[tuple[list, list]]) -> list[np.ndarray]:
+        """Which blocks of each page to keep; pages of like length are taken together, in batches of bounded cells and steps."""
+        out: list = [np.zeros(0, bool)] * len(scans)
+        part: list[int] = []
+        steps = 0
+
+        def judge() -> None:
+            z, _ = self.forward(packed([scans[i][0] for i in part], [scans[i][1] for i in part]), traced=False)
             for row, i in enumerate(part):
-                out[i] = z[row, : len(pages[i])] > 0
+                out[i] = z[row, : len(scans[i][0])] > 0
+
+        for i in sorted((i for i in range(len(scans)) if scans[i][0]), key=lambda i: len(scans[i][0])):
+            if part and ((len(part) + 1) * len(scans[i][0]) > CELLS or steps + len(scans[i][1]) > 4 * CELLS):
+                judge()
+                part, steps = [], 0
+            part.append(i)
+            steps += len(scans[i][1])
+        if part:
+            judge()
         return out
 
 
@@ -369,9 +452,9 @@ STOCK = ["one two three four five six seven eight nine ten. eleven twelve, thirt
 def fit(texts: list[str], composed: int = 1500, epochs: int = 8, rate: float = 5e-3, batch: int = 32, seed: int = 5) -> Labeller:
     """Adam over composed pages. Path words are dropped at random, so that no single name decides alone."""
     rng = np.random.default_rng(seed)
-    net, known, data = Labeller.fresh(rng), {}, []
+    net, known, data, words = Labeller.fresh(rng), {}, [], [t.split() for t in texts or STOCK]
     for _ in range(composed):
-        page = blocks(compose(rng, texts or STOCK), known)
+        page = blocks(compose(rng, words), known)
         y = np.array([t[:1] == KEEP for t, _, _ in page], np.float32)
         page = [(t.replace(KEEP, "").replace(DROP, "") or "x", p, a) for t, p, a in page]
         if page:
@@ -406,7 +489,7 @@ def learn(pages: DataFrame, html: str = "html", page_id: str = "page_id", most_p
     draw = F.pmod(F.xxhash64(page_id, F.lit("pages")), F.lit(1 << 30)) / (1 << 30)
     rows = pages.where((draw < min(1.0, most_pages / max(1, n))) & F.col(html).isNotNull()).select(F.col(page_id).alias("id"), F.col(html).alias("html")).toArrow()
     known: dict = {}
-    texts = [t for h in rows.sort_by("id")["html"].to_pylist() for t, _, _ in blocks(h, known) if len(t) < 20000]
+    texts = [t for h in rows.sort_by("id")["html"].to_pylist() for t, _, _ in scan(h, known)[0]]
     return fit(texts)
 
 
@@ -420,8 +503,8 @@ def extract(pages: DataFrame, net: Labeller, html: str = "html", keep: list[str]
         known: dict = {}
         for batch in batches:
             for b in pieces(batch, "html"):
-                parsed = [blocks(h or "", known) for h in b.column(1).to_pylist()]
-                texts = [" ".join(x[0] for x, k in zip(page, kept) if k) for page, kept in zip(parsed, shared.value.keep(parsed))]
+                parsed = [scan(h or "", known) for h in b.column(1).to_pylist()]
+                texts = [" ".join(x[0] for x, k in zip(page, kept) if k) for (page, _), kept in zip(parsed, shared.value.keep(parsed))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
     return unpacked(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chars long"), "text", "n_chars")
