@@ -11,7 +11,8 @@ Marked runs and windows go back to their documents by coordinate, and covered wo
 Defined cases: null text has no words; a text of fewer than ``k`` words has no window; a window repeated inside one text
 counts as repeated; repeated rows repeat each other; an id may occur with several texts (rows are keyed by id and text); an
 empty table gives an empty result; extra columns are left alone. Windows are compared by 64-bit hashes, of which two
-different kinds (of run or window, and of its anchor) must agree.
+different kinds (of run or window, and of its anchor) must agree; ``rid``, which leads spans back to their rows, is one 64-bit hash of
+id and text. Rows of one id and text share their spans, which are gathered as sets, so that N repeated rows cost N times one row.
 """
 
 from __future__ import annotations
@@ -164,14 +165,14 @@ def repeated_spans(rows: DataFrame, scanned: DataFrame, k: int = K) -> DataFrame
     nodes = staged(nodes.select("anchor", (F.col("lo") != F.col("hi")).alias("branching")), "nodes")
     found = staged(runs.drop("content").join(nodes.hint("merge"), "anchor"), "paths")
 
-    branching = found.where("branching").groupBy("rid").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("spans"))
+    branching = found.where("branching").groupBy("rid").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("spans"))
     branching = staged(branching, "branching")
     texts = prefilter(rows, "rid", branching.select("rid")).join(branching.hint("merge"), "rid")
     edges = staged(expanded(texts, k), "windows")
     often = staged(edges.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window", "anchor"), "often")
     windows_ = edges.join(often.hint("merge"), ["window", "anchor"]).select("rid", F.col("at").alias("start"), F.lit(1).cast("long").alias("n"))
     whole = found.where("not branching").select("rid", "start", "n")
-    return whole.unionAll(windows_).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return whole.unionAll(windows_).groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K, m: int = M) -> DataFrame:
