@@ -54,7 +54,7 @@ def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = mixing.with_copies(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.selectExpr("row.doc_id", "size", "source_size", "target", "size * copies AS taken", "copies")
 
 
@@ -90,11 +90,13 @@ m AS (SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length
       FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(f / n) AS mean, var_samp(f / n) AS v, count(*) AS c FROM h),
-s AS (SELECT mean, CASE WHEN v IS NULL OR v = 0 OR c < 3 THEN 100.0::DOUBLE ELSE least(1e6, greatest(1.0, mean * (1 - mean) / v - 1)) END AS k FROM p),
-r AS (SELECT source, round((f + mean * k) / (n + k), 6) AS host_rate FROM h, s)
+p AS (SELECT avg(f / n) AS mean, var_samp(f / n) AS v, avg(1 / n) AS inv, count(*) AS c FROM h),
+t AS (SELECT *, coalesce(v, 0) - mean * (1 - mean) * inv AS between_ FROM p),
+s AS (SELECT mean, CASE WHEN c < 3 THEN 100.0::DOUBLE WHEN between_ <= 0 THEN 1e6::DOUBLE ELSE least(1e6, greatest(1.0, mean * (1 - mean) / between_ - 1)) END AS k FROM t),
+q AS (SELECT source, n, mean, k, (f + mean * k) / (n + k) AS rate FROM h, s),
+r AS (SELECT source, round(rate, 6) AS host_rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + k + 1)) AS low, mean FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate,
-       NOT base_failed AND NOT coalesce(host_rate > 0.5, false) AS kept
+       NOT base_failed AND NOT coalesce(round(low * (1 - mean), 9) > round(2.0::DOUBLE * mean * (1 - low), 9), false) AS kept
 FROM b LEFT JOIN r USING (source)""",
     "op5_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)

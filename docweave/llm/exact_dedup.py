@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .staging import staged
+from .staging import staged, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COUNTERS = 1024
@@ -71,11 +71,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Copies of frequent texts go before the shuffle."""
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), digest(text).alias("digest"))
-    heavy = winners(staged(marked.select("doc_id", "digest"), "digests"), counters)
-    ours = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    heavy_rows = marked.join(F.broadcast(heavy), "digest").where(ours)
-    light = marked.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    light = light.withColumn("keep_id", F.max("doc_id").over(W.partitionBy("digest"))).where(ours)
-    return heavy_rows.select("row.*").unionAll(light.select("row.*"))
+    """The rows of ``docs`` that stay, with all their columns. Only copies, and few rows that may be some, are shuffled with their texts."""
+    name = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    gone = exact_groups(docs, text, doc_id, counters).where("not kept").select(name("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
+    return without(docs, staged(gone, "gone"), id=name(doc_id), digest=digest(text))

@@ -1,12 +1,16 @@
 """Quality rules with host-level verdicts.
 
 Each text is measured once; rule failures are summed by host; hosts' failure rates shrink towards a beta prior that is fitted to
-all hosts by moments; a host fails when its shrunken rate is above ``max_rate``; and the verdict is joined back to the
-documents. The document side of that join may have one very frequent host: it is a plain shuffled join, which Spark's adaptive
-execution splits.
+all hosts by moments (the variance between hosts is what is left of the rates' variance once that of counting is taken off); and the
+verdict is joined back to the documents. A host fails when the lower end of its rate's credible interval (``sure`` posterior
+standard deviations below the shrunken rate) has more than ``worse`` times the odds of the prior's mean: it must be worse than
+hosts at large, and proven so. Hosts that differ by chance alone all pass, however many of their documents fail.
 
-Defined cases: null text has no words (and so fails a rule); a null host gets no verdict; an empty table gives an empty
-result; repeated rows count each; extra columns are left alone.
+The hosts are broadcast if their table is counted to be small; beyond, the join is a plain shuffled one, which Spark's adaptive execution
+splits where one host is very frequent.
+
+Defined cases: null text has no words (and so fails a rule); a null host gets no verdict; with fewer than three hosts the prior has a
+strength of 100 documents; an empty table gives an empty result; repeated rows count each; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -15,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .staging import staged
+from .staging import small, staged
 from .words import Words, per_text, pieces, span_hashes, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -64,9 +68,9 @@ def measure(text: pa.Array) -> list[np.ndarray]:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str | Column = "source") -> DataFrame:
     """doc_id, host and the five measures."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(host) if isinstance(host, str) else host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,21 +80,29 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def host_verdicts(rows: DataFrame, max_rate: float) -> DataFrame:
-    """(host, host_rate, host_failed) from rows with ``host`` and ``base_failed``. Three numbers of the prior reach the driver."""
+def domain(url: Column) -> Column:
+    """The host of a URL in lower case, without a leading ``www.``; null where there is none. For tables that have URLs."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
+def host_verdicts(rows: DataFrame, worse: float, sure: float) -> DataFrame:
+    """(host, host_rate, host_failed) from rows with ``host`` and ``base_failed``. Four numbers of the prior reach the driver."""
     hosts = staged(rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     p = F.col("failed") / F.col("n")
-    mean, var, count = hosts.agg(F.avg(p), F.var_samp(p), F.count(F.lit(1))).first()
+    mean, var, inverse, count = hosts.agg(F.avg(p), F.var_samp(p), F.avg(1 / F.col("n")), F.count(F.lit(1))).first()
     mean = mean or 0.0
-    strength = 100.0 if not var or count < 3 else min(1e6, max(1.0, mean * (1 - mean) / var - 1))
+    between = (var or 0.0) - mean * (1 - mean) * (inverse or 0.0)
+    strength = 100.0 if count < 3 else 1e6 if between <= 0 else min(1e6, max(1.0, mean * (1 - mean) / between - 1))
     rate = (F.col("failed") + mean * strength) / (F.col("n") + strength)
-    return hosts.select("host", F.round(rate, 6).alias("host_rate"), (F.round(rate, 6) > max_rate).alias("host_failed"))
+    hosts = hosts.withColumn("rate", rate)
+    low = F.col("rate") - sure * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1))
+    return hosts.select("host", F.round("rate", 6).alias("host_rate"), (F.round(low * (1 - mean), 9) > F.round(worse * mean * (1 - low), 9)).alias("host_failed"))
 
 
-def host_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_rate: float = 0.5) -> DataFrame:
-    """The measures, base_failed, the host's shrunken failure rate, and kept."""
+def host_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str | Column = "source", min_words: int = 10, max_repeat_percent: int = 20, worse: float = 2.0, sure: float = 1.645) -> DataFrame:
+    """The measures, base_failed, the host's shrunken failure rate, and kept. ``host``: a column, such as :func:`domain` of a URL."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = staged(measured(docs, text, doc_id, host).withColumn("base_failed", failed), "measures")
-    hosts = host_verdicts(rows, max_rate)
-    out = rows.join(hosts.hint("merge"), "host", "left")
+    hosts = staged(host_verdicts(rows, worse, sure), "verdicts")
+    out = rows.join(small(hosts), "host", "left")
     return out.select("doc_id", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))

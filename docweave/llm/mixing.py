@@ -9,8 +9,8 @@ window over the few block rows gives each block's start, and a window inside eac
 whole multiples of 2**-24, hence sums are exact and reruns agree.
 
 Defined cases: null text has size 0 (it may be emitted, taking 0 words); a null source is a source of its own, last in
-order; equal sizes are ordered by hash and doc_id; repeated rows are separate documents; an empty table gives an empty
-result; extra columns are kept by :func:`mix_rows`.
+order; equal sizes are ordered by hash and doc_id, rows of one doc_id by size and a hash of the text, so that reruns agree; repeated
+rows are separate documents; an empty table gives an empty result; extra columns are kept by :func:`mix_rows`.
 """
 
 from __future__ import annotations
@@ -59,12 +59,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return x.select("src", "source_size", F.when(F.col("full"), F.col("source_size") * cap).otherwise(F.col("weight") * left / among).alias("target"))
 
 
-def with_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Columns ``row`` (all of ``docs``), ``size``, ``source_size``, ``target``, ``copies``."""
+def with_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (the ``keep`` columns of ``docs``, all by default), ``size``, ``source_size``, ``target``, ``copies``. What is kept is shuffled once."""
+    keep = docs.columns if keep is None else keep
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"),
-        key.alias("src"), n_words(F.col(text)).alias("size"), spread(F.col(doc_id), seed).alias("h"),
+        F.struct(*[docs[c] for c in keep]).alias("row"), F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"),
+        key.alias("src"), n_words(F.col(text)).alias("size"), spread(F.col(doc_id), seed).alias("h"), F.xxhash64(text).alias("tie"),
     )
     n = rows.select("src").count()
     parts = max(1, math.ceil(math.sqrt(n) / 16))
@@ -77,7 +78,7 @@ def with_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     blocks = blocks.drop("source").join(goals.hint("shuffle_hash"), "src")
     blocks = blocks.withColumn("start", F.coalesce(F.sum(F.col("docs") * F.col("each")).over(starts), F.lit(0)) + spread(F.col("src"), seed) % UNIT)
     rows = rows.join(blocks.select("src", "class", "part", "start", "each", "source_size", "target").hint("merge"), ["src", "class", "part"])
-    inside = W.partitionBy("src", "class", "part").orderBy("h", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("src", "class", "part").orderBy("h", "id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.col("start") + F.sum("each").over(inside)
     rows = rows.withColumn("end", end)
     copies = F.floor(F.col("end") / UNIT) - F.floor((F.col("end") - F.col("each")) / UNIT)
