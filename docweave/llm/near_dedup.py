@@ -9,9 +9,8 @@ No group is gathered, and no bucket is capped:
 * a bucket of up to ``small`` nodes proposes all its pairs; a larger one proposes each node with two centres;
 * larger buckets whose nodes are then still in different components are compared exactly and completely, in blocks of
   ``block`` x ``block`` nodes, except inside the largest component, where no test can change the result.
-Bands have as many rows as keep the chance to miss a pair at the threshold below 1e-6. Proposals below an estimated similarity
-of ``threshold - MARGIN`` are dropped (over 4 standard deviations at any threshold; at 0.80 a chance of 1.5e-7 for a pair at the
-threshold, at 0.85 of 1.5e-8); every link is confirmed on full sets.
+Bands have as many rows as keep the chance to miss a pair at the threshold below 1e-6 (for independent coordinates); every pair
+that shares a band and whose set sizes allow a link is decided on full sets.
 
 Defined cases: null and empty texts and texts without words have the empty set and are linked with nothing; fewer than
 ``shingle`` words form one shingle; repeated rows share a node; the component of rows that all lack an id is null; an empty
@@ -27,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected
-from .staging import prefilter, staged
+from .staging import prefilter, staged, without
 from .words import Words, mix, pieces, windows
 
 COORDS = 120
-MARGIN = 0.20
 _STEP = 0x9E3779B1  # odd, so that its multiples are distinct shifts
 
 
@@ -94,8 +92,7 @@ def signatures(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set, null if empty), sig (a byte of each coordinate), bands (their keys)."""
-
+    """doc_id, n_shingles, node (hash of the whole set, null if empty), bands (keys of its bands of coordinates)."""
     height = band_rows(percent)
     n_bands = COORDS // height
 
@@ -113,11 +110,10 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 rows = np.full(b.num_rows, -1)
                 rows[full] = np.arange(len(full))
                 at = pa.array(rows, mask=rows < 0)
-                bytes_ = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * n_bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), bytes_.take(at), lists.take(at)], ["doc_id", "n_shingles", "node", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), lists.take(at)], ["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, sig binary, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>")
 
 
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
@@ -137,20 +133,6 @@ def similar_enough(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: in
     return 100 * common >= percent * (n + m - common)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The proposed pairs whose signatures agree in enough coordinates."""
-    least = round((threshold - MARGIN) * COORDS)
-    for x in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")).hint("merge"), x)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (2, 3))
-            yield b.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     for x in ("a", "b"):
@@ -221,7 +203,7 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = staged(sketches(rows, shingle, percent), "sketches")
     filled = sketch.where("node is not null")
-    nodes = staged(filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = staged(filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
 
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     # Tables of counts and minima are written out: a join of two plain shuffles is one that Spark can split where a key is frequent.
@@ -234,7 +216,7 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     centres = staged(many.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y")), "centres")
     stars = many.join(centres.hint("merge"), "key").select("node", "n", F.explode(F.array("x", "y")).alias("c")).select(F.col("node").alias("a"), F.col("c.node").alias("b"), "n", F.col("c.n").alias("m"))
     stars = stars.where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(likely(pairs.select("a", "b").unionAll(stars).distinct(), nodes, percent / 100), "likely")
+    pairs = staged(pairs.select("a", "b").unionAll(stars).distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(many.select("node")).distinct()
     one = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -259,5 +241,5 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
-    gone = staged(near_components(docs, text, doc_id, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), docs[doc_id] == gone["_gone"], "left_anti")
+    gone = near_components(docs, text, doc_id, **options).where("not kept").select("doc_id").distinct()
+    return without(docs, staged(gone, "gone"), doc_id=F.col(doc_id))
