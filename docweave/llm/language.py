@@ -1,20 +1,24 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, and calibrated rejection.
 
 The classifier is fastText's (Joulin et al., 2016) in numpy. It is fitted on the driver by stochastic gradient descent to at most
-about ``per_label`` labelled documents of each language, drawn by a hash of their id (the bound is that parameter); every
-document is then scored over its whole text inside Spark tasks. As averaging and the softmax's scores are linear,
-embeddings and output weights are folded into one table of bucket scores for that.
+about ``per_label`` labelled documents of each of the ``most_labels`` most frequent languages, drawn by a hash of their id (the bounds
+are these parameters); every document is then scored over its whole text inside Spark tasks. As averaging and the softmax's
+scores are linear, embeddings and output weights are folded into one table of bucket scores for that.
 
-Rejection: a temperature fitted to held-back learning documents calibrates the probabilities; ``min_score`` is the level below
-which no more than ``lost`` of the rightly predicted held-back documents fall, and 0.4 at most.
+Rejection: the softmax has one more class, no language. Its examples are made of sampled texts: half have their characters shuffled,
+half have their letters exchanged at random. Every tenth text, real or made, is held back. A temperature fitted to these calibrates
+the probabilities, and ``min_score`` is the lowest score from which no more than ``most_wrong`` of the held-back texts that would be accepted
+are wrong (a text of another language than predicted, or of none), but 0.5 at least, and 0.9 at most: a small sample shall not have
+texts rejected that are calibrated to be right nine times in ten.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and rejected; one-letter texts are scored; without any
-labelled document every text is ``und``; repeated rows score alike; an empty table gives an empty result; extra columns
-are left alone.
+labelled document every text is ``und``; labels beyond the ``most_labels`` most frequent are not learned; repeated rows score alike; an empty
+table gives an empty result; rows without an id are in no fold (``fold`` gives -1, so that they are learned from and not held out); extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,35 +36,40 @@ _CLEAN = np.full(256, 32, np.uint8)
 _CLEAN[97:123], _CLEAN[128:] = np.arange(97, 123), np.arange(128, 256)
 UND = "und"
 MOST_NORM = 4.0
+#: Text bytes that one vectorised step takes, also of one long text.
+STEP = 1 << 18
 
 
-def subwords(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all byte n-grams of the texts (a space on both sides, runs of spaces skipped), and each one's text."""
+def subwords(text: pa.Array, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all byte n-grams of the texts (a space on both sides, runs of spaces skipped), and each one's text; ``step`` bytes at a time."""
     raw, offsets = bytes_of(pc.binary_join_element_wise(" ", pc.fill_null(text, ""), " ", ""))
-    raw = _CLEAN[LOWER[raw]]
-    n = len(raw)
-    wide = np.zeros(n + 4, np.uint8)
-    wide[:n] = raw
-    owner = np.repeat(np.arange(len(text)), np.diff(offsets))
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    blank = (wide[:n] == 32) & (wide[1 : n + 1] == 32)
-    buckets, owners = [], []
-    code = np.zeros(n, np.uint32)
-    for k in range(max(ORDERS)):
-        code |= wide[k : n + k].astype(np.uint32) << np.uint32(8 * k)
-        if k + 1 in ORDERS:
-            fits = np.flatnonzero((np.arange(n) + k + 1 <= end) & ~blank)
-            h = (code[fits] + np.uint32(0x7F4A7C15 * (k + 1) & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            buckets.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
-            owners.append(owner[fits])
-    return np.concatenate(buckets), np.concatenate(owners)
+    most = max(ORDERS)
+    for lo in range(0, len(raw), step):
+        hi = min(lo + step, len(raw))
+        n = hi - lo
+        wide = np.zeros(n + most, np.uint8)
+        part = raw[lo : hi + most]
+        wide[: len(part)] = _CLEAN[LOWER[part]]
+        i, j = np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, hi)
+        edges = np.clip(offsets[i : j + 1] - lo, 0, n)
+        owner = np.repeat(np.arange(i, j), np.diff(edges))
+        left = np.repeat((offsets[i + 1 : j + 1] - lo).astype(np.int32), np.diff(edges)) - np.arange(n, dtype=np.int32)  # bytes to the text's end
+        blank = (wide[:n] == 32) & (wide[1 : n + 1] == 32)
+        code = np.zeros(n, np.uint32)
+        for k in range(most):
+            code |= wide[k : n + k].astype(np.uint32) << np.uint32(8 * k)
+            if k + 1 in ORDERS:
+                fits = np.flatnonzero((left > k) & ~blank)
+                h = (code[fits] + np.uint32(0x7F4A7C15 * (k + 1) & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+                yield ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int64), owner[fits]
 
 
 def counted(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, weights) of each text, weights summing to 1."""
-    b, o = subwords(text)
-    keys, n = np.unique(o.astype(np.int64) << BITS | b, return_counts=True)
+    parts = [np.unique(o << BITS | b, return_counts=True) for b, o in subwords(text)] or [(np.zeros(0, np.int64),) * 2]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([m for _, m in parts]), len(keys)).astype(np.int64)
     at = np.searchsorted(keys >> BITS, np.arange(len(text) + 1))
     return [((keys[i:j] & (1 << BITS) - 1).astype(np.int32), (n[i:j] / max(1, n[i:j].sum())).astype(np.float32)) for i, j in zip(at[:-1], at[1:])]
 
@@ -68,17 +77,20 @@ def counted(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class LanguageModel:
     labels: list[str]
-    scores: np.ndarray  # bucket x label: embedding times output weights
+    scores: np.ndarray  # bucket x (labels, then no language): embedding times output weights
     bias: np.ndarray
     temperature: float
     min_score: float
 
     def predict(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best label and its calibrated probability."""
-        b, o = subwords(text)
-        n = np.maximum(1, np.bincount(o, minlength=len(text)))
-        z = np.stack([np.bincount(o, self.scores[b, c], minlength=len(text)) for c in range(len(self.labels))], 1) / n[:, None] + self.bias
-        p = softmax(z / self.temperature)
+        n, z = np.zeros(len(text)), np.zeros((len(text), len(self.bias)))
+        for b, o in subwords(text):
+            n += np.bincount(o, minlength=len(text))
+            for c in range(len(self.bias)):
+                z[:, c] += np.bincount(o, self.scores[b, c], len(text))
+        z = z / np.maximum(1, n)[:, None] + self.bias
+        p = softmax(z / self.temperature)[:, : len(self.labels)]
         best = p.argmax(1)
         return best, p[np.arange(len(p)), best]
 
@@ -94,17 +106,27 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[np.argmin([-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid])]) if len(y) else 1.0
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str], epochs: int = 8, rate: float = 0.3, lost: float = 0.0005, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent, one document a step; every tenth document is held back for calibration.
+def threshold(score: np.ndarray, wrong: np.ndarray, most_wrong: float) -> float:
+    """The lowest score from which at most ``most_wrong`` of the texts are wrong; just above the highest if there is none."""
+    order = np.argsort(-score, kind="stable")
+    share = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
+    last = np.append(score[order][1:] < score[order][:-1], True)  # equal scores are accepted together
+    fine = np.flatnonzero((share <= most_wrong) & last)
+    return float(score[order][fine[-1]]) if len(fine) else float(np.nextafter(score.max(initial=0.0), 2.0))
+
+
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str | None], epochs: int = 8, rate: float = 0.3, most_wrong: float = 0.002, seed: int = 7) -> LanguageModel:
+    """Stochastic gradient descent, one document a step; every tenth document is held back for calibration. A name of None: no language.
 
     A step moves a document's mean embedding by the rate times its gradient, however many subwords share it, and output weights keep a
     bounded norm, so that long documents and wrong labels cannot make the descent diverge.
     """
-    labels = sorted(set(names))
-    y = np.array([labels.index(x) for x in names])
+    labels = sorted({x for x in names if x is not None})
+    place = {x: i for i, x in enumerate(labels)} | {None: len(labels)}
+    y = np.array([place[x] for x in names])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (DIM, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32)
+    out, bias = rng.normal(0, 0.1, (DIM, len(place))).astype(np.float32), np.zeros(len(place), np.float32)
     order = rng.permutation(len(y))
     back, learn = order[::10], np.delete(order, np.s_[::10]) if len(order) > 20 else order
     steps, step = epochs * len(learn), 0
@@ -122,29 +144,42 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str], epochs:
             emb[b] -= lr * np.outer(w / (w @ w + 1e-6), back_h)
     z = np.stack([w @ emb[b] @ out + bias for b, w in (samples[i] for i in back)])
     t = temperature(z, y[back])
-    p = softmax(z / t)
-    right = p.argmax(1) == y[back]
-    least = float(min(0.4, np.quantile(p.max(1)[right], lost))) if right.any() else 0.0
-    return LanguageModel(labels, emb @ out, bias, t, least)
+    p = softmax(z / t)[:, : len(labels)]
+    return LanguageModel(labels, emb @ out, bias, t, min(0.9, max(0.5, threshold(p.max(1), p.argmax(1) != y[back], most_wrong))))
+
+
+def without_language(text: str, rng: np.random.Generator) -> str:
+    """The characters of a text shuffled, or its letters exchanged at random."""
+    if rng.random() < 0.5:
+        return rng.permutation(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).copy()).tobytes().decode("utf-32-le")
+    letters = sorted({c for c in text.lower() if c.isalpha()})
+    return text.lower().translate(dict(zip(map(ord, letters), rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(letters)).tolist())))
 
 
-def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int = 800) -> LanguageModel | None:
+def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int = 800, most_labels: int = 256) -> LanguageModel | None:
     """Fit to ``rows``, all of which may be learned from; only subword counts of the bounded sample reach the driver."""
     rows = rows.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("label is not null and text is not null")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()
     if not sizes:
         return None
+    shares = rows.sparkSession.createDataFrame([(r["label"], min(1.0, per_label / r["count"])) for r in sizes], "label string, share double")
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_label / n))])
+    rows = rows.join(F.broadcast(shares), "label").where(draw < F.col("share")).select("id", "text", "label")
+    spoilt = min(1.0, per_label / sum(min(per_label, r["count"]) for r in sizes))  # no language is learned from at most as many texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, "text"):
-                c = counted(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x, _ in c], pa.binary()), pa.array([w.tobytes() for _, w in c], pa.binary())], ["id", "label", "b", "w"])
+                ids, texts = b.column(0), b.column(1)
+                rngs = [np.random.default_rng(zlib.crc32(t.encode("utf-8", "replace"))) for t in texts.to_pylist()]
+                made = [i for i, r in enumerate(rngs) if r.random() < spoilt]
+                extra = pa.array([without_language(texts[i].as_py(), rngs[i]) for i in made], pa.string())
+                for id_, names, column in ((ids, b.column(2), texts), (ids.take(pa.array(made, pa.int64())), pa.nulls(len(made), pa.string()), extra)):
+                    c = counted(column)
+                    yield pa.RecordBatch.from_arrays([id_, names, pa.array([x.tobytes() for x, _ in c], pa.binary()), pa.array([w.tobytes() for _, w in c], pa.binary())], ["id", "label", "b", "w"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, label string, b binary, w binary"
-    got = rows.where(draw < share[F.col("label")]).mapInArrow(run, schema).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    got = rows.mapInArrow(run, schema).toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("w", "ascending")])
     samples = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(got["b"].to_pylist(), got["w"].to_pylist())]
     return fit(samples, got["label"].to_pylist())
 
@@ -183,5 +218,5 @@ def accepted(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
 
 
 def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``; ids that are null are in no fold."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo ``folds``; -1, which is no fold, for ids that are null."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))

@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie, with byte fallback.
 
-A text is escaped (a space before it, every space becomes U+2581) and segmented into the pieces with the largest sum of log scores.
+A text is escaped (a space before it if the model's file says so, every space becomes U+2581) and segmented into the pieces with the largest sum of log scores.
 Where no piece covers a character alone, the character can be an unknown piece (least score less 10), which is then
 spelled in byte pieces. Piece files come from public tokenizers and are read once, on the driver; the tables (two trie
 arrays, scores, bytes) have the size of the vocabulary and are broadcast. Files of the BPE kind hold merge ranks instead
 of log scores: their pieces get the log of a Zipf share, -log(rank + 1) - log(sum of shares).
 
 No piece has U+2581 after another character (checked), so that the best segmentation splits at words; white-space characters that no piece
-holds split it too. Distinct units are encoded together, one trie step for all at a time, and kept in a bounded cache.
+holds split it too. Distinct units are encoded together, one trie step for all at a time; short ones are kept in a cache of
+about ``CACHE_BYTES``.
+
+Of a file's normaliser, the dummy prefix and the removal of extra white space are followed; a file with a character map is refused.
 
 Defined cases: null text gives null ids, empty text no ids; long units are encoded whole; U+2581 in a text decodes as a space; other
-texts come back unchanged from :func:`decode`; repeated rows give equal ids; an empty table gives an empty result; extra
-columns are left alone.
+texts come back unchanged from :func:`decode` (where the file removes extra white space, without it); repeated rows give equal
+ids; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from .words import pieces as slices
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-LONG, CACHED = 200, 300_000
+#: Bytes of a unit that is encoded alone and not kept; bytes of the cache, and of each of its entries beside text and ids.
+LONG, CACHE_BYTES, ENTRY = 200, 1 << 25, 250
+#: Text bytes that are encoded at a time (a longer text is taken alone, whole).
+STEP = 1 << 18
 
 
 @dataclass
@@ -82,10 +88,13 @@ class PieceModel:
     texts: list[bytes]  # what each id decodes to
     isolated: str  # white space that no piece holds
     split: bool
+    prefix: bool = True
+    squeeze: bool = False  # extra white space is removed
     cache: dict = field(default_factory=dict)
+    cached: int = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "cached": 0}
 
     @property
     def unknown(self) -> np.float32:
@@ -95,9 +104,12 @@ class PieceModel:
 
     def units(self, text: str) -> list[str]:
         """Parts whose best segmentations are independent; spaces stand for U+2581."""
+        text = text.replace(MARK, " ")
+        if self.squeeze:
+            text = re.sub(" {2,}", " ", text).strip(" ")
         if not text:
             return []
-        text = " " + text.replace(MARK, " ")
+        text = " " + text if self.prefix else text
         if not self.split:
             return [text]
         return _unit_pattern(self.isolated).findall(text)
@@ -207,12 +219,21 @@ class PieceModel:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else self.units(t) for t in texts]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        new = list({u for us in split if us for u in us if u not in self.cache})
+        if self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, 0
+        new, alone = [], {}
+        for u in {u for us in split if us for u in us if u not in self.cache}:
+            new.append(u)
+            if len(u) > LONG:
+                alone[u] = b""
         for u, ids in zip(new, self.encode_units(new)):
-            self.cache[u] = ids.astype(np.int32).tobytes()
-        get = self.cache.__getitem__
+            coded = ids.astype(np.int32).tobytes()
+            if u in alone:
+                alone[u] = coded
+            else:
+                self.cache[u] = coded
+                self.cached += ENTRY + len(u) + len(coded)
+        get = (lambda u: self.cache[u] if u in self.cache else alone[u]) if alone else self.cache.__getitem__
         return [None if us is None else np.frombuffer(b"".join(map(get, us)), np.int32) for us in split]
 
     # Decoding
@@ -221,7 +242,7 @@ class PieceModel:
         if ids is None:
             return None
         text = b"".join(map(self.texts.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 _patterns: dict[str, re.Pattern] = {}
@@ -234,8 +255,8 @@ def _unit_pattern(isolated: str) -> re.Pattern:
     return _patterns[isolated]
 
 
-def from_pieces(names: list[str], scores: list[float], kinds: list[str]) -> PieceModel:
-    """``kinds``: normal, byte, control or unknown for each piece."""
+def from_pieces(names: list[str], scores: list[float], kinds: list[str], prefix: bool = True, squeeze: bool = False) -> PieceModel:
+    """``kinds``: normal, byte, control or unknown for each piece. ``prefix``: a space goes before texts. ``squeeze``: extra spaces go."""
     normal = [i for i, k in enumerate(kinds) if k == "normal"]
     keys = [names[i].encode() for i in normal]
     order = sorted(range(len(keys)), key=keys.__getitem__)
@@ -249,6 +270,7 @@ def from_pieces(names: list[str], scores: list[float], kinds: list[str]) -> Piec
     return PieceModel(
         DoubleArray.build([keys[i] for i in order]), np.array([normal[i] for i in order], np.int32), np.array([scores[normal[i]] for i in order], np.float32), byte_ids, texts,
         "".join(c for c in "\n\t\r\v\f" if c not in held), not any(re.search(f"[^{MARK}]{MARK}", names[i]) for i in normal),
+        prefix, squeeze,
     )
 
 
@@ -266,12 +288,15 @@ def load(path: str = DEFAULT_MODEL, scores: str = "auto") -> PieceModel:
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
+    rules = proto.normalizer_spec
+    if rules.precompiled_charsmap or not rules.escape_whitespaces:
+        raise ValueError(f"{path}: a character map of the normaliser, or spaces that are not escaped, cannot be followed")
     kind = {1: "normal", 2: "unknown", 3: "control", 4: "normal", 5: "unused", 6: "byte"}
     names, kinds = [p.piece for p in proto.pieces], [kind[p.type] for p in proto.pieces]
     given = [p.score for p in proto.pieces]
     if scores == "zipf" or scores == "auto" and proto.trainer_spec.model_type == 2:
         given = zipf_scores([-s for s in given])
-    return from_pieces(names, given, kinds)
+    return from_pieces(names, given, kinds, rules.add_dummy_prefix, rules.remove_extra_whitespaces)
 
 
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -285,7 +310,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[st
         is_byte = np.zeros(len(m.texts), bool)
         is_byte[m.byte_ids] = True
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 texts = b.column(1).to_pylist()
                 ids = m.encode(texts)
                 flat = np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]])

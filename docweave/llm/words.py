@@ -122,7 +122,7 @@ def with_body(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, batch.column(0).flatten()[at]], [*batch.schema.names, "text"])
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE // 2) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows whose texts hold about ``limit`` bytes; a longer text comes alone."""
     at = batch.schema.get_field_index(column)
     _, offsets = bytes_of(batch.column(at))
