@@ -71,7 +71,7 @@ def counted(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     n = np.bincount(at, np.concatenate([m for _, m in parts]), len(keys)).astype(np.int64)
     at = np.searchsorted(keys >> BITS, np.arange(len(text) + 1))
-    return [((keys[i:j] & (1 << BITS) - 1).astype(np.int32), (n[i:j] / max(1, n[i:j].sum())).astype(np.float32)) for i, j in zip(at[:-1], at[1:])]
+    return [((keys[i:j] & (1 << BITS) - 1).astype(np.uint16), (n[i:j] / max(1, n[i:j].sum())).astype(np.float32)) for i, j in zip(at[:-1], at[1:])]
 
 
 @dataclass
@@ -179,9 +179,10 @@ def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int =
                     yield pa.RecordBatch.from_arrays([id_, names, pa.array([x.tobytes() for x, _ in c], pa.binary()), pa.array([w.tobytes() for _, w in c], pa.binary())], ["id", "label", "b", "w"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, label string, b binary, w binary"
-    got = rows.mapInArrow(run, schema).toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("w", "ascending")])
-    samples = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(got["b"].to_pylist(), got["w"].to_pylist())]
-    return fit(samples, got["label"].to_pylist())
+    got = rows.mapInArrow(run, schema).toArrow()
+    order = pc.sort_indices(got, [("id", "ascending"), ("label", "ascending"), ("w", "ascending")]).to_pylist()
+    samples = [(np.frombuffer(got["b"][i].as_buffer(), np.uint16), np.frombuffer(got["w"][i].as_buffer(), np.float32)) for i in order]  # nothing is copied
+    return fit(samples, [got["label"][i].as_py() for i in order])
 
 
 def judged(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
