@@ -50,7 +50,7 @@ def fix_word_spacing(text: Column, pattern: str | None = None) -> Column:
 def normalize_whitespace(text: Column) -> Column:
     """Tabs to spaces, runs of spaces to one, no white space at line ends, at most one blank line in a row."""
     text = F.regexp_replace(F.translate(text, "\t", " "), " {2,}", " ")
-    text = F.regexp_replace(text, f"(?:(?!\n){SPACE})+(?=\n|\\z)", "")
+    text = F.regexp_replace(text, f"[{SPACE}&&[^\n]]++(?=\n|\\z)", "")
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
@@ -58,7 +58,8 @@ def remove_repeated_lines(text: Column, threshold: int = 3, least: int = 20) ->
     """Of lines (trimmed, of ``least`` characters or more) found ``threshold`` times or more, keep the first.
 
     Lines are sorted with their positions, so that equal lines meet: n log n in the row, whatever its length. A text
-    without such lines is unchanged; otherwise every kept line ends with a newline.
+    without such lines is unchanged; otherwise every kept line ends with a newline. Most texts hold no line twice, which a count of
+    distinct lines tells before anything is sorted.
     """
 
     def body(lines: Column) -> Column:
@@ -80,7 +81,9 @@ def remove_repeated_lines(text: Column, threshold: int = 3, least: int = 20) ->
 
         return let(let(keyed, marked), joined)
 
-    return let(F.split(text, "\n", -1), body)
+    trimmed = F.split(trim_all(text), f"{SPACE}*\n{SPACE}*")
+    some = F.size(trimmed) > F.size(F.array_distinct(trimmed))
+    return F.when(some, let(F.split(text, "\n", -1), body)).otherwise(text)
 
 
 def clean_tables(text: Column, replacement: str = ", ") -> Column:
@@ -91,8 +94,9 @@ def clean_tables(text: Column, replacement: str = ", ") -> Column:
 def finish(text: Column) -> Column:
     """Trim the text and every line; one empty line at most in a row."""
     text = F.regexp_replace(trim_all(text), f"\n{SPACE}*\n", "\n\n")
-    lines = F.transform(F.split(text, "\n", -1), trim_all)
-    return F.array_join(let(lines, lambda ls: F.filter(ls, lambda x, j: (x != "") | (j == 0) | (F.get(ls, j - 1) != ""))), "\n")
+    # Runs of empty lines are gone and both ends are trimmed, so that only white space beside line ends is left to take.
+    inner = f"[{SPACE}&&[^\n]]*+"
+    return F.regexp_replace(text, f"{inner}\n{inner}", "\n")
 
 
 def n_tokens(text: Column) -> Column:

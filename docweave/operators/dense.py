@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -11,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .lexical import PLACES, top
 
 METRICS = ("cosine", "euclid", "dot")
-#: Query vectors that one pass over the items takes; more queries take more passes, never a larger broadcast.
-BLOCK = 2000
+#: Queries and items (about) that one task multiplies.
+BLOCK, PART = 2000, 20_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -30,56 +28,53 @@ def similarity(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "cosine", by_tenant: bool = False, item: str = "item_id", vector: str = "embedding", tenant: str = "tenant_id", most_k: int = 100) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "cosine", by_tenant: bool = False, item: str = "item_id", vector: str = "embedding", tenant: str = "tenant_id", most_k: int = 100, places: int | None = 6) -> DataFrame:
     """(query_id, rank, item_id, score) of ``queries`` (query_id, embedding[, tenant_id]); unknown metrics count as cosine.
 
-    Blocks of queries are multiplied with batches of items inside tasks, each task keeps its own top k of every query, and a window
-    takes the final ones: what is shuffled grows with tasks x queries x k, not with the items. Items of another dimension never match.
+    One job, whatever the number of queries: queries are dealt into blocks of about BLOCK and items into parts of about PART; each pair of a
+    block and a part is one product inside a task, which keeps its own top k of every query; and a window takes the final ones. What is
+    shuffled is every query once for each part and every item once for each block, never a pair. Items of another dimension never
+    match. ``places``: decimals of the score; None leaves it unrounded.
     """
     metric, k, ascending = metric if metric in METRICS else "cosine", min(k, most_k), metric == "euclid"
-    spark = items.sparkSession
-    rows = items.select(F.col(tenant).cast("string").alias("tenant_id") if by_tenant else F.lit(None).cast("string").alias("tenant_id"), F.col(item).alias("item_id"), F.col(vector).cast("array<float>").alias("x"))
-    kind = rows.schema["item_id"].dataType.simpleString()
-    asked = queries.select("query_id", (F.col("tenant_id").cast("string") if by_tenant else F.lit(None).cast("string")).alias("t"), F.col("embedding").cast("array<float>").alias("x"))
-    q_kind = asked.schema["query_id"].dataType.simpleString()
-    passes = max(1, -(-queries.count() // BLOCK))
-    out = None
-    for i in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow().combine_chunks().sort_by("query_id")
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked = shared.value
-            if not len(asked):
-                return
-            q = matrix(asked["x"].combine_chunks())
-            own = np.asarray(asked["t"].to_pylist(), object)
-            best: pa.Table | None = None
-            for b in batches:
-                b = b.filter(pa.array(np.asarray(b.column(2).value_lengths().fill_null(0)) == q.shape[1]))
-                if not b.num_rows:
-                    continue
-                s = np.round(similarity(metric, q, matrix(b.column(2))), PLACES)
-                s = s if ascending else -s
+    n_queries, n_items = queries.count(), items.count()
+    blocks, parts = max(1, -(-n_queries // BLOCK)), max(1, -(-n_items // PART))
+    own = F.col(tenant).cast("string") if by_tenant else F.lit(None).cast("string")
+    deal = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    x = F.col(vector).cast("array<float>").alias("x")
+    kind, q_kind = items.schema[item].dataType, queries.schema["query_id"].dataType
+    asked = queries.select(deal("query_id", blocks, "q").alias("b"), every(parts).alias("p"), F.col("query_id"), none(kind, "item_id"), (F.col("tenant_id").cast("string") if by_tenant else own).alias("t"), F.col("embedding").cast("array<float>").alias("x"))
+    rows = items.select(every(blocks).alias("b"), deal(item, parts, "i").alias("p"), none(q_kind, "query_id"), F.col(item).alias("item_id"), own.alias("t"), x)
+    rows = rows.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sizes, asks = np.asarray(table["x"].combine_chunks().value_lengths().fill_null(0)), np.asarray(table["asks"])
+        found = []
+        for size in np.unique(sizes[asks]):  # queries meet items of their own dimension
+            q, v = table.filter(pa.array(asks & (sizes == size))), table.filter(pa.array(~asks & (sizes == size)))
+            if not size or not v.num_rows:
+                continue
+            for lo in range(0, q.num_rows, 256):
+                part = q.slice(lo, 256)
+                raw = similarity(metric, matrix(part["x"].combine_chunks()), matrix(v["x"].combine_chunks()))
+                s = np.round(raw if ascending else -raw, PLACES)
                 if by_tenant:
-                    s[own[:, None] != np.asarray(b.column(0).to_pylist(), object)[None]] = np.inf
+                    s[np.asarray(part["t"].to_pylist(), object)[:, None] != np.asarray(v["t"].to_pylist(), object)[None]] = np.inf
                 n = min(k, s.shape[1])
                 edge = np.partition(s, n - 1, axis=1)[:, n - 1 : n]  # ties at the edge all stay
                 qi, xi = np.nonzero((s <= edge) & np.isfinite(s))
-                found = pa.table({"q": qi, "item_id": b.column(1).take(pa.array(xi)), "s": s[qi, xi]})
-                found = found if best is None else pa.concat_tables([best, found])
-                found = found.sort_by([("q", "ascending"), ("s", "ascending"), ("item_id", "ascending")])
-                qs = np.asarray(found["q"])
-                place = np.arange(len(qs)) - np.searchsorted(qs, qs)
-                best = found.filter(pa.array(place < k))
-            if best is not None:
-                ids = asked["query_id"].combine_chunks().take(best["q"].combine_chunks())
-                s = np.asarray(best["s"])
-                yield pa.RecordBatch.from_arrays([ids, best["item_id"].combine_chunks(), pa.array(s if ascending else -s + 0.0)], ["query_id", "item_id", "score"])
-
-        found = rows.mapInArrow(run, f"query_id {q_kind}, item_id {kind}, score double")
-        out = found if out is None else out.unionAll(found)
-    return top(out, k, ascending=ascending).select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
+                hits = pa.table({"q": qi, "query_id": part["query_id"].take(pa.array(qi)), "item_id": v["item_id"].take(pa.array(xi)), "s": s[qi, xi], "score": raw[qi, xi]})
+                hits = hits.sort_by([("q", "ascending"), ("s", "ascending"), ("item_id", "ascending")])
+                qs = np.asarray(hits["q"])
+                found.append(hits.select(["query_id", "item_id", "score"]).filter(pa.array(np.arange(len(qs)) - np.searchsorted(qs, qs) < k)))
+        return pa.concat_tables(found) if found else table.schema.empty_table().select(["query_id", "item_id"]).append_column("score", pa.array([], pa.float64()))
+
+    out = rows.groupBy("b", "p").applyInArrow(run, f"query_id {q_kind.simpleString()}, item_id {kind.simpleString()}, score double")
+    score = F.col("score") if places is None else F.round("score", places)
+    return top(out, k, ascending=ascending).select("query_id", "rank", "item_id", score.alias("score"))
 
 
 def normalized(cosine: Column) -> Column:
@@ -89,7 +84,7 @@ def normalized(cosine: Column) -> Column:
 
 def dense(queries: DataFrame, items: DataFrame, k: int = 10, threshold: float = 0.5, second: float | None = None, **options) -> DataFrame:
     """Cosine top-k whose normalised scores reach ``threshold`` (and the caller's ``second``); applied after the top k, so fewer rows are right."""
-    rows = nearest(queries, items, k, **options).withColumn("score", F.round(normalized(F.col("score")), 6))
+    rows = nearest(queries, items, k, places=None, **options).withColumn("score", F.round(normalized(F.col("score")), 6))
     return rows.where(F.col("score") >= max(threshold, second or 0.0))
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.common import sized
-
 #: Abramowitz and Stegun 7.1.26, an error function by a polynomial of t = 1 / (1 + p x).
 ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
@@ -14,7 +12,7 @@ def check_set(queries: DataFrame, qrels: DataFrame, documents: DataFrame) -> tup
     """(usable queries, queries without relevant documents, dangling relevance rows) of an evaluation set (query_id; query_id, item_id; item_id)."""
     dangling = qrels.join(documents.select("item_id").hint("merge"), "item_id", "left_anti")
     known = qrels.select("query_id").distinct()
-    return queries.join(sized(known), "query_id", "left_semi"), queries.join(sized(known), "query_id", "left_anti"), dangling
+    return queries.join(known.hint("merge"), "query_id", "left_semi"), queries.join(known.hint("merge"), "query_id", "left_anti"), dangling
 
 
 def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -25,10 +23,10 @@ def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, ks: tuple[i
     """
     rel = qrels.distinct().withColumn("_rel", F.lit(True))
     n_rel = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    hits = runs.join(sized(rel), ["query_id", "item_id"], "left").withColumn("_rel", F.coalesce("_rel", F.lit(False)))
+    hits = runs.join(rel.hint("merge"), ["query_id", "item_id"], "left").withColumn("_rel", F.coalesce("_rel", F.lit(False)))
     found = [F.count_if(F.col("rank") <= k).alias(f"_f{k}") for k in ks] + [F.count_if((F.col("rank") <= k) & F.col("_rel")).alias(f"_h{k}") for k in ks]
     g = hits.groupBy("strategy", "query_id").agg(*found, F.min(F.when(F.col("_rel"), F.col("rank"))).alias("_first"))
-    rows = queries.join(g.hint("merge"), ["strategy", "query_id"], "left").join(sized(n_rel), "query_id", "left")
+    rows = queries.join(g.hint("merge"), ["strategy", "query_id"], "left").join(n_rel.hint("merge"), "query_id", "left")
     share = lambda a, b: F.round(F.when(F.coalesce(b, F.lit(0)) > 0, F.coalesce(a, F.lit(0)) / b).otherwise(0.0), 6)
     out = [share(F.col(f"_h{k}"), F.col(f"_f{k}")).alias(f"p_at_{k}") for k in ks] + [share(F.col(f"_h{k}"), F.col("_n")).alias(f"r_at_{k}") for k in ks]
     return rows.select(*queries.columns, *out, F.round(F.coalesce(1 / F.col("_first"), F.lit(0.0)), 6).alias("rr"))
@@ -101,7 +99,7 @@ def comparison(rolled: DataFrame, tests: DataFrame, baseline: str) -> DataFrame:
     """Each strategy against the baseline: p_at_5, change in percent, p, mark, r_at_5, rr, p95_ms. ``tests``: rows of :func:`paired_t` with the strategy as a."""
     overall = rolled.where("query_type = 'Overall'")
     base = overall.where(F.col("strategy") == baseline).first()
-    rows = overall.join(sized(tests.select(F.col("a").alias("strategy"), "p")), "strategy", "left")
+    rows = overall.join(F.broadcast(tests.select(F.col("a").alias("strategy"), "p").limit(1000)), "strategy", "left")
     return rows.select("strategy", "p_at_5", F.round(improvement(F.lit(base["p_at_5"]), F.col("p_at_5")), 6).alias("change"), "p", mark(F.col("p")).alias("mark"), "r_at_5", "rr", "p95_ms")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.common import sized
+from ..functions.common import sized, within
 
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.2, 0.75
@@ -17,16 +17,21 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def postings(items: DataFrame, item: str = "item_id", text: str = "text", tenant: str = "tenant_id", only: DataFrame | None = None) -> DataFrame:
-    """(term, tenant, item, tf, dl) of items with text. ``only`` (term): a table of wanted terms, applied before anything is shuffled
-    if it is small."""
+def _exploded(items: DataFrame, item: str, text: str, tenant: str) -> DataFrame:
+    """(tenant_id, item_id, dl, term): a row for each term of an item, and one with a null term for the item itself."""
     rows = items.select(F.col(tenant).alias("tenant_id"), F.col(item).alias("item_id"), terms(F.col(text)).alias("ts"))
-    rows = rows.select("tenant_id", "item_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    if only is not None:
-        rows = rows.join(sized(only.select("term").distinct()), "term", "left_semi")
+    return rows.select("tenant_id", "item_id", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", "tenant_id", "item_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings(items: DataFrame, item: str = "item_id", text: str = "text", tenant: str = "tenant_id") -> DataFrame:
+    """(term, tenant, item, tf, dl) of items with text."""
+    return _counted(_exploded(items, item, text, tenant).where("term is not null"))
+
+
 def term_counts(post: DataFrame, by_tenant: bool = False) -> DataFrame:
     return post.groupBy(*["tenant_id"] * by_tenant, "term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -38,12 +43,17 @@ def corpus_stats(items: DataFrame, text: str = "text", tenant: str = "tenant_id"
 
 
 def write_index(items: DataFrame, path: str, buckets: int = 64, **names: str) -> None:
-    """The lexical index as tables: postings clustered by term (a look-up of few terms reads few row groups), term counts, statistics."""
-    post = postings(items, **names)
-    post.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    """The lexical index as tables: postings by bucket of their term and sorted by term (a look-up reads the buckets of its terms, and few
+    row groups of them), term counts, statistics."""
+    post = postings(items, **names).withColumn("bucket", bucket(F.col("term"), buckets))
+    post.repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = items.sparkSession.read.parquet(f"{path}/postings")
     term_counts(stored).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_stats(items, names.get("text", "text"), names.get("tenant", "tenant_id")).write.mode("overwrite").parquet(f"{path}/stats")
+    corpus_stats(items, names.get("text", "text"), names.get("tenant", "tenant_id")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bucket(term: Column, buckets: int | Column) -> Column:
+    return F.pmod(F.xxhash64(term), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int")
 
 
 def top(rows: DataFrame, k: int | Column, score: str = "score", by: tuple[str, ...] = ("query_id",), item: str = "item_id", ascending: bool = False) -> DataFrame:
@@ -53,26 +63,59 @@ def top(rows: DataFrame, k: int | Column, score: str = "score", by: tuple[str, .
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _wanted(queries: DataFrame, by_tenant: bool) -> DataFrame:
+    own = ["tenant_id"] * by_tenant
+    asked = queries.select("query_id", *own, F.explode(terms(F.col("text"))).alias("term"))
+    return asked.groupBy("query_id", *own, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _scored(hits: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Top k of rows with query_id, item_id, qtf, tf, dl, df, n and avgdl."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scores = hits.groupBy("query_id", "item_id").agg(F.sum(weight).alias("score"))
+    return top(scores, k).select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
+
+
 def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = K1, b: float = B, by_tenant: bool = False, stats_by_tenant: bool = False, item: str = "item_id", text: str = "text", tenant: str = "tenant_id", most_k: int = 100) -> DataFrame:
     """(query_id, rank, item_id, score) of ``queries`` (query_id, text[, tenant_id]); any term may match, repeated query terms count again.
 
     ``by_tenant``: a query sees items of its own tenant only. ``stats_by_tenant``: so do n, df and average length.
+
+    The corpus is tokenised once: terms that no query asks for are dropped before the one shuffle, whose output gives term counts,
+    statistics and hits alike. Only the queries' own terms are counted ahead, to be broadcast if they are few.
     """
-    wanted = queries.select("query_id", *["tenant_id"] * by_tenant, F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", *["tenant_id"] * by_tenant, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    post = postings(items, item, text, tenant, wanted)
-    df = term_counts(post, stats_by_tenant)
+    wanted = _wanted(queries, by_tenant)
+    asked = wanted.select("term").distinct()
+    few, bounded = within(asked)
+    rows = _exploded(items, item, text, tenant)
+    # The null term, which stands for the item itself, is wanted too.
+    rows = rows.join(few(asked.unionAll(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).select(F.col("term").alias("_asked"))), F.col("term").eqNullSafe(F.col("_asked")), "left_semi")
+    post = _counted(rows)
+    hits = post.where("term is not null")
     scope = ["tenant_id"] * stats_by_tenant
-    hits = post.join(sized(df), [*scope, "term"])
+    df = term_counts(hits, stats_by_tenant)  # without tenants no more rows than ``asked``
+    stats = post.where("term is null").groupBy(*scope).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     if stats_by_tenant:
-        hits = hits.join(sized(corpus_stats(items, text, tenant, True)), "tenant_id")
+        hits = hits.join(df.hint("merge"), [*scope, "term"]).join(stats.hint("merge"), "tenant_id")
     else:
-        n, avgdl = corpus_stats(items, text, tenant).first()
-        hits = hits.withColumn("n", F.lit(n)).withColumn("avgdl", F.lit(avgdl))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = hits.join(sized(wanted), [*["tenant_id"] * by_tenant, "term"])
-    scores = hits.groupBy("query_id", "item_id").agg(F.sum(weight).alias("score"))
-    return top(scores, min(k, most_k)).select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
+        hits = hits.join(few(df), "term").crossJoin(F.broadcast(stats))  # one row
+    hits = hits.join(sized(wanted) if bounded else wanted.hint("merge"), [*["tenant_id"] * by_tenant, "term"])
+    return _scored(hits, min(k, most_k), k1, b)
+
+
+def bm25_stored(queries: DataFrame, path: str, k: int = 10, k1: float = K1, b: float = B, by_tenant: bool = False, most_k: int = 100) -> DataFrame:
+    """:func:`bm25` from the tables of :func:`write_index`: the corpus is not read, and of its postings only the buckets that hold asked terms."""
+    spark = queries.sparkSession
+    stats, wanted = spark.read.parquet(f"{path}/stats"), _wanted(queries, by_tenant)
+    n, avgdl, buckets = stats.select("n", "avgdl", "buckets").first()
+    wanted = wanted.withColumn("bucket", bucket(F.col("term"), buckets))
+    held = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(held))
+    hits = post.join(sized(wanted), ["bucket", *["tenant_id"] * by_tenant, "term"])
+    df = spark.read.parquet(f"{path}/terms").join(sized(wanted.select("term").distinct()), "term", "left_semi")
+    hits = hits.join(sized(df), "term").withColumn("n", F.lit(n)).withColumn("avgdl", F.lit(avgdl))
+    return _scored(hits, min(k, most_k), k1, b)
 
 
 def highlight(results: DataFrame, items: DataFrame, queries: DataFrame, most: int = 150, item: str = "item_id", text: str = "text") -> DataFrame:

@@ -130,21 +130,21 @@ X10 = f"WITH {ANSWERS}, {_CLAIMS} SELECT answer_id, CAST(position AS INTEGER) AS
 
 def x11(spark, sf_dir):
     """Claims against their context; half of the contexts hold the answer's own words."""
-    a = answers(spark, sf_dir).withColumn("context", F.when(F.col("answer_id") % 2 == 0, F.concat_ws(" ", "context", F.substring("answer", 1, 60))).otherwise(F.col("context")))
+    a = answers(spark, sf_dir).withColumn("context", F.when(F.col("answer_id") % 2 == 0, F.concat_ws(" ", "context", "answer")).otherwise(F.col("context")))
     return A.ground_claims(a)
 
 
-_MIXED = f"{ANSWERS.replace('answers AS', 'answers0 AS')}, answers AS (SELECT * REPLACE (CASE WHEN answer_id % 2 = 0 THEN concat_ws(' ', context, substr(answer, 1, 60)) ELSE context END AS context) FROM answers0)"
+_MIXED = f"{ANSWERS.replace('answers AS', 'answers0 AS')}, answers AS (SELECT * REPLACE (CASE WHEN answer_id % 2 = 0 THEN concat_ws(' ', context, answer) ELSE context END AS context) FROM answers0)"
 X11 = f"WITH {_MIXED}, {_CLAIMS}, {_GROUND} SELECT *, score >= 0.7 AS is_grounded FROM gc"
 
 
 def x12(spark, sf_dir):
     """Single words of queries as claims against the answers."""
-    a = answers(spark, sf_dir).select("answer_id", F.explode(F.slice(F.split("query", " "), 1, 6)).alias("claim"), "answer").where("claim <> ''")
+    a = answers(spark, sf_dir).select("answer_id", F.explode(F.split("query", " ")).alias("claim"), "answer").where("claim <> ''")
     return a.select("answer_id", "claim", A.grounding(F.col("claim"), F.col("answer")).alias("score")).distinct()
 
 
-X12 = rf"""WITH {ANSWERS}, cl AS (SELECT DISTINCT answer_id, claim, answer AS context FROM (SELECT answer_id, answer, unnest(string_split(query, ' ')[1:6]) AS claim FROM answers) WHERE claim <> ''), c0 AS (SELECT *, 0 AS position FROM cl),
+X12 = rf"""WITH {ANSWERS}, cl AS (SELECT DISTINCT answer_id, claim, answer AS context FROM (SELECT answer_id, answer, unnest(string_split(query, ' ')) AS claim FROM answers) WHERE claim <> ''), c0 AS (SELECT *, 0 AS position FROM cl),
 {_GROUND.replace('FROM cl WHERE', 'FROM c0 WHERE')} SELECT answer_id, claim, score FROM gc"""
 
 
@@ -162,10 +162,10 @@ SELECT answer_id, grounding_score, grounding_score AS confidence, CASE WHEN grou
 
 def x14(spark, sf_dir):
     a = answers(spark, sf_dir)
-    return a.select("answer_id", A.render(F.lit(TEMPLATE), {"context": F.substring("context", 1, 80), "query": F.concat(F.lit("$1 \\ "), F.substring("query", 1, 40))}).alias("prompt"))
+    return a.select("answer_id", A.render(F.lit(TEMPLATE), {"context": F.col("context"), "query": F.concat(F.lit("$1 \\ "), "query")}).alias("prompt"))
 
 
-X14 = f"WITH {ANSWERS} SELECT answer_id, 'Context:' || chr(10) || substr(context, 1, 80) || chr(10) || chr(10) || 'Question: $1 \\ ' || substr(query, 1, 40) || chr(10) || chr(10) || 'Sources: {{{{sources}}}}' AS prompt FROM answers"
+X14 = f"WITH {ANSWERS} SELECT answer_id, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: $1 \\ ' || query || chr(10) || chr(10) || 'Sources: {{{{sources}}}}' AS prompt FROM answers"
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions.common import sized
 from ..functions.queries import TYPES
 from ..operators import chunking, lexical
 
@@ -38,13 +39,13 @@ chunks AS (SELECT tenant_id, doc_id, CAST(s // 295 AS INTEGER) AS chunk_index, s
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, text (the first eight words of a benchmark item), query_type."""
+    """query_id, text (a benchmark item's), query_type."""
     b = table(spark, sf_dir, "benchmark")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("item_id") % 4 + 1).cast("int"))
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"), kind.alias("query_type"))
+    return b.select(F.col("item_id").alias("query_id"), "text", kind.alias("query_type"))
 
 
-QUERIES = f"""queries AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text, {TYPES}[item_id % 4 + 1] AS query_type FROM benchmark)"""
+QUERIES = f"""queries AS (SELECT item_id AS query_id, text, {TYPES}[item_id % 4 + 1] AS query_type FROM benchmark)"""
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ results AS (SELECT b.*, i.text, i.tenant_id AS source FROM bm25 b JOIN items i U
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
     return e.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("tenant_id"), "embedding")
 
 
@@ -93,10 +94,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").cast("string").alias("tenant_id"), "embedding")
 
 
-def nearest_sql(name: str = "near", k: int = 10, score: str = "list_cosine_similarity(q.e, v.e)", by_tenant: bool = False, order: str = "DESC", where: str = "") -> str:
+def nearest_sql(name: str = "near", k: int = 10, score: str = "list_cosine_similarity(q.e, v.e)", by_tenant: bool = False, order: str = "DESC", where: str = "", shown: str = "round(score, 6)") -> str:
     return f"""{name}_v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-{name} AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {order}, item_id) AS rank FROM
-  (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {score} AS score FROM {name}_v q JOIN {name}_v v ON {'q.label = v.label' if by_tenant else 'true'} WHERE q.vec_id % 50 = 0 {where})) WHERE rank <= {k})"""
+{name} AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, {shown} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {order}, item_id) AS rank FROM
+  (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {score} AS score FROM {name}_v q JOIN {name}_v v ON {'q.label = v.label' if by_tenant else 'true'} WHERE q.vec_id % 20 = 0 {where})) WHERE rank <= {k})"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,20 +123,36 @@ GRANTS = """grants AS (SELECT doc_id, doc_id * 7 % 150 AS user_id, CAST(1 + qual
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Access requests of events' users for documents: user, document, the user's tenant (a source) and the level that is needed."""
+    """Access requests of events' users: user, document (dealt over all documents, and some ids beyond them), tenant (every second time the
+    document's own) and the level that is needed."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 150).alias("user_id"), (F.col("event_id") % 1000).alias("doc_id"), F.concat(F.lit("src"), F.col("event_id") % 20).alias("tenant_id"), (1 + F.col("event_id") % 3).cast("int").alias("needed"), F.col("ts").alias("at"))
+    d = table(spark, sf_dir, "documents")
+    n = d.agg((F.max("doc_id") + 20).alias("n"))  # one row
+    e = e.crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("event_id") * 7919 % F.col("n"))
+    e = e.join(d.select("doc_id", "source").hint("merge"), "doc_id", "left")
+    tenant = F.when(F.col("event_id") % 2 == 0, F.col("source")).otherwise(F.concat(F.lit("src"), F.col("event_id") % 20))
+    return e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 150).alias("user_id"), "doc_id", tenant.alias("tenant_id"), (1 + F.col("event_id") % 3).cast("int").alias("needed"), F.col("ts").alias("at"))
 
 
-REQUESTS = "requests AS (SELECT event_id AS request_id, user_id % 150 AS user_id, event_id % 1000 AS doc_id, 'src' || event_id % 20 AS tenant_id, CAST(1 + event_id % 3 AS INTEGER) AS needed, ts AS \"at\" FROM events)"
+REQUESTS = """requests AS (SELECT event_id AS request_id, user_id % 150 AS user_id, e.doc_id, CASE WHEN event_id % 2 = 0 THEN source ELSE 'src' || event_id % 20 END AS tenant_id, CAST(1 + event_id % 3 AS INTEGER) AS needed, ts AS "at"
+  FROM (SELECT *, event_id * 7919 % (SELECT max(doc_id) + 20 FROM documents) AS doc_id FROM events) e LEFT JOIN documents d ON d.doc_id = e.doc_id)"""
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, item_id) where the document holds the benchmark item's text. The items are a stated, counted set of queries."""
-    from ..functions.common import sized
+    """(query_id, item_id) where the document holds the benchmark item's text.
 
+    A document that holds an item holds its longest inner word between spaces: that word finds the candidates, and ``contains`` decides.
+    Items of fewer than three words have no inner word and are looked for in every document.
+    """
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    return items(spark, sf_dir).join(sized(b), F.contains(F.col("text"), F.col("needle"))).select("query_id", "item_id").distinct()
+    inner = F.expr("filter(split(needle, ' '), (x, i) -> i > 0 and i < size(split(needle, ' ')) - 1)")
+    b = b.withColumn("word", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"])
+    d = items(spark, sf_dir).select("item_id", "text")
+    words = d.select("item_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    found = words.join(sized(b.where("word is not null")), "word").select("query_id", "item_id", "needle")
+    long = found.join(d.hint("merge"), "item_id").where(F.contains("text", "needle"))
+    short = d.join(sized(b.where("word is null")), F.contains(F.col("text"), F.col("needle")))
+    return long.select("query_id", "item_id").unionAll(short.select("query_id", "item_id")).distinct()
 
 
 QRELS = "qrels AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

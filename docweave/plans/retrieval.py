@@ -38,10 +38,10 @@ Q2 = rf"WITH {_T} SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[\x{{0400}}
 
 def q3(spark, sf_dir):
     t = Q.tokens(Q.normalize(F.col("text")))
-    return _texts(spark, sf_dir).select("conv_id", "turn", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 5), "|").alias("first"))
+    return _texts(spark, sf_dir).select("conv_id", "turn", F.size(t).alias("n"), F.md5(F.array_join(t, "|")).alias("tokens_md5"))
 
 
-Q3 = f"WITH {_T}, y AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda w: w <> '') AS ts FROM x) SELECT conv_id, turn, CAST(len(ts) AS INTEGER) AS n, array_to_string(ts[1:5], '|') AS first FROM y"
+Q3 = f"WITH {_T}, y AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda w: w <> '') AS ts FROM x) SELECT conv_id, turn, CAST(len(ts) AS INTEGER) AS n, md5(array_to_string(ts, '|')) AS tokens_md5 FROM y"
 
 
 def q4(spark, sf_dir):
@@ -136,13 +136,14 @@ SELECT query_id, rank, item_id, array_to_string(list_transform(range(1, len(fs)
 
 
 def r3(spark, sf_dir):
-    """Every query asked by three tenants."""
-    q = queries(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ["src0", "src1", "src2"]))).alias("tenant_id"), (F.col("query_id")).alias("q"), "text")
+    """Every query asked by every tenant: the stated queries are multiplied with the table of tenants."""
+    tenants = items(spark, sf_dir).select("tenant_id").where("tenant_id is not null").distinct()
+    q = queries(spark, sf_dir).select(F.col("query_id").alias("q"), "text").crossJoin(tenants)
     q = q.select(F.concat("tenant_id", F.lit("-"), F.col("q").cast("string")).alias("query_id"), "tenant_id", "text")
     return lexical.bm25(q, items(spark, sf_dir), 5, by_tenant=True)
 
 
-R3 = f"""WITH {QS}, tq AS (SELECT t || '-' || query_id AS query_id, t AS tenant_id, text FROM queries, unnest(['src0', 'src1', 'src2']) AS u(t)), {ITEMS}, {bm25_sql(k=5, queries='tq', by_tenant=True)} SELECT * FROM bm25"""
+R3 = f"""WITH {QS}, tq AS (SELECT t || '-' || query_id AS query_id, t AS tenant_id, text FROM queries, (SELECT DISTINCT source AS t FROM documents WHERE source IS NOT NULL)), {ITEMS}, {bm25_sql(k=5, queries='tq', by_tenant=True)} SELECT * FROM bm25"""
 
 
 def r4(spark, sf_dir):
@@ -173,17 +174,17 @@ def r6(spark, sf_dir):
 
 
 _DENSE = "dense AS (SELECT query_id, rank, item_id, round(least(1.0, greatest(0.0, (score + 1) / 2)), 6)::DOUBLE AS score FROM near WHERE (score + 1) / 2 >= 0.5)"
-R6 = f"WITH {nearest_sql()}, {_DENSE} SELECT * FROM dense WHERE score >= 0.6"
+R6 = f"WITH {nearest_sql(shown='score')}, {_DENSE} SELECT * FROM dense WHERE score >= 0.6"
 
 
 def hybrid_lists(spark, sf_dir):
-    """Both lists at the intermediate k of 20. Query i asks in words as benchmark item i and in numbers as vector 50 i, where both exist."""
+    """Both lists at the intermediate k of 20. Query i asks in words as benchmark item i and in numbers as vector 20 i, where both exist."""
     b = lexical_results(spark, sf_dir, 20)
-    d = dense.dense(vector_queries(spark, sf_dir).withColumn("query_id", F.expr("query_id div 50")), vectors(spark, sf_dir), 20)
+    d = dense.dense(vector_queries(spark, sf_dir).withColumn("query_id", F.expr("query_id div 20")), vectors(spark, sf_dir), 20)
     return b, d
 
 
-_LISTS = f"{QS}, {ITEMS}, {bm25_sql(k=20)}, {nearest_sql(k=20)}, {_DENSE.replace('dense AS (SELECT query_id', 'dense AS (SELECT query_id // 50 AS query_id')}"
+_LISTS = f"{QS}, {ITEMS}, {bm25_sql(k=20)}, {nearest_sql(k=20, shown='score')}, {_DENSE.replace('dense AS (SELECT query_id', 'dense AS (SELECT query_id // 20 AS query_id')}"
 _MINMAX = "nb AS (SELECT query_id, item_id, CASE WHEN hi - lo < 0.0001 THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm25))"
 _WEIGHTED = f"""{_LISTS}, {_MINMAX}, wj AS (SELECT query_id, item_id, b.score AS bm25_score, d.score AS dense_score, 0.5::DOUBLE * coalesce(b.score, 0) + 0.5::DOUBLE * coalesce(d.score, 0) AS score FROM nb b FULL JOIN dense d USING (query_id, item_id)),
 hybrid AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score, round(bm25_score, 6) AS bm25_score, round(dense_score, 6) AS dense_score,
@@ -247,7 +248,7 @@ def _adaptive_queries(spark, sf_dir):
 def r12(spark, sf_dir):
     """Adaptive search without overrides; dense queries are the vectors that stand for the query's id."""
     q = _adaptive_queries(spark, sf_dir).drop("override")
-    v = vector_queries(spark, sf_dir).withColumn("query_id", F.expr("query_id div 50"))
+    v = vector_queries(spark, sf_dir).withColumn("query_id", F.expr("query_id div 20"))
     i, e = items(spark, sf_dir), vectors(spark, sf_dir)
     lex = lambda qs, k: lexical.bm25(qs, i, k)
     den = lambda qs, k: dense.dense(v.join(qs.select("query_id").hint("merge"), "query_id", "left_semi"), e, k)
@@ -258,7 +259,7 @@ def r12(spark, sf_dir):
 _AQ = f"""{QS}, aq AS (SELECT query_id, ['what is ', 'why ', 'compare ', 'should '][query_id % 4 + 1] || text AS text FROM queries),
 ty AS (SELECT query_id, text, {Q.TYPES}[list_position(s, list_max(s))] AS query_type FROM (SELECT *, [{', '.join(_count(w).replace('lower(t)', 'lower(text)') for w in Q.KEYWORDS.values())}] AS s FROM aq)),
 ro AS (SELECT *, CASE query_type WHEN 'ExplicitFact' THEN 'bm25' WHEN 'ImplicitFact' THEN 'hybrid' ELSE 'dense' END AS strategy FROM ty)"""
-R12 = f"""WITH {_AQ}, {ITEMS}, {bm25_sql(k=20, queries='ro')}, {nearest_sql(k=20)}, {_DENSE.replace('dense AS (SELECT query_id', 'dense AS (SELECT query_id // 50 AS query_id')}, {_MINMAX},
+R12 = f"""WITH {_AQ}, {ITEMS}, {bm25_sql(k=20, queries='ro')}, {nearest_sql(k=20, shown='score')}, {_DENSE.replace('dense AS (SELECT query_id', 'dense AS (SELECT query_id // 20 AS query_id')}, {_MINMAX},
 wj AS (SELECT query_id, item_id, 0.5::DOUBLE * coalesce(b.score, 0) + 0.5::DOUBLE * coalesce(d.score, 0) AS score FROM nb b FULL JOIN dense d USING (query_id, item_id)),
 hy AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM wj) WHERE rank <= 5)
 SELECT b.*, strategy FROM bm25 b JOIN ro USING (query_id) WHERE strategy = 'bm25' AND rank <= 5 UNION ALL SELECT d.*, strategy FROM dense d JOIN ro USING (query_id) WHERE strategy = 'dense' AND rank <= 5

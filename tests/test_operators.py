@@ -236,3 +236,69 @@ def test_quota_and_audit(spark):
     r = spark.createDataFrame([("c", "user", "q", "2024-01-01 00:00:10"), ("c", "user", "q", "2024-01-01 00:00:50"), ("c", "user", "q", "2024-01-01 00:01:01")], "client string, role string, endpoint string, at string").withColumn("at", F.col("at").cast("timestamp"))
     lim = spark.createDataFrame([("user", "*", 5), ("user", "q", 1)], "role string, endpoint string, quota int")
     assert [(x["n"], x["quota"]) for x in usage.over_quota(r, lim).collect()] == [(2, 1)]
+
+
+def test_stored_index(spark, tmp_path):
+    """The stored index answers as the corpus does, with few and many terms, whole and by tenant."""
+    items = spark.createDataFrame([(i, f"t{i % 3}", " ".join(f"w{(i * k) % 17}" for k in range(i % 9))) for i in range(80)] + [(99, "t0", None)], "item_id long, tenant_id string, text string")
+    queries = spark.createDataFrame([(1, "t0", "w1 w2 w2"), (2, "t1", "W3, w4!"), (3, "t2", "none"), (4, "t2", "")], "query_id long, tenant_id string, text string")
+    lexical.write_index(items, str(tmp_path), buckets=8)
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    for by_tenant in (False, True):
+        want = got(lexical.bm25(queries, items, 5, by_tenant=by_tenant))
+        assert want and want == got(lexical.bm25_stored(queries, str(tmp_path), 5, by_tenant=by_tenant))
+    own = got(lexical.bm25(queries, items, 5, by_tenant=True, stats_by_tenant=True))
+    alone = [r for t in range(3) for r in got(lexical.bm25(queries.where(f"tenant_id = 't{t}'"), items.where(f"tenant_id = 't{t}'"), 5))]
+    assert own == sorted(alone)
+
+
+def test_dense_dealt_in_blocks(spark, monkeypatch):
+    """Many queries in one job: blocks and parts give what one product gives; other dimensions and null vectors match nothing."""
+    import numpy as np
+    from docweave.operators import dense
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 8))
+    items = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)] + [(900, [1.0]), (901, None)], "item_id long, embedding array<double>")
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(dense, "BLOCK", 70)
+    monkeypatch.setattr(dense, "PART", 40)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = np.argsort(-np.round(unit @ unit.T, 6), axis=1, kind="stable")[:, :3]
+    got = {}
+    for r in dense.nearest(queries, items, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items() if q < 900} == {q: best[q].tolist() for q in range(300)} and got[900] == [(1, 900)] and 901 not in got
+
+
+def test_sinks(spark, tmp_path):
+    """Vectors and results come back as they were written."""
+    import json
+
+    v = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [3.0])], "item_id long, tenant_id string, embedding array<double>")
+    files.write_vectors(v, str(tmp_path / "v"))
+    files.write_vectors(v.where("item_id = 2").withColumn("item_id", F.lit(5).cast("long")), str(tmp_path / "v"))
+    assert sorted((r["item_id"], r["tenant_id"], r["embedding"]) for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [(1, "a", [1.0, 2.0]), (5, "b", [3.0])]
+    names = ["p_at_5", "p_at_10", "r_at_5", "r_at_10", "rr"]
+    rolled = spark.createDataFrame([("BM25", "Overall", 0.5, 0.25, 1.0, 1.0, 0.123456, 1, 2, 3, 7)], "strategy string, query_type string, " + ", ".join(f"{n} double" for n in names) + ", p50_ms int, p95_ms int, p99_ms int, n long")
+    files.write_results(rolled, str(tmp_path / "r"), names)
+    (row,) = spark.read.option("header", True).csv(str(tmp_path / "r/csv")).collect()
+    assert (row["p_at_5"], row["rr"], row["p95_ms"], row["n"]) == ("0.5000", "0.1235", "2.00", "7")
+    (line,) = [x for f in (tmp_path / "r/json").glob("part-*") for x in f.read_text().splitlines()]
+    assert json.loads(line)["precision"] == {"At5": 0.5, "At10": 0.25} and json.loads(line)["latency"]["p99_ms"] == 3
+
+
+def test_finish_and_trim(spark):
+    """The last cleaning step by hand: every line trimmed, one empty line at most in a row."""
+    import re
+
+    space = "[ \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    texts = ["", " ", "a", "\n\n a \n\u3000\n\n b\t\nc  \n", "x\u00a0\n y", "a\n\nb", "a\n \n \nb \r\n c", "\x85a\x85"]
+
+    def by_hand(t):
+        t = re.sub(f"\n{space}*\n", "\n\n", re.sub(f"^{space}+|{space}+$", "", t))
+        lines = [re.sub(f"^{space}+|{space}+$", "", x) for x in t.split("\n")]
+        return "\n".join(x for i, x in enumerate(lines) if x or i == 0 or lines[i - 1])
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.finish(F.col("t"))).collect()
+    assert [r[0] for r in got] == [by_hand(t) for t in texts]
