@@ -28,6 +28,13 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"[^\s\u0085   -     　]")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, a plain scan, dealt by ``key`` over all cores where its parts would leave half of them or more idle, as a small file of one row
+    group does. It pays before costly expressions; a table of more parts is left as it is, so that large ones are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def errors(*checks: tuple[Column, str | Column]) -> Column:
     """The messages of the checks that hold, as an array."""
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), m if isinstance(m, Column) else F.lit(m)) for bad, m in checks]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.common import sized
+from ..functions.common import sized, spread
 from ..functions.queries import TYPES
 from ..operators import chunking, lexical
 
@@ -27,7 +27,7 @@ DOCS = """docs AS (SELECT doc_id, source AS tenant_id, text, 'doc-' || doc_id AS
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(documents(spark, sf_dir))
+    return chunking.chunk(spread(documents(spark, sf_dir), "doc_id"))
 
 
 CHUNKS = r"""cw AS (SELECT doc_id, source AS tenant_id, text, regexp_extract_all(text, '[^ \t\r\n]+[ \t\r\n]*') AS ws FROM documents WHERE text <> ''),
@@ -50,7 +50,7 @@ QUERIES = f"""queries AS (SELECT item_id AS query_id, text, {TYPES}[item_id % 4
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as retrieval items: item_id, tenant_id, text."""
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "tenant_id", "text")
+    return spread(documents(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "tenant_id", "text"), "item_id")
 
 
 ITEMS = "items AS (SELECT doc_id AS item_id, source AS tenant_id, text FROM documents)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..functions.common import is_blank
+from ..functions.common import is_blank, spread
 from ..operators import chunking, cleaning, intake
 from .fixtures import CHUNKS, chunks, documents, table
 
@@ -92,7 +92,8 @@ D3 = f"WITH {_UP} SELECT tenant_id, hash, min(doc_id) AS document_id FROM u GROU
 
 
 def _docs(spark: SparkSession, sf_dir: str, before: str = "", after: str = "") -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(before), F.col("text"), F.lit(after)).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.concat(F.lit(before), F.col("text"), F.lit(after)).alias("text"))
 
 
 def _step(step, before: str = "", after: str = ""):
@@ -183,7 +184,7 @@ CAST(length(raw) AS INTEGER) AS chars_before, CAST(length(cleaned) AS INTEGER) A
 
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without letters are blanked, to have rejects."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, "  \n").when(F.col("doc_id") % 9 == 1, "Signature").otherwise(F.col("text")).alias("text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 9 == 0, "  \n").when(F.col("doc_id") % 9 == 1, "Signature").otherwise(F.col("text")).alias("text"))
     accepted, rejected = cleaning.split_rejects(cleaning.clean(d, ENGLISH))
     return accepted.select("doc_id", F.lit("accepted").alias("status")).unionAll(rejected.select("doc_id", F.col("reason").alias("status")))
 
