@@ -18,18 +18,20 @@ def terms(text: Column) -> Column:
 
 
 def _exploded(items: DataFrame, item: str, text: str, tenant: str) -> DataFrame:
-    """(tenant_id, item_id, dl, term): a row for each term of an item, and one with a null term for the item itself."""
+    """(tenant_id, item_id, dl, term): a row for each term of an item, and one with an empty term, which no text has, for the item itself."""
     rows = items.select(F.col(tenant).alias("tenant_id"), F.col(item).alias("item_id"), terms(F.col(text)).alias("ts"))
-    return rows.select("tenant_id", "item_id", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term"))
+    return rows.select("tenant_id", "item_id", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(""))).alias("term")).where("term is not null")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("term", "tenant_id", "item_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """How often each term occurs in each item (tf); below zero for the items themselves. Filters on tf, other than ones on the term, stay above
+    this aggregation, so that Spark computes it once for all that reads it."""
+    return rows.groupBy("term", "tenant_id", "item_id", "dl").agg(F.sum(F.when(F.col("term") != "", 1).otherwise(-1)).alias("tf"))
 
 
 def postings(items: DataFrame, item: str = "item_id", text: str = "text", tenant: str = "tenant_id") -> DataFrame:
     """(term, tenant, item, tf, dl) of items with text."""
-    return _counted(_exploded(items, item, text, tenant).where("term is not null"))
+    return _counted(_exploded(items, item, text, tenant).where("term <> ''"))
 
 
 def term_counts(post: DataFrame, by_tenant: bool = False) -> DataFrame:
@@ -83,19 +85,21 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = K1, b: f
     ``by_tenant``: a query sees items of its own tenant only. ``stats_by_tenant``: so do n, df and average length.
 
     The corpus is tokenised once: terms that no query asks for are dropped before the one shuffle, whose output gives term counts,
-    statistics and hits alike. Only the queries' own terms are counted ahead, to be broadcast if they are few.
+    statistics and hits alike. It deals by item, so that scores, where the asked terms are few, are summed without another shuffle of the hits.
+    (With ``by_tenant`` it runs twice: hits leave out items without a tenant, statistics do not.) Only the queries' own terms are counted
+    ahead, to be broadcast if they are few.
     """
     wanted = _wanted(queries, by_tenant)
     asked = wanted.select("term").distinct()
     few, bounded = within(asked)
     rows = _exploded(items, item, text, tenant)
-    # The null term, which stands for the item itself, is wanted too.
-    rows = rows.join(few(asked.unionAll(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).select(F.col("term").alias("_asked"))), F.col("term").eqNullSafe(F.col("_asked")), "left_semi")
-    post = _counted(rows)
-    hits = post.where("term is not null")
+    # The empty term, which stands for the item itself, is wanted too.
+    rows = rows.join(few(asked.unionAll(asked.sparkSession.range(1).select(F.lit("").alias("term")))), "term", "left_semi")
+    post = _counted(rows.repartition("item_id"))
+    hits = post.where("tf > 0")
     scope = ["tenant_id"] * stats_by_tenant
     df = term_counts(hits, stats_by_tenant)  # without tenants no more rows than ``asked``
-    stats = post.where("term is null").groupBy(*scope).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    stats = post.where("tf < 0").groupBy(*scope).agg(F.sum(-F.col("tf")).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     if stats_by_tenant:
         hits = hits.join(df.hint("merge"), [*scope, "term"]).join(stats.hint("merge"), "tenant_id")
     else:
