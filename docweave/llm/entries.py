@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, extraction, host_rules, language, mixing, near_dedup, quality, sentencepieces, substring_dedup, token_counts
+from . import alignment, exact_dedup, extraction, host_rules, language, mixing, near_dedup, quality, runs, sentencepieces, simhash, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,21 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepieces.load(), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_host_rules, op4_language, op5_exact_dedup, op6_extraction, op7_mixing, op8_substring_dedup, op9_near_dedup, op10_sentencepieces)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], spin=True)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_token_counts, op3_host_rules, op4_language, op5_exact_dedup, op6_extraction, op7_mixing, op8_substring_dedup, op9_near_dedup, op10_sentencepieces,
+    op11_simhash, op12_periodic_runs, op13_alignment)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
