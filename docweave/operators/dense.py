@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.common import sized
 from .lexical import PLACES, top
 
 METRICS = ("cosine", "euclid", "dot")
@@ -28,6 +29,14 @@ def similarity(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0)
 
 
+def _dealt(rows: DataFrame, sizes: DataFrame, key: str, mine: str, others: str, order: bool) -> DataFrame:
+    """``rows`` (t, ...) with the group (g, tg, b, p) of each task that needs them: once for each of the ``others`` parts, in their own of ``mine`` parts."""
+    rows = rows.join(sizes, "t")
+    own = F.pmod(F.xxhash64(key, F.lit(mine)), F.col(mine)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+    return rows.select("*", own.alias("b" if order else "p"), every.alias("p" if order else "b")).drop("blocks", "parts")
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "cosine", by_tenant: bool = False, item: str = "item_id", vector: str = "embedding", tenant: str = "tenant_id", most_k: int = 100, places: int | None = 6) -> DataFrame:
     """(query_id, rank, item_id, score) of ``queries`` (query_id, embedding[, tenant_id]); unknown metrics count as cosine.
 
@@ -35,44 +44,58 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "co
     block and a part is one product inside a task, which keeps its own top k of every query; and a window takes the final ones. What is
     shuffled is every query once for each part and every item once for each block, never a pair. Items of another dimension never
     match. ``places``: decimals of the score; None leaves it unrounded.
+
+    ``by_tenant``: tenants are dealt apart, so that only vectors of one tenant are multiplied: a large one has blocks and parts of its own, small ones
+    share tasks. A query id may come with several tenants; its top k is taken over all of them.
     """
     metric, k, ascending = metric if metric in METRICS else "cosine", min(k, most_k), metric == "euclid"
-    n_queries, n_items = queries.count(), items.count()
-    blocks, parts = max(1, -(-n_queries // BLOCK)), max(1, -(-n_items // PART))
-    own = F.col(tenant).cast("string") if by_tenant else F.lit(None).cast("string")
-    deal = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    none = lambda t, name: F.lit(None).cast(t).alias(name)
-    x = F.col(vector).cast("array<float>").alias("x")
     kind, q_kind = items.schema[item].dataType, queries.schema["query_id"].dataType
-    asked = queries.select(deal("query_id", blocks, "q").alias("b"), every(parts).alias("p"), F.col("query_id"), none(kind, "item_id"), (F.col("tenant_id").cast("string") if by_tenant else own).alias("t"), F.col("embedding").cast("array<float>").alias("x"))
-    rows = items.select(every(blocks).alias("b"), deal(item, parts, "i").alias("p"), none(q_kind, "query_id"), F.col(item).alias("item_id"), own.alias("t"), x)
-    rows = rows.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    own = lambda c: F.col(c).cast("string") if by_tenant else F.lit("")
+    asked = queries.select(own("tenant_id").alias("t"), "query_id", none(kind, "item_id"), F.lit(True).alias("asks"), F.col("embedding").cast("array<float>").alias("x"))
+    rows = items.select(own(tenant).alias("t"), none(q_kind, "query_id"), F.col(item).alias("item_id"), F.lit(False).alias("asks"), F.col(vector).cast("array<float>").alias("x"))
+    few = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
+    if by_tenant:
+        n = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("t").agg(F.count(F.lit(1)).alias("q")).hint("merge"), "t")
+        tasks = max(1, -(-(n.agg(F.sum("n")).first()[0] or 0) // PART))
+        small = (F.col("n") <= PART) & (F.col("q") <= BLOCK)
+        group = [F.when(small, F.pmod(F.xxhash64("t"), F.lit(tasks))).otherwise(-1).cast("int").alias("g"), F.when(~small, F.col("t")).otherwise("").alias("tg")]
+        sizes = sized(n.select("t", *group, few("q", BLOCK).alias("blocks"), few("n", PART).alias("parts")))
+    else:
+        counts = [(queries.count(), BLOCK), (items.count(), PART)]
+        blocks, parts = (max(1, -(-n // size)) for n, size in counts)
+        sizes = F.broadcast(queries.sparkSession.range(1).select(F.lit("").alias("t"), F.lit(0).alias("g"), F.lit("").alias("tg"), F.lit(blocks).alias("blocks"), F.lit(parts).alias("parts")))
+    dealt = _dealt(rows, sizes, "item_id", "parts", "blocks", False).unionByName(_dealt(asked, sizes, "query_id", "blocks", "parts", True))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        sizes, asks = np.asarray(table["x"].combine_chunks().value_lengths().fill_null(0)), np.asarray(table["asks"])
+        table = table.sort_by("t").combine_chunks()
+        ts, length = np.asarray(table["t"].combine_chunks().dictionary_encode().indices), np.asarray(table["x"].combine_chunks().value_lengths().fill_null(0))
+        cuts = np.flatnonzero(np.append(True, ts[1:] != ts[:-1])) if len(ts) else []
         found = []
-        for size in np.unique(sizes[asks]):  # queries meet items of their own dimension
-            q, v = table.filter(pa.array(asks & (sizes == size))), table.filter(pa.array(~asks & (sizes == size)))
-            if not size or not v.num_rows:
-                continue
-            for lo in range(0, q.num_rows, 256):
-                part = q.slice(lo, 256)
-                raw = similarity(metric, matrix(part["x"].combine_chunks()), matrix(v["x"].combine_chunks()))
-                s = np.round(raw if ascending else -raw, PLACES)
-                if by_tenant:
-                    s[np.asarray(part["t"].to_pylist(), object)[:, None] != np.asarray(v["t"].to_pylist(), object)[None]] = np.inf
-                n = min(k, s.shape[1])
-                edge = np.partition(s, n - 1, axis=1)[:, n - 1 : n]  # ties at the edge all stay
-                qi, xi = np.nonzero((s <= edge) & np.isfinite(s))
-                hits = pa.table({"q": qi, "query_id": part["query_id"].take(pa.array(qi)), "item_id": v["item_id"].take(pa.array(xi)), "s": s[qi, xi], "score": raw[qi, xi]})
-                hits = hits.sort_by([("q", "ascending"), ("s", "ascending"), ("item_id", "ascending")])
-                qs = np.asarray(hits["q"])
-                found.append(hits.select(["query_id", "item_id", "score"]).filter(pa.array(np.arange(len(qs)) - np.searchsorted(qs, qs) < k)))
+        for lo, hi in zip(cuts, [*cuts[1:], len(ts)]):
+            mine, sizes, asks = table.slice(lo, hi - lo), length[lo:hi], np.asarray(table["asks"].slice(lo, hi - lo))
+            for size in np.unique(sizes[asks]):  # queries meet items of their own dimension
+                q, v = mine.filter(pa.array(asks & (sizes == size))).combine_chunks(), mine.filter(pa.array(~asks & (sizes == size))).combine_chunks()
+                if size and v.num_rows:
+                    found += products(q, v)
         return pa.concat_tables(found) if found else table.schema.empty_table().select(["query_id", "item_id"]).append_column("score", pa.array([], pa.float64()))
 
-    out = rows.groupBy("b", "p").applyInArrow(run, f"query_id {q_kind.simpleString()}, item_id {kind.simpleString()}, score double")
+    def products(q: pa.Table, v: pa.Table) -> list[pa.Table]:
+        found = []
+        for lo in range(0, q.num_rows, 256):
+            part = q.slice(lo, 256)
+            raw = similarity(metric, matrix(part["x"].combine_chunks()), matrix(v["x"].combine_chunks()))
+            s = np.round(raw if ascending else -raw, PLACES)
+            n = min(k, s.shape[1])
+            edge = np.partition(s, n - 1, axis=1)[:, n - 1 : n]  # ties at the edge all stay
+            qi, xi = np.nonzero((s <= edge) & np.isfinite(s))
+            hits = pa.table({"q": qi, "query_id": part["query_id"].take(pa.array(qi)), "item_id": v["item_id"].take(pa.array(xi)), "s": s[qi, xi], "score": raw[qi, xi]})
+            hits = hits.sort_by([("q", "ascending"), ("s", "ascending"), ("item_id", "ascending")])
+            qs = np.asarray(hits["q"])
+            found.append(hits.select(["query_id", "item_id", "score"]).filter(pa.array(np.arange(len(qs)) - np.searchsorted(qs, qs) < k)))
+        return found
+
+    out = dealt.groupBy("g", "tg", "b", "p").applyInArrow(run, f"query_id {q_kind.simpleString()}, item_id {kind.simpleString()}, score double")
     score = F.col("score") if places is None else F.round("score", places)
     return top(out, k, ascending=ascending).select("query_id", "rank", "item_id", score.alias("score"))
 

@@ -1,4 +1,4 @@
-"""Document catalogue: listing, look-up, and cascading delete."""
+"""Document catalogue: listing and look-up. Stored tables, with cascading delete, are in ``store``."""
 
 from __future__ import annotations
 
@@ -30,17 +30,6 @@ def list_chunks(chunks: DataFrame, wanted: DataFrame, key: str = "doc_id") -> Da
     return rows.select("tenant_id", key, "chunk_index", excerpt(F.col("text")).alias("preview"))
 
 
-def cascade_delete(tables: dict[str, DataFrame], requests: DataFrame, key: str = "doc_id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """What is left of each table (all have ``key``) after the requested documents are gone, and (table, removed) counts."""
-    gone = sized(requests.select(key).distinct())
-    left = {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
-    counts = None
-    for name, t in tables.items():
-        n = t.join(gone, key, "left_semi").groupBy().agg(F.count(F.lit(1)).alias("removed")).select(F.lit(name).alias("table"), "removed")
-        counts = n if counts is None else counts.unionAll(n)
-    return left, counts
-
-
 def latest(rows: DataFrame, *keys: str, by: str) -> DataFrame:
     """The last row of each key."""
     order = W.partitionBy(*keys).orderBy(F.desc(by))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -15,11 +16,16 @@ ROUTES = {"ExplicitFact": "bm25", "ImplicitFact": "hybrid", "InterpretableRation
 STRATEGIES = ("bm25", "dense", "hybrid")
 
 
+def stretched(score: Column, counts: Column | None = None) -> Column:
+    """A score stretched to [0, 1] among its query's rows (those that ``counts`` is true of); 1 where they differ by less than 0.0001."""
+    q, seen = W.partitionBy("query_id"), score if counts is None else F.when(counts, score)
+    lo, hi = F.min(seen).over(q), F.max(seen).over(q)
+    return F.when(hi - lo < 0.0001, 1.0).otherwise((score - lo) / (hi - lo))
+
+
 def min_max(results: DataFrame) -> DataFrame:
     """Scores of each query stretched to [0, 1]; all 1 where they differ by less than 0.0001."""
-    q = W.partitionBy("query_id")
-    lo, hi = F.min("score").over(q), F.max("score").over(q)
-    return results.withColumn("score", F.when(hi - lo < 0.0001, 1.0).otherwise((F.col("score") - lo) / (hi - lo)))
+    return results.withColumn("score", stretched(F.col("score")))
 
 
 def best_per_item(results: DataFrame) -> DataFrame:
@@ -86,9 +92,21 @@ def lenient_strategy(name: Column) -> Column:
     return F.coalesce(*found, F.lit("Dense"))
 
 
-def adaptive(queries: DataFrame, search: dict, k: int = 10, override: str | None = None) -> DataFrame:
-    """Run each routed part of ``queries`` through its search: {strategy: function (queries, k) -> list}; the strategy is kept."""
+def adaptive(queries: DataFrame, lexical: Callable, dense: Callable, k: int = 10, override: str | None = None, deep: int = 20, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """(query_id, rank, item_id, score, strategy): one lexical run and one dense run for all routes. ``lexical`` and ``dense``: functions of (queries, k).
+
+    Routes are a mask on the two lists: a query of one strategy keeps the first ``k`` of its list, a hybrid one the fusion of the first ``deep`` of both.
+    """
     routed, _ = route(queries, override)
-    columns = ["query_id", "rank", "item_id", "score"]
-    parts = [search[s](routed.where(F.col("strategy") == s), k).select(*columns).withColumn("strategy", F.lit(s)) for s in STRATEGIES if s in search]
-    return reduce(DataFrame.unionAll, parts)
+    routed = routed.drop(*[c for c in ("rank", "item_id", "score") if c in routed.columns])
+    own = routed.select("query_id", "strategy")
+    left = lexical(routed.where("strategy <> 'dense'"), max(k, deep)).withColumn("stretched", stretched(F.col("score"), F.col("rank") <= deep))
+    right = dense(routed.where("strategy <> 'bm25'"), max(k, deep))
+    columns = lambda df, name, *more: df.select("query_id", "item_id", F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"), *more)
+    both = columns(left, "bm25", "stretched").hint("merge").join(columns(right, "dense"), ["query_id", "item_id"], "full").join(own.hint("merge"), "query_id")
+    mixed = F.col("strategy") == "hybrid"
+    part = lambda score, rank: F.coalesce(F.when(F.col(rank) <= deep, F.col(score)), F.lit(0.0))
+    fused = alpha * part("stretched", "bm25_rank") + beta * part("dense_score", "dense_rank")
+    both = both.where(~mixed | (F.col("bm25_rank") <= deep) | (F.col("dense_rank") <= deep))
+    both = both.withColumn("score", F.when(mixed, fused).otherwise(F.coalesce("bm25_score", "dense_score"))).withColumn("_by", F.when(mixed, F.col("score")).otherwise(-F.coalesce("bm25_rank", "dense_rank")))
+    return top(both, k, "_by").select("query_id", "rank", "item_id", F.round("score", 6).alias("score"), "strategy")

@@ -65,13 +65,14 @@ def top(rows: DataFrame, k: int | Column, score: str = "score", by: tuple[str, .
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _wanted(queries: DataFrame, by_tenant: bool) -> DataFrame:
+def asked_terms(queries: DataFrame, by_tenant: bool) -> DataFrame:
+    """(query_id, [tenant_id,] term, qtf) of queries."""
     own = ["tenant_id"] * by_tenant
     asked = queries.select("query_id", *own, F.explode(terms(F.col("text"))).alias("term"))
     return asked.groupBy("query_id", *own, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _scored(hits: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+def scored(hits: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     """Top k of rows with query_id, item_id, qtf, tf, dl, df, n and avgdl."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -89,7 +90,7 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = K1, b: f
     (With ``by_tenant`` it runs twice: hits leave out items without a tenant, statistics do not.) Only the queries' own terms are counted
     ahead, to be broadcast if they are few.
     """
-    wanted = _wanted(queries, by_tenant)
+    wanted = asked_terms(queries, by_tenant)
     asked = wanted.select("term").distinct()
     few, bounded = within(asked)
     rows = _exploded(items, item, text, tenant)
@@ -105,13 +106,13 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = K1, b: f
     else:
         hits = hits.join(few(df), "term").crossJoin(F.broadcast(stats))  # one row
     hits = hits.join(sized(wanted) if bounded else wanted.hint("merge"), [*["tenant_id"] * by_tenant, "term"])
-    return _scored(hits, min(k, most_k), k1, b)
+    return scored(hits, min(k, most_k), k1, b)
 
 
 def bm25_stored(queries: DataFrame, path: str, k: int = 10, k1: float = K1, b: float = B, by_tenant: bool = False, most_k: int = 100) -> DataFrame:
     """:func:`bm25` from the tables of :func:`write_index`: the corpus is not read, and of its postings only the buckets that hold asked terms."""
     spark = queries.sparkSession
-    stats, wanted = spark.read.parquet(f"{path}/stats"), _wanted(queries, by_tenant)
+    stats, wanted = spark.read.parquet(f"{path}/stats"), asked_terms(queries, by_tenant)
     n, avgdl, buckets = stats.select("n", "avgdl", "buckets").first()
     wanted = wanted.withColumn("bucket", bucket(F.col("term"), buckets))
     held = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
@@ -119,7 +120,7 @@ def bm25_stored(queries: DataFrame, path: str, k: int = 10, k1: float = K1, b: f
     hits = post.join(sized(wanted), ["bucket", *["tenant_id"] * by_tenant, "term"])
     df = spark.read.parquet(f"{path}/terms").join(sized(wanted.select("term").distinct()), "term", "left_semi")
     hits = hits.join(sized(df), "term").withColumn("n", F.lit(n)).withColumn("avgdl", F.lit(avgdl))
-    return _scored(hits, min(k, most_k), k1, b)
+    return scored(hits, min(k, most_k), k1, b)
 
 
 def highlight(results: DataFrame, items: DataFrame, queries: DataFrame, most: int = 150, item: str = "item_id", text: str = "text") -> DataFrame:

@@ -1,25 +1,29 @@
-"""Re-indexing: run the pipeline again for one tenant or all."""
+"""Re-indexing: run the pipeline again for one tenant or all, over the stored catalogue."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
-from . import chunking, cleaning, lexical
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from . import cleaning, store
 
-def reindex(docs: DataFrame, path: str, rules: cleaning.Rules, tenant: str | None = None) -> DataFrame:
-    """Clean, chunk and index the tenant's documents (all without ``tenant``), replacing its partitions under ``path``; returns one run row:
-    tenant_id, estimated, processed, status, started_at, completed_at. A failed run raises, and leaves other tenants' partitions alone."""
+
+def reindex(spark: SparkSession, docs: DataFrame, path: str, rules: cleaning.Rules, tenant: str | None = None, embedded: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Clean, chunk, index and (with ``embedded``: chunks to :func:`store.vector_rows`) embed the tenant's documents (all without ``tenant``),
+    replacing what the store at ``path`` holds of them; returns one run row: tenant_id, estimated, processed, status, started_at, completed_at.
+
+    Everything is one segment, which is seen when it is complete: a run that fails raises, and the old rows stay. The counts are
+    observed while the documents are written. Documents without text leave the store.
+    """
     rows = docs if tenant is None else docs.where(F.col("tenant_id") == tenant)
-    spark = docs.sparkSession
     started = spark.range(1).select(F.current_timestamp()).first()[0]
-    estimated = rows.count()
-    accepted, _ = cleaning.split_rejects(cleaning.clean(rows, rules))
-    chunks = chunking.chunk(accepted.select("tenant_id", "doc_id", F.col("cleaned").alias("text")))
-    save = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(f"{path}/{name}")
-    save(chunks, "chunks")
-    stored = spark.read.parquet(f"{path}/chunks")
-    stored = stored if tenant is None else stored.where(F.col("tenant_id") == tenant)
-    save(lexical.postings(stored, "chunk_id"), "postings")
-    processed = stored.select("tenant_id", "doc_id").distinct().count()
-    return spark.range(1).select(F.lit(tenant).alias("tenant_id"), F.lit(estimated).alias("estimated"), F.lit(processed).alias("processed"), F.lit("Completed").alias("status"), F.lit(started).alias("started_at"), F.current_timestamp().alias("completed_at"))
+    n = F.count(F.lit(1)).alias("n")
+    seen, kept = Observation("estimated"), Observation("processed")
+    accepted, _ = cleaning.split_rejects(cleaning.clean(rows.observe(seen, n), rules))
+    accepted = accepted.select(*[c if c != "text" else F.col("cleaned").alias("text") for c in docs.columns]).observe(kept, n)
+    store.put_documents(spark, path, accepted, within=(lambda old: old) if tenant is None else (lambda old: old.where(F.col("tenant_id") == tenant)), embedded=embedded)
+    return spark.range(1).select(
+        F.lit(tenant).alias("tenant_id"), F.lit(int(seen.get["n"])).alias("estimated"), F.lit(int(kept.get["n"])).alias("processed"), F.lit("Completed").alias("status"),
+        F.lit(started).alias("started_at"), F.current_timestamp().alias("completed_at"),
+    )

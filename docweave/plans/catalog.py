@@ -35,22 +35,6 @@ def m3(spark, sf_dir):
 M3 = f"WITH {CHUNKS}, {REQUESTS} SELECT tenant_id, doc_id, chunk_index, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM chunks SEMI JOIN requests USING (tenant_id, doc_id)"
 
 
-def m4(spark, sf_dir):
-    """Delete the documents that labels call toxic; the rows that are left, by table, with the removed counts."""
-    tables = {"documents": documents(spark, sf_dir), "chunks": chunks(spark, sf_dir), "grants": grants(spark, sf_dir)}
-    left, counts = D.cascade_delete(tables, table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
-    kept = None
-    for name, t in left.items():
-        n = t.groupBy().agg(F.count(F.lit(1)).alias("left")).select(F.lit(name).alias("table"), "left")
-        kept = n if kept is None else kept.unionAll(n)
-    return counts.join(kept.hint("merge"), "table")
-
-
-M4 = f"""WITH {CHUNKS}, g AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
-a AS (SELECT 'documents' AS "table", doc_id FROM documents UNION ALL SELECT 'chunks', doc_id FROM chunks UNION ALL SELECT 'grants', doc_id FROM labels)
-SELECT "table", count(*) FILTER (doc_id IN (SELECT doc_id FROM g)) AS removed, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM g)) AS "left" FROM a GROUP BY "table\""""
-
-
 def admins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 150).alias("user_id")).where("user_id = 0").distinct()
 
@@ -192,6 +176,6 @@ t AS (SELECT role, count(*) AS c FROM r GROUP BY role), l AS (SELECT role, '*' A
 n AS (SELECT client, role, endpoint, start, count(*) AS n FROM r GROUP BY ALL), q AS (SELECT client, endpoint, start, n, min(quota) AS quota FROM n JOIN l USING (role) WHERE e = '*' OR e = endpoint GROUP BY ALL)
 SELECT client, endpoint, CAST(start AS TIMESTAMP) AS start, n, quota FROM q WHERE n > quota"""
 
-_NAMES = "m1_page m2_look_up m3_chunk_list m4_cascade_delete m5_access_decision m6_effective_permission m7_grant m8_revoke m9_access_list m10_shared_with_me m11_has_access m12_access_audit n1_system_stats n2_documents_per_tenant n3_audit_search n4_audit_rows n6_quota".split()
-QUERIES = dict(zip(_NAMES, (m1, m2, m3, m4, m5, m6, m7, m8, m9, m10, m11, m12, n1, n2, n3, n4, n6)))
-ORACLE_SQL = dict(zip(_NAMES, (M1, M2, M3, M4, M5, M6, M7, M8, M9, M10, M11, M12, N1, N2, N3, N4, N6)))
+_NAMES = "m1_page m2_look_up m3_chunk_list m5_access_decision m6_effective_permission m7_grant m8_revoke m9_access_list m10_shared_with_me m11_has_access m12_access_audit n1_system_stats n2_documents_per_tenant n3_audit_search n4_audit_rows n6_quota".split()
+QUERIES = dict(zip(_NAMES, (m1, m2, m3, m5, m6, m7, m8, m9, m10, m11, m12, n1, n2, n3, n4, n6)))
+ORACLE_SQL = dict(zip(_NAMES, (M1, M2, M3, M5, M6, M7, M8, M9, M10, M11, M12, N1, N2, N3, N4, N6)))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import answers as context
 from ..operators import lexical
-from . import answers, catalog, evaluation, jobs, retrieval, text
+from . import answers, catalog, evaluation, jobs, retrieval, stored, text
 from .fixtures import CHUNKS, QUERIES as QS, bm25_sql, chunks, queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text, retrieval, answers, catalog, evaluation, jobs):
+for _part in (text, retrieval, answers, catalog, evaluation, jobs, stored):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cleaning, intake, lexical, reindex
+from ..operators import cleaning, intake, lexical
 from ..session import scratch
 from ..sources import files
 from ..streaming import jobs
 from . import evaluation, retrieval
-from .fixtures import CHUNKS, chunks, documents, queries, table, vectors
+from .fixtures import CHUNKS, chunks, documents, queries, table
 
 STREAM = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -37,18 +37,6 @@ def r1_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_stored(queries(spark, sf_dir), path)
 
 
-def s7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with their payload, written by tenant and read back."""
-    path = scratch(spark, "vectors")
-    v = vectors(spark, sf_dir).withColumn("payload", F.struct(F.col("item_id").alias("documentId"), F.col("tenant_id").alias("tenantId"), F.lit("embeddings").alias("source")))
-    files.write_vectors(v, path)
-    back = spark.read.schema(v.schema).parquet(path)
-    return back.select("item_id", "tenant_id", F.col("payload.documentId").alias("document_id"), F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
-
-
-S7_TABLE = "SELECT vec_id AS item_id, CAST(label AS VARCHAR) AS tenant_id, vec_id AS document_id, CAST(len(embedding) AS INTEGER) AS dimension, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings"
-
-
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files, one folder each, and read back whole."""
     path = scratch(spark, "texts")
@@ -63,14 +51,6 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
 S1 = "SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS text_md5, CAST(length(coalesce(text, '')) + 1 AS INTEGER) AS n_chars FROM documents"
 
 
-def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = reindex.reindex(documents(spark, sf_dir).select("tenant_id", "doc_id", "text"), scratch(spark, "index"), cleaning.Rules())
-    return run.select("estimated", "processed", "status")
-
-
-N5 = r"SELECT CAST(count(*) AS INTEGER) AS estimated, CAST(count(*) FILTER (regexp_matches(text, '\S')) AS INTEGER) AS processed, 'Completed' AS status FROM documents"
-
-
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of uploads."""
     d = spark.readStream.schema(STREAM).parquet(f"{sf_dir}/document*.parquet")
@@ -112,5 +92,5 @@ def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
 ST3 = """WITH r AS (SELECT user_id % 20 AS client, event_type AS endpoint, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY ALL)
 SELECT client, endpoint, start, n FROM r WHERE n > 1 AND start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"""
 
-QUERIES = {"s1_text_files": s1, "s7_vector_table": s7_table, "r1_bm25_stored": r1_stored, "s5_document_sink": s5, "s8_result_export": s8, "n5_reindex": n5, "st1_intake_stream": st1, "st2_distinct_stream": st2, "st3_quota_stream": st3}
-ORACLE_SQL = {"s1_text_files": S1, "s7_vector_table": S7_TABLE, "r1_bm25_stored": retrieval.R1, "s5_document_sink": S5, "n5_reindex": N5, "st1_intake_stream": ST1, "st2_distinct_stream": ST2, "st3_quota_stream": ST3}
+QUERIES = {"s1_text_files": s1, "r1_bm25_stored": r1_stored, "s5_document_sink": s5, "s8_result_export": s8, "st1_intake_stream": st1, "st2_distinct_stream": st2, "st3_quota_stream": st3}
+ORACLE_SQL = {"s1_text_files": S1, "r1_bm25_stored": retrieval.R1, "s5_document_sink": S5, "st1_intake_stream": ST1, "st2_distinct_stream": ST2, "st3_quota_stream": ST3}

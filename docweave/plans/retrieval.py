@@ -252,8 +252,7 @@ def r12(spark, sf_dir):
     i, e = items(spark, sf_dir), vectors(spark, sf_dir)
     lex = lambda qs, k: lexical.bm25(qs, i, k)
     den = lambda qs, k: dense.dense(v.join(qs.select("query_id").hint("merge"), "query_id", "left_semi"), e, k)
-    hyb = lambda qs, k: fusion.weighted(lex(qs, 20), den(qs, 20), k=k)
-    return fusion.adaptive(q, {"bm25": lex, "dense": den, "hybrid": hyb}, 5)
+    return fusion.adaptive(q, lex, den, 5)
 
 
 _AQ = f"""{QS}, aq AS (SELECT query_id, ['what is ', 'why ', 'compare ', 'should '][query_id % 4 + 1] || text AS text FROM queries),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import queries as Q
 from docweave.functions import text as T
-from docweave.operators import access, answers, chunking, cleaning, dense, evaluation, fusion, intake, lexical, reindex, usage
+from docweave.operators import access, answers, chunking, cleaning, dense, evaluation, fusion, intake, lexical, reindex, store, usage
 from docweave.sources import files
 from docweave.streaming import jobs
 
@@ -197,10 +197,10 @@ def test_files_and_reindex(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_rules(spark, str(rules), ["off"])
     docs = spark.createDataFrame([("a", 1, "some words here"), ("b", 2, "others"), ("a", 3, " ")], "tenant_id string, doc_id int, text string")
-    run = reindex.reindex(docs, str(tmp_path / "index"), r, "a").first()
+    run = reindex.reindex(spark, docs, str(tmp_path / "index"), r, "a").first()
     assert (run["estimated"], run["processed"], run["status"]) == (2, 1, "Completed")
-    reindex.reindex(docs, str(tmp_path / "index"), r, "b")
-    assert spark.read.parquet(str(tmp_path / "index/postings")).count() == 4
+    reindex.reindex(spark, docs, str(tmp_path / "index"), r, "b")
+    assert store.live_postings(spark, str(tmp_path / "index")).count() == 4
     es = tmp_path / "set.json"
     es.write_text('{"documents": [{"id": "d1", "text": "x", "source": "s"}], "queries": [{"id": "q1", "text": "t", "relevantDocIds": ["d1", "d9"], "queryType": "ExplicitFact"}, {"id": "q2", "text": "t", "relevantDocIds": []}]}')
     d, q, rel = files.read_evaluation_set(spark, str(es))
