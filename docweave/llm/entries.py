@@ -151,4 +151,20 @@ both_ AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ b ON b.x = r.y)
 SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) m USING (doc_id)""",
+    "op12_periodic_runs": rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+h AS (SELECT *, len(ws) AS n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM w),
+g AS (SELECT *, h // 10 % n AS a, h // 10 AS g FROM h),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE ws END AS ws FROM g),
+pos AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM t),
+eq AS (SELECT x.doc_id, y.i - x.i AS p, y.i FROM pos x JOIN pos y USING (doc_id, word) WHERE y.i > x.i AND y.i - x.i <= y.n // 4),
+cand AS (SELECT doc_id, p, min(i) - p AS s, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM eq) GROUP BY doc_id, p, k HAVING count(*) >= 3 * p AND count(*) + p >= 6),
+runs AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand d WHERE d.doc_id = c.doc_id AND d.p < c.p AND d.s <= c.s AND d.s + d.l >= c.s + c.l)),
+best AS (SELECT doc_id, s, l, p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, p) AS k FROM runs) WHERE k = 1),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS told FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (FROM pos ANTI JOIN gone USING (doc_id, i)) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, p AS period, 1000 * l // p AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
