@@ -1,15 +1,16 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, and calibrated rejection.
 
 The classifier is fastText's (Joulin et al., 2016) in numpy. It is fitted on the driver by stochastic gradient descent to at most
-about ``per_label`` labelled documents of each of the ``most_labels`` most frequent languages, drawn by a hash of their id (the bounds
-are these parameters); every document is then scored over its whole text inside Spark tasks. As averaging and the softmax's
+about ``per_label`` labelled documents of each of the ``most_labels`` most frequent languages, and at most about ``most_bytes`` of subword
+counts, drawn by a hash of their id (the bounds are these parameters); every document is then scored over its whole text inside Spark tasks. As averaging and the softmax's
 scores are linear, embeddings and output weights are folded into one table of bucket scores for that.
 
 Rejection: the softmax has one more class, no language. Its examples are made of sampled texts: half have their characters shuffled,
-half have their letters exchanged at random. Every tenth text, real or made, is held back. A temperature fitted to these calibrates
-the probabilities, and ``min_score`` is the lowest score from which no more than ``most_wrong`` of the held-back texts that would be accepted
-are wrong (a text of another language than predicted, or of none), but 0.5 at least, and 0.9 at most: a small sample shall not have
-texts rejected that are calibrated to be right nine times in ten.
+half have their letters exchanged at random. Another sample, a tenth of the labelled documents and at most about ``most_held``, with texts
+made of it, is never learned from and scored in Spark tasks. A temperature fitted to its scores calibrates the probabilities, and
+``min_score`` is the lowest score from which the texts that would be accepted are wrong (of another language than predicted, or of none)
+in at most ``most_wrong`` of all cases by an upper confidence bound (Wilson's, one-sided, 95 %). Where no score shows that much (a few hundred
+texts without an error are needed for 1 %), it is the score with the least bound; ``error_bound`` says which bound holds.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and rejected; one-letter texts are scored; without any
 labelled document every text is ``und``; labels beyond the ``most_labels`` most frequent are not learned; repeated rows score alike; an empty
@@ -79,18 +80,21 @@ class LanguageModel:
     labels: list[str]
     scores: np.ndarray  # bucket x (labels, then no language): embedding times output weights
     bias: np.ndarray
-    temperature: float
-    min_score: float
+    temperature: float = 1.0
+    min_score: float = 0.5
+    error_bound: float = 1.0
 
-    def predict(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best label and its calibrated probability."""
+    def logits(self, text: pa.Array) -> np.ndarray:
         n, z = np.zeros(len(text)), np.zeros((len(text), len(self.bias)))
         for b, o in subwords(text):
             n += np.bincount(o, minlength=len(text))
             for c in range(len(self.bias)):
                 z[:, c] += np.bincount(o, self.scores[b, c], len(text))
-        z = z / np.maximum(1, n)[:, None] + self.bias
-        p = softmax(z / self.temperature)[:, : len(self.labels)]
+        return z / np.maximum(1, n)[:, None] + self.bias
+
+    def predict(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the best label and its calibrated probability."""
+        p = softmax(self.logits(text) / self.temperature)[:, : len(self.labels)]
         best = p.argmax(1)
         return best, p[np.arange(len(p)), best]
 
@@ -106,17 +110,36 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[np.argmin([-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid])]) if len(y) else 1.0
 
 
-def threshold(score: np.ndarray, wrong: np.ndarray, most_wrong: float) -> float:
-    """The lowest score from which at most ``most_wrong`` of the texts are wrong; just above the highest if there is none."""
+def accepted_errors(score: np.ndarray, wrong: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct scores, falling, and the upper bound of the share of wrong texts from each on (Wilson's at ``z``; the share itself at 0)."""
     order = np.argsort(-score, kind="stable")
-    share = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
-    last = np.append(score[order][1:] < score[order][:-1], True)  # equal scores are accepted together
-    fine = np.flatnonzero((share <= most_wrong) & last)
-    return float(score[order][fine[-1]]) if len(fine) else float(np.nextafter(score.max(initial=0.0), 2.0))
+    n = np.arange(1, len(order) + 1)
+    p = np.cumsum(wrong[order]) / n
+    bound = (p + z * z / (2 * n) + z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    last = np.append(score[order][1:] < score[order][:-1], True)[: len(order)]  # equal scores are accepted together
+    return score[order][last], bound[last]
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str | None], epochs: int = 8, rate: float = 0.3, most_wrong: float = 0.002, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent, one document a step; every tenth document is held back for calibration. A name of None: no language.
+def threshold(score: np.ndarray, wrong: np.ndarray, most_wrong: float, z: float = 0.0) -> float:
+    """The lowest score from which at most ``most_wrong`` of the texts are wrong; just above the highest if there is none."""
+    scores, bound = accepted_errors(score, wrong, z)
+    fine = np.flatnonzero(bound <= most_wrong)
+    return float(scores[fine[-1]]) if len(fine) else float(np.nextafter(score.max(initial=0.0), 2.0))
+
+
+def calibrate(model: LanguageModel, z: np.ndarray, y: np.ndarray, most_wrong: float, confidence: float = 1.645) -> LanguageModel:
+    """``model`` with temperature, min_score and error_bound from held-back logits and classes; unchanged if there are none."""
+    if not len(y):
+        return model
+    t = temperature(z, y)
+    p = softmax(z / t)[:, : len(model.labels)]
+    scores, bound = accepted_errors(p.max(1), p.argmax(1) != y, confidence)
+    least = np.flatnonzero(bound <= max(most_wrong, bound.min()))[-1]
+    return LanguageModel(model.labels, model.scores, model.bias, t, float(scores[least]), float(bound[least]))
+
+
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str | None], epochs: int = 8, rate: float = 0.3, seed: int = 7) -> LanguageModel:
+    """Stochastic gradient descent, one document a step. A name of None: no language. The model is not calibrated yet.
 
     A step moves a document's mean embedding by the rate times its gradient, however many subwords share it, and output weights keep a
     bounded norm, so that long documents and wrong labels cannot make the descent diverge.
@@ -127,11 +150,9 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str | None], e
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIM, len(place))).astype(np.float32), np.zeros(len(place), np.float32)
-    order = rng.permutation(len(y))
-    back, learn = order[::10], np.delete(order, np.s_[::10]) if len(order) > 20 else order
-    steps, step = epochs * len(learn), 0
+    steps, step = epochs * len(y), 0
     for _ in range(epochs):
-        for i in rng.permutation(learn):
+        for i in rng.permutation(len(y)):
             b, w = samples[i]
             lr, step = rate * (1 - step / steps), step + 1
             h = w @ emb[b]
@@ -142,10 +163,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], names: list[str | None], e
             out *= min(1.0, MOST_NORM / np.linalg.norm(out))
             bias -= lr * 0.1 * g
             emb[b] -= lr * np.outer(w / (w @ w + 1e-6), back_h)
-    z = np.stack([w @ emb[b] @ out + bias for b, w in (samples[i] for i in back)])
-    t = temperature(z, y[back])
-    p = softmax(z / t)[:, : len(labels)]
-    return LanguageModel(labels, emb @ out, bias, t, min(0.9, max(0.5, threshold(p.max(1), p.argmax(1) != y[back], most_wrong))))
+    return LanguageModel(labels, emb @ out, bias)
 
 
 def without_language(text: str, rng: np.random.Generator) -> str:
@@ -156,33 +174,60 @@ def without_language(text: str, rng: np.random.Generator) -> str:
     return text.lower().translate(dict(zip(map(ord, letters), rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(letters)).tolist())))
 
 
-def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int = 800, most_labels: int = 256) -> LanguageModel | None:
-    """Fit to ``rows``, all of which may be learned from; only subword counts of the bounded sample reach the driver."""
+def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int = 800, most_labels: int = 256, most_bytes: int = 256 << 20, most_held: int = 20_000, most_wrong: float = 0.01) -> LanguageModel | None:
+    """Fit to ``rows``, all of which may be learned from; only subword counts of the bounded sample, and scores of the held-back one, reach the driver."""
+    spark = rows.sparkSession
     rows = rows.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("label is not null and text is not null")
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()
+    bytes_ = F.least(F.lit(1 << BITS), F.octet_length("text") * len(ORDERS)).cast("long") * 6  # of a text's counts, at most
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_).alias("bytes")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
     if not sizes:
         return None
-    shares = rows.sparkSession.createDataFrame([(r["label"], min(1.0, per_label / r["count"])) for r in sizes], "label string, share double")
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    rows = rows.join(F.broadcast(shares), "label").where(draw < F.col("share")).select("id", "text", "label")
-    spoilt = min(1.0, per_label / sum(min(per_label, r["count"]) for r in sizes))  # no language is learned from at most as many texts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shares = {r["label"]: min(1.0, per_label / r["n"]) for r in sizes}
+    scale = min(1.0, most_bytes / max(1, sum(shares[r["label"]] * r["bytes"] for r in sizes)))
+    shares = spark.createDataFrame([(x, share * scale) for x, share in shares.items()], "label string, share double")
+    n = sum(r["n"] for r in sizes)
+    held = min(0.1, most_held / n) if n > 20 else 0.0
+    draw = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.join(F.broadcast(shares), "label")
+    back, rows = rows.where(draw("held") < held), rows.where((draw("held") >= held) & (draw("language") < F.col("share")))
+    spoilt = min(1.0, per_label / sum(min(per_label, r["n"]) for r in sizes))  # no language is learned from at most as many texts
+
+    def with_made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """(ids, labels, texts), and the same for texts made of them."""
         for batch in batches:
             for b in pieces(batch, "text"):
                 ids, texts = b.column(0), b.column(1)
                 rngs = [np.random.default_rng(zlib.crc32(t.encode("utf-8", "replace"))) for t in texts.to_pylist()]
                 made = [i for i, r in enumerate(rngs) if r.random() < spoilt]
                 extra = pa.array([without_language(texts[i].as_py(), rngs[i]) for i in made], pa.string())
-                for id_, names, column in ((ids, b.column(2), texts), (ids.take(pa.array(made, pa.int64())), pa.nulls(len(made), pa.string()), extra)):
-                    c = counted(column)
-                    yield pa.RecordBatch.from_arrays([id_, names, pa.array([x.tobytes() for x, _ in c], pa.binary()), pa.array([w.tobytes() for _, w in c], pa.binary())], ["id", "label", "b", "w"])
+                yield ids, b.column(2), texts
+                yield ids.take(pa.array(made, pa.int64())), pa.nulls(len(made), pa.string()), extra
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, names, texts in with_made(batches):
+            c = counted(texts)
+            yield pa.RecordBatch.from_arrays([ids, names, pa.array([x.tobytes() for x, _ in c], pa.binary()), pa.array([w.tobytes() for _, w in c], pa.binary())], ["id", "label", "b", "w"])
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, label string, b binary, w binary"
-    got = rows.mapInArrow(run, schema).toArrow()
+    kind = rows.schema["id"].dataType.simpleString()
+    got = rows.select("id", "text", "label").mapInArrow(counts, f"id {kind}, label string, b binary, w binary").toArrow()
+    if not got.num_rows:  # a table so small that all of it was held back
+        return None
     order = pc.sort_indices(got, [("id", "ascending"), ("label", "ascending"), ("w", "ascending")]).to_pylist()
     samples = [(np.frombuffer(got["b"][i].as_buffer(), np.uint16), np.frombuffer(got["w"][i].as_buffer(), np.float32)) for i in order]  # nothing is copied
-    return fit(samples, [got["label"][i].as_py() for i in order])
+    model = fit(samples, [got["label"][i].as_py() for i in order])
+    del got, samples
+    shared = spark.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, names, texts in with_made(batches):
+            yield pa.RecordBatch.from_arrays([names, pa.array([z.tobytes() for z in shared.value.logits(texts).astype(np.float32)], pa.binary())], ["label", "z"])
+
+    got = back.select("id", "text", "label").mapInArrow(scored, "label string, z binary").toArrow().sort_by([("label", "ascending"), ("z", "ascending")])
+    place = {x: i for i, x in enumerate(model.labels)} | {None: len(model.labels)}
+    names = got["label"].to_pylist()
+    known = [i for i, x in enumerate(names) if x in place]
+    z = np.array([np.frombuffer(got["z"][i].as_buffer(), np.float32) for i in known], np.float64).reshape(len(known), len(place))
+    return calibrate(model, z, np.array([place[names[i]] for i in known], np.int64), most_wrong)
 
 
 def judged(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

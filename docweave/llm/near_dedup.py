@@ -13,8 +13,8 @@ Bands have as many rows as keep the chance to miss a pair at the threshold below
 that shares a band and whose set sizes allow a link is decided on full sets.
 
 Defined cases: null and empty texts and texts without words have the empty set and are linked with nothing; fewer than
-``shingle`` words form one shingle; repeated rows share a node; the component of rows that all lack an id is null; an empty
-table gives an empty result; extra columns are left alone. Sets are kept as 64-bit hashes of shingles.
+``shingle`` words form one shingle; repeated rows share a node; rows without an id carry links like any other, and the component of
+rows that all lack one is null; an empty table gives an empty result; extra columns are left alone. Sets are kept as 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def signatures(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set, null if empty), bands (keys of its bands of coordinates)."""
+    """doc_id, name, n_shingles, node (hash of the whole set, null if empty), bands (keys of its bands of coordinates) of (doc_id, name, text)."""
     height = band_rows(percent)
     n_bands = COORDS // height
 
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         salt = mix(np.arange(n_bands, dtype=np.uint64))
         for batch in batches:
             for b in pieces(batch, "text"):
-                keys, first = shingle_sets(b.column(1), shingle)
+                keys, first = shingle_sets(b.column(2), shingle)
                 n = np.diff(first)
                 full, sig = np.flatnonzero(n), signatures(keys, first)
                 node = node_ids(keys, first)
@@ -111,9 +111,9 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 rows[full] = np.arange(len(full))
                 at = pa.array(rows, mask=rows < 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * n_bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), lists.take(at)], ["doc_id", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), lists.take(at)], ["doc_id", "name", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string, n_shingles long, node long, bands array<long>")
 
 
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
@@ -200,7 +200,9 @@ def blocked_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percen
 
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80, small: int = 32, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links have 100 * intersection >= percent * union."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    # Texts are found again by their id, or by their digest where they have none.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(doc_id).isNull(), F.md5(body)).alias("name"), body.alias("text"))
     sketch = staged(sketches(rows, shingle, percent), "sketches")
     filled = sketch.where("node is not null")
     nodes = staged(filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
@@ -219,11 +221,14 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     pairs = staged(pairs.select("a", "b").unionAll(stars).distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(many.select("node")).distinct()
-    one = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = wanted.join(one.hint("merge"), "node")
-    wanted = staged(wanted, "wanted")
-    texts = prefilter(rows.where("doc_id is not null").withColumn("id", F.xxhash64("doc_id")), "id", wanted.select(F.xxhash64("doc_id").alias("id")))
-    sets = staged(sets_of(texts.join(wanted.hint("merge"), "doc_id"), shingle).dropDuplicates(["node"]), "sets")
+    one = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("name").alias("name"))
+    wanted = staged(wanted.join(one.hint("merge"), "node"), "wanted")
+    texts = prefilter(rows.where("doc_id is not null").withColumn("id", F.xxhash64("doc_id")), "id", wanted.where("doc_id is not null").select(F.xxhash64("doc_id").alias("id")))
+    texts = texts.join(wanted.drop("name").hint("merge"), "doc_id").select("node", "text")
+    nameless = wanted.where("doc_id is null")
+    if not nameless.isEmpty():
+        texts = texts.unionAll(rows.where("doc_id is null").join(nameless.drop("doc_id").hint("merge"), "name").select("node", "text"))
+    sets = staged(sets_of(texts, shingle).dropDuplicates(["node"]), "sets")
 
     links = staged(confirmed(pairs, sets, percent), "confirmed")
     labels = staged(connected(links), "labels")

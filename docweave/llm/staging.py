@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch, shared_dir
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
@@ -14,6 +20,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     by application, so that :func:`clear_staged` (or the cluster's retention rule) can drop them once results are written.
     """
     path = scratch(df.sparkSession, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -28,10 +36,27 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= SMALL_BYTES else df.hint("merge")
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of the tables that are staged inside the block, in order; for :func:`drop` once nothing reads them."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables; what still reads them fails."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; results that were not written yet become unreadable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docweave-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, f"{shared_dir(spark)}/docweave-{spark.sparkContext.applicationId}")
 
 
 def unpacked(df: DataFrame, *new: str) -> DataFrame:

@@ -234,6 +234,22 @@ def test_near(docs, empty, k, percent, small, block):
         assert near_dedup.near_components(empty).count() == 0
 
 
+def test_near_texts_without_ids_carry_links(spark):
+    """A chain of near texts whose middle has no id is one component."""
+    a = [f"w{i}" for i in range(200)]
+    b, c = list(a), list(a)
+    b[5] = c[5] = "x"
+    c[150] = c[90] = "y"
+    b[90] = "y"
+    chain = [" ".join(w) for w in (a, b, c)]
+    (_, _, mine, _), *_ = [x for x in classes([(1, chain[0]), (2, chain[2])], 3, 94) if x[0] == 2]
+    assert mine == 2  # the ends are not linked themselves
+    for middle in (None, 3):
+        rows = [(1, chain[0], None, None), (middle, chain[1], None, None), (middle, chain[1], None, None), (2, chain[2], None, None), (None, "lone words of no id", None, None), (None, "", None, None)]
+        got = [(r["doc_id"], r["component_id"]) for r in near_dedup.near_components(make(spark, rows), shingle=3, percent=94).collect()]
+        assert sorted(got, key=repr) == sorted([(1, 1), (2, 1), (middle, 1), (middle, 1), (None, None), (None, None)], key=repr)
+
+
 def test_near_large_group(spark):
     """Chains of edits: one component whose ends are far apart, in buckets that are too large for all pairs."""
     rng = random.Random(5)
@@ -317,6 +333,39 @@ def test_rejection_threshold():
     assert language.threshold(np.array([0.5]), np.array([True]), 0.1) > 0.5 and language.threshold(np.zeros(0), np.zeros(0, bool), 0.1) > 0
 
 
+def test_error_bound():
+    """The accepted share of errors is bounded with confidence, or the least bound is taken."""
+    rng = np.random.default_rng(4)
+    plain = language.LanguageModel(["a", "b"], np.zeros((1, 3)), np.zeros(3))
+    z = np.zeros((4000, 3))
+    z[np.arange(4000), rng.integers(0, 2, 4000)] = rng.uniform(0.2, 6, 4000)
+    p = language.softmax(z)[:, :2]
+    y = np.where(rng.random(4000) < p.max(1) ** 0.25, p.argmax(1), 2)
+    m = language.calibrate(plain, z, y, 0.02)
+    q = language.softmax(z / m.temperature)[:, :2]
+    taken = q.max(1) >= m.min_score
+    wrong = (q.argmax(1) != y)[taken].mean()
+    assert wrong < m.error_bound <= 0.02 and 500 < taken.sum() < 4000
+    few = language.calibrate(plain, z[:40], np.where(np.arange(40) == z[:40, 0].argmin(), 2, p[:40].argmax(1)), 0.001)
+    assert 0.001 < few.error_bound < 0.2 and (language.softmax(z[:40] / few.temperature)[:, :2].max(1) >= few.min_score).sum() > 15
+    assert language.calibrate(plain, z[:0], y[:0], 0.01) is plain
+
+
+def test_fitted_predictions_by_hand(spark):
+    """Folded bucket scores equal mean embedding times weights, and a query's training set is what its filter says."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd " if i % 2 else "wxyz ") for _ in range(rng.randint(5, 60))) for i in range(60)]
+    names = ["p" if i % 2 else "q" for i in range(60)]
+    m = language.fit(language.counted(pa.array(texts)), names)
+    want = [sum(x * m.scores[b] for b, x in zip(*c)) + m.bias for c in language.counted(pa.array(texts))]
+    assert np.allclose(m.logits(pa.array(texts)), want, atol=1e-4)
+    best, score = m.predict(pa.array(texts))
+    p = np.array([np.exp(w) / np.exp(w).sum() for w in want])[:, :2]
+    assert [m.labels[i] for i in best] == names and np.allclose(score, p.max(1), atol=1e-4)
+    d = make(spark, [(i, t, n, None) for i, (t, n) in enumerate(zip(texts, names))] + [(900 + i, t[::-1], "r", None) for i, t in enumerate(texts)])
+    assert language.learn(d.where("doc_id < 900"), "text", "lang", "doc_id").labels == ["p", "q"]
+
+
 def test_subwords_by_hand():
     """Buckets of all n-grams, counted by brute force, whatever the step."""
 
