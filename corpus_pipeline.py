@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import exact_dedup, language, mixing, near_dedup, sentencepieces
-from docweave.llm.staging import staged
+from docweave.llm.staging import collected, drop, staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; each one's table, and what it staged itself, is deleted when the next one's is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with collected() as made:
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(spark, *old, *made[:-1])
+        old = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
