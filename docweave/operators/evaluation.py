@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.common import let
+
+#: The coefficients of the public Lanczos sum for g = 7.
+LANCZOS_G, LANCZOS_0 = 7.0, 0.99999999999980993
+LANCZOS = (676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 #: Abramowitz and Stegun 7.1.26, an error function by a polynomial of t = 1 / (1 + p x).
 ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
@@ -39,12 +46,11 @@ def nearest_rank(column: str, p: float) -> Column:
 
 def roll_up(scores: DataFrame, metrics: list[str], ms: str = "ms") -> DataFrame:
     """Means, latency percentiles and counts by strategy and query type, and by strategy ("Overall")."""
-    scores.createOrReplaceTempView("_docweave_scores")
-    means = ", ".join(f"round(avg({m}), 6) AS {m}" for m in metrics)
-    ps = ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {ms}) AS p{round(p * 100)}_ms" for p in (0.5, 0.95, 0.99))
-    return scores.sparkSession.sql(
-        f"SELECT strategy, CASE WHEN grouping(query_type) = 1 THEN 'Overall' ELSE query_type END AS query_type, {means}, {ps}, count(*) AS n FROM _docweave_scores GROUP BY GROUPING SETS ((strategy, query_type), (strategy))"
-    )
+    means = [F.round(F.avg(m), 6).alias(m) for m in metrics]
+    ps = [nearest_rank(ms, p).alias(f"p{round(p * 100)}_ms") for p in (0.5, 0.95, 0.99)]
+    both = [[F.col("strategy"), F.col("query_type")], [F.col("strategy")]]
+    rolled = scores.groupingSets(both, F.col("strategy"), F.col("query_type")).agg(F.grouping("query_type").alias("_all"), *means, *ps, F.count(F.lit(1)).alias("n"))
+    return rolled.select("strategy", F.when(F.col("_all") == 1, "Overall").otherwise(F.col("query_type")).alias("query_type"), *metrics, "p50_ms", "p95_ms", "p99_ms", "n")
 
 
 def erf(x: Column) -> Column:
@@ -53,26 +59,43 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
-def student_p(t: Column, df: Column) -> Column:
-    """Two-tailed p of |t|: the normal distribution above 30 degrees, the finite series of Abramowitz and Stegun 26.7.3-4 up to 30."""
-    t = F.abs(t)
-    normal = 1 - erf(t / F.sqrt(F.lit(2.0)))
-    theta = F.atan(t / F.sqrt(df))
-    s, c2 = F.sin(theta), F.pow(F.cos(theta), F.lit(2.0))
-    # Terms grow by c2 * (j - 1) / j (even degrees) or c2 * (j - 1) / j shifted by one (odd degrees).
-    start = F.when(df % 2 == 0, F.lit(1.0)).otherwise(F.cos(theta))
-    first = F.when(df % 2 == 0, F.lit(2)).otherwise(F.lit(3))
-    steps = F.when(df - 2 >= first, F.sequence(first, (df - 2).cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    zero = F.struct(start.alias("term"), start.alias("total"))
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 0.5 (Lanczos' sum)."""
+    series = sum((c / (x + i) for i, c in enumerate(LANCZOS)), F.lit(LANCZOS_0))
+    t = x + (LANCZOS_G - 0.5)
+    return 0.5 * math.log(2 * math.pi) + (x - 0.5) * F.log(t) - t + F.log(series)
+
+
+def incomplete_beta(x: Column, a: Column, b: Column, terms: int = 60) -> Column:
+    """The regularised incomplete beta function I_x(a, b), 0 < x < 1, by ``terms`` terms of its continued fraction, evaluated from the front (Lentz) on the
+    side of x where it converges fast."""
+    tiny = 1e-300  # keeps denominators off zero
 
-    def add(acc: Column, j: Column) -> Column:
-        term = acc["term"] * c2 * (j - 1) / j
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+    def body(v: Column) -> Column:
+        x, a, b = v["x"], v["a"], v["b"]
 
-    total = F.aggregate(steps, zero, add)["total"]
-    even = s * total
-    odd = (theta + F.when(df > 1, s * total).otherwise(0.0)) * (2 / F.pi())
-    return F.when(df > 30, normal).otherwise(1 - F.when(df % 2 == 0, even).otherwise(odd))
+        def step(acc: Column, i: Column) -> Column:
+            m = F.floor(i / 2)
+            term = F.when(i % 2 == 0, m * (b - m) * x / ((a + i - 1) * (a + i))).otherwise(-(a + m) * (a + b + m) * x / ((a + i - 1) * (a + i)))
+            # The product of all c and d lags one step, so that each of them is computed once.
+            return F.struct((1 + term / acc["c"] + tiny).alias("c"), (1 / (1 + term * acc["d"] + tiny)).alias("d"), (acc["h"] * acc["c"] * acc["d"]).alias("h"))
+
+        start = F.struct(F.lit(1.0).alias("c"), (1 / (1 - (a + b) * x / (a + 1) + tiny)).alias("d"), F.lit(1.0).alias("h"))
+        fraction = let(F.aggregate(F.sequence(F.lit(2), F.lit(terms)), start, step), lambda acc: acc["h"] * acc["c"] * acc["d"])
+        part = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x)) / a * fraction
+        return F.when(v["near"], part).otherwise(1 - part)
+
+    near = x < (a + 1) / (a + b + 2)
+    swap = F.struct(F.when(near, x).otherwise(1 - x).alias("x"), F.when(near, a).otherwise(b).alias("a"), F.when(near, b).otherwise(a).alias("b"), near.alias("near"))
+    return let(swap, body)
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-tailed p of |t| for real degrees of freedom: the normal distribution above 30, the incomplete beta function up to 30."""
+    t, df = F.abs(t.cast("double")), df.cast("double")
+    normal = 1 - erf(t / F.sqrt(F.lit(2.0)))
+    exact = incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5))
+    return F.when(df > 30, normal).when(t == 0, 1.0).otherwise(exact)
 
 
 def paired_t(scores: DataFrame, metric: str, a: str, b: str) -> DataFrame:
@@ -92,15 +115,15 @@ def mark(p: Column) -> Column:
 
 def improvement(a: Column, b: Column) -> Column:
     """Change from a to b in percent; 0 where a is 0."""
-    return F.when(a == 0, 0.0).otherwise((b - a) / a * 100)
+    return F.when(a == 0, 0.0).otherwise(F.try_divide(b - a, a) * 100)
 
 
 def comparison(rolled: DataFrame, tests: DataFrame, baseline: str) -> DataFrame:
     """Each strategy against the baseline: p_at_5, change in percent, p, mark, r_at_5, rr, p95_ms. ``tests``: rows of :func:`paired_t` with the strategy as a."""
     overall = rolled.where("query_type = 'Overall'")
-    base = overall.where(F.col("strategy") == baseline).first()
-    rows = overall.join(F.broadcast(tests.select(F.col("a").alias("strategy"), "p").limit(1000)), "strategy", "left")
-    return rows.select("strategy", "p_at_5", F.round(improvement(F.lit(base["p_at_5"]), F.col("p_at_5")), 6).alias("change"), "p", mark(F.col("p")).alias("mark"), "r_at_5", "rr", "p95_ms")
+    base = overall.agg(F.max(F.when(F.col("strategy") == baseline, F.col("p_at_5"))).alias("_base"))  # one row, null without the baseline
+    rows = overall.join(tests.select(F.col("a").alias("strategy"), "p").hint("merge"), "strategy", "left").crossJoin(F.broadcast(base))
+    return rows.select("strategy", "p_at_5", F.round(improvement(F.col("_base"), F.col("p_at_5")), 6).alias("change"), "p", mark(F.col("p")).alias("mark"), "r_at_5", "rr", "p95_ms")
 
 
 def trade_offs(rolled: DataFrame, a: str, b: str) -> DataFrame:

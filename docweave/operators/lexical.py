@@ -72,18 +72,31 @@ def asked_terms(queries: DataFrame, by_tenant: bool) -> DataFrame:
     return asked.groupBy("query_id", *own, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scored(hits: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+def scored(hits: DataFrame, k: int, k1: float | Column, b: float | Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Top k of rows with query_id, item_id, qtf, tf, dl, df, n and avgdl."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "item_id").agg(F.sum(weight).alias("score"))
-    return top(scores, k).select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
+    scores = hits.groupBy(*by, "item_id").agg(F.sum(weight).alias("score"))
+    return top(scores, k, by=by).select(*by, "rank", "item_id", F.round("score", 6).alias("score"))
 
 
 def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = K1, b: float = B, by_tenant: bool = False, stats_by_tenant: bool = False, item: str = "item_id", text: str = "text", tenant: str = "tenant_id", most_k: int = 100) -> DataFrame:
     """(query_id, rank, item_id, score) of ``queries`` (query_id, text[, tenant_id]); any term may match, repeated query terms count again.
 
     ``by_tenant``: a query sees items of its own tenant only. ``stats_by_tenant``: so do n, df and average length.
+    """
+    return scored(matched(queries, items, by_tenant, stats_by_tenant, item, text, tenant), min(k, most_k), k1, b)
+
+
+def bm25_runs(queries: DataFrame, items: DataFrame, settings: dict[str, tuple[float, float]], k: int = 10, most_k: int = 100, **names: str) -> DataFrame:
+    """(strategy, query_id, rank, item_id, score) for each of ``settings`` (strategy: k1, b), from one pass over the items."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("strategy"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for name, (k1, b) in settings.items()]))
+    hits = matched(queries, items, **names).withColumn("_s", each).select("*", "_s.*")
+    return scored(hits, min(k, most_k), F.col("k1"), F.col("b"), ("strategy", "query_id"))
+
+
+def matched(queries: DataFrame, items: DataFrame, by_tenant: bool = False, stats_by_tenant: bool = False, item: str = "item_id", text: str = "text", tenant: str = "tenant_id") -> DataFrame:
+    """The rows that BM25 sums: query_id, item_id, qtf, tf, dl, df, n, avgdl.
 
     The corpus is tokenised once: terms that no query asks for are dropped before the one shuffle, whose output gives term counts,
     statistics and hits alike. It deals by item, so that scores, where the asked terms are few, are summed without another shuffle of the hits.
@@ -105,8 +118,7 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = K1, b: f
         hits = hits.join(df.hint("merge"), [*scope, "term"]).join(stats.hint("merge"), "tenant_id")
     else:
         hits = hits.join(few(df), "term").crossJoin(F.broadcast(stats))  # one row
-    hits = hits.join(sized(wanted) if bounded else wanted.hint("merge"), [*["tenant_id"] * by_tenant, "term"])
-    return scored(hits, min(k, most_k), k1, b)
+    return hits.join(sized(wanted) if bounded else wanted.hint("merge"), [*["tenant_id"] * by_tenant, "term"])
 
 
 def bm25_stored(queries: DataFrame, path: str, k: int = 10, k1: float = K1, b: float = B, by_tenant: bool = False, most_k: int = 100) -> DataFrame:

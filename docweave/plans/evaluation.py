@@ -6,25 +6,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.queries import TYPES
 from ..operators import evaluation as E
-from .fixtures import ITEMS, QRELS, QUERIES as QS, bm25_sql, items, lexical_results, queries, relevance, table
+from ..operators.lexical import B, K1, bm25_runs
+from ..session import scratch
+from .fixtures import ITEMS, QRELS, QUERIES as QS, bm25_sql, items, queries, relevance, table
 
 METRICS = ["p_at_5", "p_at_10", "r_at_5", "r_at_10", "rr"]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = lexical_results(spark, sf_dir).withColumn("strategy", F.lit("BM25"))
-    return a.unionAll(lexical_results(spark, sf_dir, b=0.0).withColumn("strategy", F.lit("Flat")))
+    return bm25_runs(queries(spark, sf_dir), items(spark, sf_dir), {"BM25": (K1, B), "Flat": (K1, 0.0)})
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked(spark: SparkSession, sf_dir: str, qrels: DataFrame) -> DataFrame:
     """Usable queries, once for each strategy, with a stand-in for their latency (ms): the length of their text."""
-    ok, _, _ = E.check_set(queries(spark, sf_dir), relevance(spark, sf_dir), items(spark, sf_dir))
+    ok, _, _ = E.check_set(queries(spark, sf_dir), qrels, items(spark, sf_dir))
     ms = F.length("text") * F.when(F.col("strategy") == "BM25", 1).otherwise(2)
     return ok.withColumn("strategy", F.explode(F.array(F.lit("BM25"), F.lit("Flat")))).select("strategy", "query_id", "query_type", ms.alias("ms"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.per_query(runs(spark, sf_dir), relevance(spark, sf_dir), asked(spark, sf_dir))
+    """Metrics of every query of both runs, written once: relevance rows are found once, and the corpus is searched once for both strategies."""
+    qrels = written(relevance(spark, sf_dir), "qrels")
+    return written(E.per_query(runs(spark, sf_dir), qrels, asked(spark, sf_dir, qrels)), "scores")
 
 
 _S = f"""{QS}, {ITEMS}, {QRELS}, {bm25_sql('ba')}, {bm25_sql('bf', b=0.0)}, runs AS (SELECT 'BM25' AS strategy, * FROM ba UNION ALL SELECT 'Flat', * FROM bf),
@@ -82,43 +92,68 @@ def e6(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')")
     s = e.groupBy(F.col("event_type").alias("strategy"), (F.col("user_id") % 25).alias("query_id")).agg(F.round(F.avg("value"), 6).alias("v"))
     t = E.paired_t(s, "v", "view", "click")
-    return t.select("a", "b", "n", "mean_difference", "t")
+    return t.select("a", "b", "n", "mean_difference", "t", "p", E.mark(F.col("p")).alias("mark"), "significant")
 
 
 _D = """sc AS (SELECT event_type AS strategy, user_id % 25 AS query_id, round(avg(value), 6) AS v FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
 d AS (SELECT x.v - y.v AS d FROM sc x JOIN sc y USING (query_id) WHERE x.strategy = 'view' AND y.strategy = 'click'),
 g AS (SELECT count(*) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d)"""
-E6 = f"WITH {_D} SELECT 'view' AS a, 'click' AS b, n, round(mean, 6) AS mean_difference, round(t, 6) AS t FROM g"
+def _p_sql(source: str, name: str = "pv", t: str = "t", df: str = "df") -> str:
+    """Common table expressions that end in ``name``: ``source`` with p, the incomplete beta function as a power series and the library's log gamma."""
+    return f"""{name}_a AS (SELECT *, abs({t}) AS t_, CAST({df} AS DOUBLE) AS df_, df_ / (df_ + t_ * t_) AS x0, x0 < (df_ / 2 + 1) / (df_ / 2 + 2.5) AS near FROM {source}),
+{name}_b AS (SELECT *, CASE WHEN near THEN x0 ELSE 1 - x0 END AS x, CASE WHEN near THEN df_ / 2 ELSE 0.5::DOUBLE END AS a, CASE WHEN near THEN 0.5::DOUBLE ELSE df_ / 2 END AS b FROM {name}_a),
+{name}_c AS (SELECT *, CASE WHEN x <= 0 THEN 0.0::DOUBLE WHEN df_ > 30 THEN NULL ELSE exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a * (1 + list_sum(list_transform(range(0, 600), lambda i: exp(lgamma(a + b + i + 1) - lgamma(a + b) - lgamma(a + i + 2) + lgamma(a + 1) + (i + 1) * ln(x))))) END AS part,
+  1 / (1 + {E.ERF_P}::DOUBLE * t_ / sqrt(2.0)) AS et FROM {name}_b),
+{name} AS (SELECT * EXCLUDE (t_, df_, x0, near, x, a, b, part, et), CASE WHEN df_ > 30 THEN 1 - (1 - ({' + '.join(f'({c}::DOUBLE) * pow(et, {i + 1})' for i, c in enumerate(E.ERF_A))}) * exp(-t_ * t_ / 2)) WHEN near THEN part ELSE 1 - part END AS p FROM {name}_c)"""
 
 
-def e7(spark, sf_dir):
-    """p values of t statistics from events, at few and at many degrees of freedom."""
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 40).alias("t"), (1 + F.col("event_id") % 60).alias("df"))
+_MARK = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
+E6 = f"WITH {_D}, {_p_sql('(SELECT *, n - 1 AS df FROM g)')} SELECT 'view' AS a, 'click' AS b, n, round(mean, 6) AS mean_difference, round(t, 6) AS t, round(p, 6) AS p, {_MARK} AS mark, p < 0.05 AS significant FROM pv"
+
+
+def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p values of t statistics from events, at real degrees of freedom, few and many."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 40).alias("t"), (1 + F.col("event_id") % 590 / F.lit(10.0)).alias("df"))
     return e.select("event_id", F.round(E.student_p(F.col("t"), F.col("df")), 6).alias("p"))
 
 
+def e7(spark, sf_dir):
+    return p_values(spark, sf_dir)
+
+
+_E7 = _p_sql("(SELECT event_id, value / 40 AS t, 1 + (event_id % 590) / 10.0::DOUBLE AS df FROM events)")
+E7 = f"WITH {_E7} SELECT event_id, round(p, 6) AS p FROM pv"
+
+
 def e8(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", E.mark(F.col("event_id") % 97 / 1500.0).alias("mark"))
+    return p_values(spark, sf_dir).select("event_id", E.mark(F.col("p")).alias("mark"))
 
 
-E8 = "SELECT event_id, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS mark FROM (SELECT event_id, (event_id % 97)::DOUBLE / 1500 AS p FROM events)"
+E8 = f"WITH {_E7}, r AS (SELECT event_id, round(p, 6) AS p FROM pv) SELECT event_id, {_MARK} AS mark FROM r"
 
 
 def e9(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(E.improvement(F.col("event_id") % 5, F.col("user_id") % 7), 6).alias("change"))
+    """Change of each query's reciprocal rank and precision from one strategy to the other."""
+    s = scores(spark, sf_dir)
+    a, b = (s.where(F.col("strategy") == x).select("query_id", F.col("rr").alias(f"rr_{x}"), F.col("p_at_5").alias(f"p_{x}")) for x in ("Flat", "BM25"))
+    return a.join(b.hint("merge"), "query_id").select("query_id", *[F.round(E.improvement(F.col(f"{m}_Flat"), F.col(f"{m}_BM25")), 6).alias(f"{m}_change") for m in ("rr", "p")])
 
 
-E9 = "SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN 0::DOUBLE ELSE (user_id % 7 - event_id % 5)::DOUBLE / (event_id % 5) * 100 END, 6) AS change FROM events"
+E9 = f"""WITH {_S} SELECT query_id, {', '.join(f'round(CASE WHEN a.{m} = 0 THEN 0::DOUBLE ELSE (b.{m} - a.{m}) / a.{m} * 100 END, 6) AS {n}_change' for m, n in (('rr', 'rr'), ('p_at_5', 'p')))}
+FROM scores a JOIN scores b USING (query_id) WHERE a.strategy = 'Flat' AND b.strategy = 'BM25'"""
 
 
 def e10(spark, sf_dir):
-    """Strategies against the baseline, without p (checked by its own query and tests)."""
-    tests = E.paired_t(scores(spark, sf_dir), "p_at_5", "Flat", "BM25")
-    return E.comparison(rolled(spark, sf_dir), tests, "BM25").select("strategy", "p_at_5", "change", "r_at_5", "rr", "p95_ms")
+    """Strategies against the baseline, with p and mark of their paired differences."""
+    s = scores(spark, sf_dir)
+    return E.comparison(E.roll_up(s, METRICS), E.paired_t(s, "p_at_5", "Flat", "BM25"), "BM25")
 
 
-E10 = f"""WITH {_R}, o AS (SELECT * FROM rolled WHERE query_type = 'Overall'), b AS (SELECT p_at_5 AS base FROM o WHERE strategy = 'BM25')
-SELECT strategy, p_at_5, round(CASE WHEN base = 0 THEN 0 ELSE (p_at_5 - base) / base * 100 END, 6) AS change, r_at_5, rr, p95_ms FROM o, b"""
+E10 = f"""WITH {_R}, o AS (SELECT * FROM rolled WHERE query_type = 'Overall'), b AS (SELECT p_at_5 AS base FROM o WHERE strategy = 'BM25'),
+d AS (SELECT x.p_at_5 - y.p_at_5 AS d FROM scores x JOIN scores y USING (query_id) WHERE x.strategy = 'Flat' AND y.strategy = 'BM25'),
+g AS (SELECT count(*) AS n, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t FROM d HAVING count(*) >= 2), {_p_sql('(SELECT *, n - 1 AS df FROM g)')},
+j AS (SELECT o.*, base, CASE WHEN strategy = 'Flat' THEN (SELECT round(p, 6) FROM pv) END AS p FROM o, b)
+SELECT strategy, p_at_5, round(CASE WHEN base = 0 THEN 0 ELSE (p_at_5 - base) / base * 100 END, 6) AS change, p, {_MARK} AS mark, r_at_5, rr, p95_ms FROM j"""
 
 
 def e11(spark, sf_dir):
@@ -144,5 +179,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "s3_evaluation_set": S3, "e1_precision": _sql("p_at_5", "p_at_10"), "e2_recall": _sql("r_at_5", "r_at_10"), "e3_reciprocal_rank": _sql("rr"), "e4_percentiles": E4, "e5_roll_up": E5, "e6_paired_t": E6,
-    "e8_marks": E8, "e9_improvement": E9, "e10_comparison": E10, "e11_trade_offs": E11, "e12_query_types": E12,
+    "e7_student_p": E7, "e8_marks": E8, "e9_improvement": E9, "e10_comparison": E10, "e11_trade_offs": E11, "e12_query_types": E12,
 }
