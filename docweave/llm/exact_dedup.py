@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .staging import staged, without
+from .words import tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COUNTERS = 1024
@@ -48,7 +49,7 @@ def frequent(digests: DataFrame, column: str, counters: int = COUNTERS) -> DataF
             keys = misra_gries(keys, b.column(0), counters)
         yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.int64())], ["digest", "n"])
 
-    parts = digests.select(column).mapInArrow(summary, "digest string, n long")
+    parts = digests.select(column).mapInArrow(tidy(summary), "digest string, n long")
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 
 

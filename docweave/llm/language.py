@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .staging import unpacked
-from .words import LOWER, bytes_of, pieces, with_body
+from .words import LOWER, bytes_of, give_back, pieces, tidy, with_body
 
 BITS, DIM, ORDERS = 15, 16, (2, 3, 4)
 #: Bytes that are neither ASCII letters nor part of longer characters act as word boundaries.
@@ -209,24 +209,26 @@ def learn(rows: DataFrame, text: str, label: str, doc_id: str, per_label: int =
             yield pa.RecordBatch.from_arrays([ids, names, pa.array([x.tobytes() for x, _ in c], pa.binary()), pa.array([w.tobytes() for _, w in c], pa.binary())], ["id", "label", "b", "w"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.select("id", "text", "label").mapInArrow(counts, f"id {kind}, label string, b binary, w binary").toArrow()
+    got = rows.select("id", "text", "label").mapInArrow(tidy(counts), f"id {kind}, label string, b binary, w binary").toArrow()
     if not got.num_rows:  # a table so small that all of it was held back
         return None
     order = pc.sort_indices(got, [("id", "ascending"), ("label", "ascending"), ("w", "ascending")]).to_pylist()
     samples = [(np.frombuffer(got["b"][i].as_buffer(), np.uint16), np.frombuffer(got["w"][i].as_buffer(), np.float32)) for i in order]  # nothing is copied
     model = fit(samples, [got["label"][i].as_py() for i in order])
     del got, samples
+    give_back()
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, names, texts in with_made(batches):
             yield pa.RecordBatch.from_arrays([names, pa.array([z.tobytes() for z in shared.value.logits(texts).astype(np.float32)], pa.binary())], ["label", "z"])
 
-    got = back.select("id", "text", "label").mapInArrow(scored, "label string, z binary").toArrow().sort_by([("label", "ascending"), ("z", "ascending")])
+    got = back.select("id", "text", "label").mapInArrow(tidy(scored), "label string, z binary").toArrow().sort_by([("label", "ascending"), ("z", "ascending")])
     place = {x: i for i, x in enumerate(model.labels)} | {None: len(model.labels)}
     names = got["label"].to_pylist()
     known = [i for i, x in enumerate(names) if x in place]
     z = np.array([np.frombuffer(got["z"][i].as_buffer(), np.float32) for i in known], np.float64).reshape(len(known), len(place))
+    give_back()
     return calibrate(model, z, np.array([place[names[i]] for i in known], np.int64), most_wrong)
 
 
@@ -250,7 +252,7 @@ def judged(docs: DataFrame, model: LanguageModel | None, text: str = "text", kee
                 best[none], score[none] = len(m.labels), 0
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~none & (score >= m.min_score))], ["row", "lang_pred", "score", "accepted"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

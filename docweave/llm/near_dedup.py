@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected
 from .staging import prefilter, staged, without
-from .words import Words, mix, pieces, windows
+from .words import Words, mix, pieces, windows, tidy
 
 COORDS = 120
 _STEP = 0x9E3779B1  # odd, so that its multiples are distinct shifts
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * n_bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), lists.take(at)], ["doc_id", "name", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string, n_shingles long, node long, bands array<long>")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string, n_shingles long, node long, bands array<long>")
 
 
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
@@ -126,7 +126,7 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
                 sets = pa.RecordBatch.from_arrays([b.column(0), pa.array([keys[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["node", "shingles"])
                 yield sets.filter(pa.array(node_ids(keys, first) == np.asarray(b.column(0))))
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, shingles binary")
 
 
 def similar_enough(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = similar_enough(common, len(x), len(y), percent)
             yield b.select([0, 1]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .staging import unpacked
-from .words import pieces as slices
+from .words import pieces as slices, tidy
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -322,7 +322,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[st
                 trip = [x is None or m.decode(x) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(counts, pa.int64()), pa.array(np.diff(bytes_), pa.int64()), pa.array(trip, pa.bool_())], ["row", "ids", "n_pieces", "n_byte_pieces", "round_trip"])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_pieces long, n_byte_pieces long, round_trip boolean")
+    out = rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_pieces long, n_byte_pieces long, round_trip boolean")
     return unpacked(out, "ids", "n_pieces", "n_byte_pieces", "round_trip")
 
 
@@ -336,4 +336,4 @@ def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", into: str = "de
             texts = [shared.value.decode(None if x is None else np.array(x, np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", into])
 
-    return unpacked(packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {into} string"), into)
+    return unpacked(packed.mapInArrow(tidy(run), f"row {packed.schema['row'].dataType.simpleString()}, {into} string"), into)

@@ -6,7 +6,9 @@ bytes equals splitting characters. Hashes are 64-bit polynomials over bytes (the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -131,3 +133,22 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE // 2) -> Itera
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def give_back() -> None:
+    """Return memory that was freed in this process to the system; else allocators keep it while other processes of the machine need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with :func:`give_back` at the end of each partition: Spark keeps idle Python workers for later tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
