@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.common import SPACE, errors, is_blank, let, trim_all
+from ..functions.common import SPACE, errors, is_blank, let, sized, trim_all
 from ..functions.text import excerpt, n_tokens
 
 MIN_SCORE, MAX_TOKENS, SAFE = 0.3, 3000, 0.9
@@ -159,6 +159,25 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def render_values(template: Column, values: Column) -> Column:
+    """:func:`render` with a map column of keys and values, whatever keys each row has, in the map's order."""
+
+    def put(text: Column, entry: Column) -> Column:
+        safe = F.regexp_replace(F.coalesce(entry["value"], F.lit("")), r"([\\$])", r"\\$1")
+        return F.regexp_replace(text, F.concat(F.lit(r"(?i)\{\{\Q"), entry["key"], F.lit(r"\E\}\}")), safe)
+
+    return F.aggregate(F.map_entries(values), template, put)
+
+
+def render_prompts(requests: DataFrame, templates: DataFrame, default: str | None = None, ab_test: bool = False) -> DataFrame:
+    """``requests`` (query_id, name, version, values: map of texts) with picked_version and the system_prompt and user_prompt of the picked template, rendered;
+    both null where there is no such template. ``templates``: name, version, loaded_at, system_prompt, user_prompt."""
+    picked = pick_versions(requests, templates, default, ab_test)
+    own = templates.select("name", F.col("version").alias("picked_version"), "system_prompt", "user_prompt")
+    rows = picked.join(sized(own), ["name", "picked_version"], "left")
+    return rows.select(*requests.columns, "picked_version", *[render_values(F.col(c), F.col("values")).alias(c) for c in ("system_prompt", "user_prompt")])
+
+
 def leftovers(rendered: Column) -> Column:
     return F.regexp_extract_all(rendered, F.lit(r"\{\{(\w+)\}\}"), F.lit(1))
 
@@ -170,7 +189,7 @@ def pick_versions(requests: DataFrame, templates: DataFrame, default: str | None
     rows = requests.join(versions.hint("merge"), "name", "left")
     asked = F.get(F.filter("vs", lambda v: F.lower(v) == F.lower(F.col("version"))), F.lit(0))
     standard = F.get(F.filter("vs", lambda v: F.lower(v) == F.lower(F.lit(default))), F.lit(0)) if default else F.lit(None).cast("string")
-    hashed = F.get(F.col("vs"), F.pmod(F.xxhash64("query_id"), F.size("vs")).cast("int")) if ab_test else F.lit(None).cast("string")
+    hashed = F.get(F.col("vs"), F.pmod(F.conv(F.substring(F.md5(F.col("query_id").cast("string")), 1, 8), 16, 10).cast("long"), F.size("vs")).cast("int")) if ab_test else F.lit(None).cast("string")
     out = F.when(~is_blank(F.col("version")), asked).otherwise(F.coalesce(standard, hashed, F.col("newest")))
     return rows.withColumn("picked_version", out).drop("vs", "newest")
 

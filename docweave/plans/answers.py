@@ -190,6 +190,32 @@ X15 = f"""WITH {_TP}, nw AS (SELECT name, max_by(version, loaded_at) AS newest,
 SELECT doc_id AS query_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN source ELSE coalesce(std, newest) END AS picked_version FROM documents JOIN nw ON name = lang"""
 
 
+def x15_ab(spark, sf_dir):
+    """The same without versions asked for: every document's language has its versions tested against each other."""
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("name"), F.lit(None).cast("string").alias("version"))
+    return A.pick_versions(r, templates(spark, sf_dir), ab_test=True).select("query_id", "picked_version")
+
+
+X15_AB = f"""WITH {_TP}, vs AS (SELECT name, list_sort(list(version)) AS vs FROM tp GROUP BY name)
+SELECT doc_id AS query_id, vs[CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % len(vs) AS INTEGER) + 1] AS picked_version FROM documents JOIN vs ON name = lang"""
+
+
+def x14_templates(spark, sf_dir):
+    """Every document's text rendered by the picked template of its language; keys in any case, one without a value, one that no template has."""
+    d = table(spark, sf_dir, "documents")
+    t = templates(spark, sf_dir).withColumn("system_prompt", F.concat(F.lit("{{ROLE}} of "), "version")).withColumn("user_prompt", F.concat(F.lit("From {{Context}}: {{query}}{{none}} {{missing}} #"), F.col("loaded_at").cast("string")))
+    values = F.create_map(F.lit("role"), F.concat(F.lit("$1 \\ "), "lang"), F.lit("context"), F.col("source"), F.lit("query"), F.col("text"), F.lit("none"), F.lit(None).cast("string"), F.lit("other"), F.lit("x"))
+    ask = F.when(F.col("doc_id") % 9 == 0, "none").when(F.col("doc_id") % 3 == 0, F.upper("source"))
+    r = d.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("name"), ask.alias("version"), values.alias("values"))
+    return A.render_prompts(r, t, ab_test=True).select("query_id", "picked_version", F.md5("system_prompt").alias("system_md5"), F.md5("user_prompt").alias("user_md5"))
+
+
+X14_TEMPLATES = f"""WITH {_TP}, vs AS (SELECT name, list_sort(list(version)) AS vs FROM tp GROUP BY name),
+r AS (SELECT doc_id AS query_id, lang AS name, source, text, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN source ELSE vs[CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % len(vs) AS INTEGER) + 1] END AS picked_version FROM documents JOIN vs ON name = lang)
+SELECT query_id, picked_version, CASE WHEN loaded_at IS NOT NULL THEN md5('$1 \\ ' || r.name || ' of ' || picked_version) END AS system_md5, CASE WHEN loaded_at IS NOT NULL THEN md5('From ' || source || ': ' || coalesce(text, '') || ' {{{{missing}}}} #' || loaded_at) END AS user_md5
+FROM r LEFT JOIN tp ON tp.name = r.name AND tp.version = r.picked_version"""
+
+
 def x16(spark, sf_dir):
     t = A.template_errors(templates(spark, sf_dir))
     return t.select("name", "version", F.array_join("errors", "; ").alias("errors"), F.array_join(A.leftovers(F.col("user_prompt")), ",").alias("leftovers"))
@@ -210,9 +236,9 @@ X17 = f"""WITH {ANSWERS} SELECT answer_id, CASE WHEN answer_id % 2 = 1 THEN answ
 
 QUERIES = {
     "x1_relevant": x1, "x2_distinct_texts": x2, "x3_context": x3, "x4_citations": x4, "x5_sources": x5, "x6_excerpt": x6, "x7_citation_count": x7, "x8_relevance": x8, "x9_validation": x9, "x10_claims": x10,
-    "x11_grounding": x11, "x12_word_overlap": x12, "x13_grounding_summary": x13, "x14_prompts": x14, "x15_template_versions": x15, "x16_template_check": x16, "x17_degraded": x17,
+    "x11_grounding": x11, "x12_word_overlap": x12, "x13_grounding_summary": x13, "x14_prompts": x14, "x14_prompts_by_template": x14_templates, "x15_template_versions": x15, "x15_ab_versions": x15_ab, "x16_template_check": x16, "x17_degraded": x17,
 }
 ORACLE_SQL = {
     "x1_relevant": X1, "x2_distinct_texts": X2, "x3_context": X3, "x4_citations": X4, "x5_sources": X5, "x6_excerpt": X6, "x7_citation_count": X7, "x8_relevance": X8, "x9_validation": X9, "x10_claims": X10,
-    "x11_grounding": X11, "x12_word_overlap": X12, "x13_grounding_summary": X13, "x14_prompts": X14, "x15_template_versions": X15, "x16_template_check": X16, "x17_degraded": X17,
+    "x11_grounding": X11, "x12_word_overlap": X12, "x13_grounding_summary": X13, "x14_prompts": X14, "x14_prompts_by_template": X14_TEMPLATES, "x15_template_versions": X15, "x15_ab_versions": X15_AB, "x16_template_check": X16, "x17_degraded": X17,
 }

@@ -162,13 +162,21 @@ def n4(spark, sf_dir):
 N4 = """SELECT event_id AS id, substr(repeat(event_type, 30), 1, 100) AS action, md5(substr(repeat(props, 40), 1, 255)) AS resource_md5, '{"id":' || event_id || ',"user_id":' || user_id || '}' AS details, CAST(250 AS BIGINT) AS duration_ms FROM events"""
 
 
+def quota_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of 8 clients, of which the first is an administrator."""
+    client = F.col("user_id") % 8
+    return table(spark, sf_dir, "events").select(client.alias("client"), F.when(client == 0, "admin").otherwise("user").alias("role"), F.col("event_type").alias("endpoint"), F.col("ts").alias("at"))
+
+
+def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas by role and endpoint, derived from what each role asks."""
+    totals = quota_requests(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("c"))
+    return totals.select("role", F.lit("*").alias("endpoint"), (F.col("c") / 200).cast("long").alias("quota")).unionAll(totals.select("role", F.lit("click").alias("endpoint"), (F.col("c") / 400).cast("long").alias("quota")))
+
+
 def n6(spark, sf_dir):
-    """Requests of 8 clients per day against quotas by role and endpoint. The quotas are derived: a tenth of what the endpoint's busiest role asks."""
-    e = table(spark, sf_dir, "events")
-    r = e.select((F.col("user_id") % 8).alias("client"), F.when(F.col("user_id") % 8 == 0, "admin").otherwise("user").alias("role"), F.col("event_type").alias("endpoint"), F.col("ts").alias("at"))
-    totals = r.groupBy("role").agg(F.count(F.lit(1)).alias("c"))
-    limits = totals.select("role", F.lit("*").alias("endpoint"), (F.col("c") / 200).cast("long").alias("quota")).unionAll(totals.select("role", F.lit("click").alias("endpoint"), (F.col("c") / 400).cast("long").alias("quota")))
-    return usage.over_quota(r, limits, "1 day")
+    """Requests per day against quotas by role and endpoint."""
+    return usage.over_quota(quota_requests(spark, sf_dir), quotas(spark, sf_dir), "1 day")
 
 
 N6 = """WITH r AS (SELECT user_id % 8 AS client, CASE WHEN user_id % 8 = 0 THEN 'admin' ELSE 'user' END AS role, event_type AS endpoint, date_trunc('day', ts) AS start FROM events),

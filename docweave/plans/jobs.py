@@ -8,7 +8,7 @@ from ..operators import cleaning, intake, lexical
 from ..session import scratch
 from ..sources import files
 from ..streaming import jobs
-from . import evaluation, retrieval
+from . import catalog, evaluation, retrieval
 from .fixtures import CHUNKS, chunks, documents, queries, table
 
 STREAM = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -57,14 +57,38 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("tenant_id"), "doc_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("at"))
 
 
+#: Remainders of doc_id by 3, in the order in which documents are uploaded.
+ARRIVAL = (2, 0, 1)
+
+
+def _arrived(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Uploads in three batches, each followed by a run of the intake job from its checkpoint."""
+    path = scratch(spark, name)
+    d = documents(spark, sf_dir).select("tenant_id", "doc_id", "text")
+    for rest in ARRIVAL:
+        d.where(F.col("doc_id") % 3 == rest).write.mode("append").parquet(f"{path}/uploads")
+        stream = spark.readStream.schema(d.schema).parquet(f"{path}/uploads")
+        jobs.intake_job(stream, path, f"{path}/checkpoint", cleaning.Rules()).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
 def st1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the incremental intake keeps of all uploads."""
-    path = scratch(spark, "intake")
-    jobs.intake_job(_uploads(spark, sf_dir), path, f"{path}-checkpoint", cleaning.Rules()).trigger(availableNow=True).start().awaitTermination()
+    path = _arrived(spark, sf_dir, "intake")
     return spark.read.parquet(f"{path}/chunks").groupBy("tenant_id", "doc_id").agg(F.count(F.lit(1)).alias("n_chunks")).select("tenant_id", "doc_id")
 
 
-ST1 = r"SELECT source AS tenant_id, min(doc_id) AS doc_id FROM documents WHERE regexp_matches(text, '\S') GROUP BY source, sha256(text)"
+_FIRST = f"SELECT source AS tenant_id, sha256(text) AS hash, arg_min(doc_id, list_position({list(ARRIVAL)}, doc_id % 3)::BIGINT * 1000000000 + doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY 1, 2"
+ST1 = rf"SELECT tenant_id, doc_id FROM ({_FIRST}) WHERE regexp_matches(text, '\S')"
+
+
+def d3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first writer of each hash over all batches, and the batch it came with."""
+    path = _arrived(spark, sf_dir, "first-writer")
+    return spark.read.parquet(f"{path}/hashes").select("tenant_id", "hash", "document_id", F.col("batch").cast("int").alias("batch"))
+
+
+D3_STREAM = f"SELECT tenant_id, hash, doc_id AS document_id, CAST(list_position({list(ARRIVAL)}, doc_id % 3) - 1 AS INTEGER) AS batch FROM ({_FIRST})"
 
 
 def _written(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -83,14 +107,27 @@ ST2 = "SELECT DISTINCT source AS tenant_id, sha256(text) AS hash FROM documents"
 
 def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed days with more than one request of a client."""
-    schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/event*.parquet")
-    r = e.select((F.col("user_id") % 20).alias("client"), F.col("event_type").alias("endpoint"), F.col("ts").cast("timestamp").alias("at"))
-    return _written(jobs.quota_counts(r, 1, "1 day"), spark, "quota").select("client", "endpoint", "start", "n")
+    return _written(jobs.quota_counts(_requests(spark, sf_dir, 20), 1, "1 day"), spark, "quota").select("client", "endpoint", "start", "n")
 
 
 ST3 = """WITH r AS (SELECT user_id % 20 AS client, event_type AS endpoint, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY ALL)
 SELECT client, endpoint, start, n FROM r WHERE n > 1 AND start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"""
 
-QUERIES = {"s1_text_files": s1, "r1_bm25_stored": r1_stored, "s5_document_sink": s5, "s8_result_export": s8, "st1_intake_stream": st1, "st2_distinct_stream": st2, "st3_quota_stream": st3}
-ORACLE_SQL = {"s1_text_files": S1, "r1_bm25_stored": retrieval.R1, "s5_document_sink": S5, "st1_intake_stream": ST1, "st2_distinct_stream": ST2, "st3_quota_stream": ST3}
+
+def _requests(spark: SparkSession, sf_dir: str, clients: int) -> DataFrame:
+    """Events as a stream of requests; client 0 is an administrator."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event*.parquet")
+    client = F.col("user_id") % clients
+    return e.select(client.alias("client"), F.when(client == 0, "admin").otherwise("user").alias("role"), F.col("event_type").alias("endpoint"), F.col("ts").cast("timestamp").alias("at"))
+
+
+def st3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed days over the quotas of N6, by role and endpoint."""
+    counts = jobs.quota_counts(_requests(spark, sf_dir, 8), catalog.quotas(spark, sf_dir), "1 day")
+    return _written(counts, spark, "quota-limits")
+
+
+ST3_LIMITS = f"SELECT * FROM ({catalog.N6}) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"
+
+QUERIES = {"s1_text_files": s1, "r1_bm25_stored": r1_stored, "s5_document_sink": s5, "s8_result_export": s8, "st1_intake_stream": st1, "st2_distinct_stream": st2, "st3_quota_stream": st3, "st3_quota_limits": st3_limits, "d3_first_writer_stream": d3_stream}
+ORACLE_SQL = {"s1_text_files": S1, "r1_bm25_stored": retrieval.R1, "s5_document_sink": S5, "st1_intake_stream": ST1, "st2_distinct_stream": ST2, "st3_quota_stream": ST3, "st3_quota_limits": ST3_LIMITS, "d3_first_writer_stream": D3_STREAM}

@@ -172,7 +172,8 @@ def test_significance(spark):
         h = t / n
         return 1 - 2 * h * (f(0) / 2 + sum(f(i * h) for i in range(1, n)) + f(t) / 2)
 
-    for t, df in ((0.5, 1), (2.0, 2), (1.3, 3), (2.5, 8), (3.0, 29), (1.0, 30)):
+    assert p(0.0, 3) == 1.0 and 0 < p(400.0, 29.5) < 1e-40
+    for t, df in ((0.5, 1), (2.0, 2), (1.3, 3), (2.5, 8), (3.0, 29), (1.0, 30), (0.01, 1.5), (2.2, 7.25), (0.4, 29.9), (5.0, 12.5)):
         assert abs(p(t, df) - integral(t, df)) < 1e-6
     assert abs(p(1.96, 100) - 0.05) < 1e-3
 
@@ -221,6 +222,13 @@ def test_streams(spark, tmp_path):
     add([("a", 4, "one text", "2024-01-01 00:05:00"), ("a", 5, "two", "2024-01-01 00:05:01")])
     job().awaitTermination()
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()) == [1, 3, 5]
+    found = lambda: sorted((r["tenant_id"], r["document_id"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out/hashes")).collect())
+    assert found() == [("a", 1, 0), ("a", 5, 1), ("b", 3, 0)]
+    # A batch whose commit is lost runs again, and changes nothing.
+    (tmp_path / "ck/commits/1").unlink()
+    (tmp_path / "ck/commits/.1.crc").unlink(missing_ok=True)
+    job().awaitTermination()
+    assert found() == [("a", 1, 0), ("a", 5, 1), ("b", 3, 0)]
 
     hashed = stream().withColumn("hash", intake.fingerprint(F.col("text")))
     q = jobs.distinct_uploads(hashed).writeStream.format("memory").queryName("distinct_uploads").trigger(availableNow=True).start()
@@ -232,6 +240,58 @@ def test_streams(spark, tmp_path):
     assert [(r["client"], r["n"]) for r in spark.sql("SELECT * FROM quota").collect()] == [("a", 2)]
 
 
+def test_late_requests_are_counted(spark, tmp_path):
+    schema = "client string, role string, endpoint string, at timestamp"
+    limits = spark.createDataFrame([("user", "*", 5), ("user", "q", 1), ("admin", "*", 9)], "role string, endpoint string, quota int")
+    out, stream = [], lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for times in (["00:00:10", "00:00:50", "00:01:01"], ["00:10:00"], ["00:10:03"], ["00:00:20", "00:10:01"], ["00:30:00"]):
+        spark.createDataFrame([("c", "user", "q", f"2024-01-01 {t}") for t in times], "client string, role string, endpoint string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = jobs.quota_counts(stream(), limits).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["start"].minute, r["n"], r["quota"]) for r in out) == [(0, 2, 1), (10, 3, 1)] and jobs.late_rows(q) == 1
+
+
+def test_adaptive_is_one_search_of_each_kind(spark):
+    """What each route keeps equals its own search; each kind of search runs once."""
+    words = ["what is ", "why ", "compare ", "should "]
+    queries = spark.createDataFrame([(i, words[i % 4] + f"w{i} w{i + 1}") for i in range(24)], "query_id int, text string")
+    calls = []
+
+    def search(kind, step):
+        def run(qs, k):
+            calls.append(kind)
+            rows = spark.createDataFrame([(q, r, (q * step + r * 3) % 40, round(1 / (r + step), 6)) for q in range(24) for r in range(1, 31)], "query_id int, rank int, item_id int, score double")
+            return rows.where(F.col("rank") <= k).join(qs.select("query_id"), "query_id", "left_semi")
+
+        return run
+
+    got = fusion.adaptive(queries, search("lexical", 5), search("dense", 7), 6)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["strategy"], set()).add((r["query_id"], r["rank"], r["item_id"], r["score"]))
+    assert calls == ["lexical", "dense"] and set(found) == {"bm25", "dense", "hybrid"}
+    routed, _ = fusion.route(queries)
+    part = lambda s: routed.where(F.col("strategy") == s)
+    rows = lambda df: {tuple(r) for r in df.select("query_id", "rank", "item_id", "score").collect()}
+    assert found["bm25"] == rows(search("", 5)(part("bm25"), 6)) and found["dense"] == rows(search("", 7)(part("dense"), 6))
+    assert found["hybrid"] == rows(fusion.weighted(search("", 5)(part("hybrid"), 20), search("", 7)(part("hybrid"), 20), k=6))
+
+
+def test_rendering_by_template(spark):
+    templates = spark.createDataFrame([("a", "v1", 1, "S {{X}}", "U {{y}} {{x}} {{z}} {{a.b}}"), ("a", "v2", 2, "T", "{{X}}{{x}}")], "name string, version string, loaded_at int, system_prompt string, user_prompt string")
+    rows = [(1, "a", "V1", {"x": "$1\\\\", "Y": None, "a.b": "dot"}), (2, "a", None, {"x": "{{y}}", "y": "k"}), (3, "a", "none", {}), (4, "b", None, {"x": "1"})]
+    r = spark.createDataFrame(rows, "query_id int, name string, version string, values map<string,string>")
+    got = {x["query_id"]: (x["picked_version"], x["system_prompt"], x["user_prompt"]) for x in answers.render_prompts(r, templates).collect()}
+    assert got == {1: ("v1", "S $1\\\\", "U  $1\\\\ {{z}} dot"), 2: ("v2", "T", "kk"), 3: (None, None, None), 4: (None, None, None)}
+
+
+def test_comparison_without_a_baseline(spark):
+    rolled = spark.createDataFrame([("A", "Overall", 0.5, 0.1, 0.2, 3)], "strategy string, query_type string, p_at_5 double, r_at_5 double, rr double, p95_ms int")
+    tests = spark.createDataFrame([("A", 0.004)], "a string, p double")
+    (row,) = evaluation.comparison(rolled, tests, "BM25").collect()
+    assert row["change"] is None and (row["p"], row["mark"]) == (0.004, "**")
+
+
 def test_quota_and_audit(spark):
     r = spark.createDataFrame([("c", "user", "q", "2024-01-01 00:00:10"), ("c", "user", "q", "2024-01-01 00:00:50"), ("c", "user", "q", "2024-01-01 00:01:01")], "client string, role string, endpoint string, at string").withColumn("at", F.col("at").cast("timestamp"))
     lim = spark.createDataFrame([("user", "*", 5), ("user", "q", 1)], "role string, endpoint string, quota int")
