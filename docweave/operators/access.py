@@ -87,3 +87,8 @@ def audit_rows(granted: DataFrame | None = None, revoked: DataFrame | None = Non
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def append_audit(rows: DataFrame, path: str, batch: str) -> None:
+    """Add :func:`audit_rows` to the log at ``path``; a batch that is written again replaces what it wrote."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import access, documents as D, usage
+from ..session import scratch
 from .fixtures import CHUNKS, DOCS, GRANTS, REQUESTS, chunks, documents, grants, requests, table
 
 
@@ -121,7 +122,13 @@ M11 = f"WITH {GRANTS} SELECT doc_id, user_id, CAST(1 + doc_id % 3 AS INTEGER) AS
 
 
 def m12(spark, sf_dir):
-    return access.audit_rows(grants(spark, sf_dir), revoked(spark, sf_dir), decisions(spark, sf_dir)).groupBy("action", "actor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("doc_ids"), F.sum("permission").alias("permissions"))
+    """Three batches of audit rows, of which one is written twice, read back from the log."""
+    path = scratch(spark, "audit")
+    batches = {"grants": access.audit_rows(granted=grants(spark, sf_dir)), "revocations": access.audit_rows(revoked=revoked(spark, sf_dir)), "denied": access.audit_rows(decisions=decisions(spark, sf_dir))}
+    for name in (*batches, "grants"):
+        access.append_audit(batches[name], path, name)
+    log = spark.read.schema(batches["grants"].schema).parquet(path)
+    return log.groupBy("action", "actor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("doc_ids"), F.sum("permission").alias("permissions"))
 
 
 M12 = f"""WITH {_M5}, a AS (SELECT 'GRANT_ACCESS' AS action, 0 AS actor_id, doc_id, permission FROM grants UNION ALL SELECT 'REVOKE_ACCESS', 9, doc_id, NULL FROM grants WHERE doc_id % 4 = 1 UNION ALL SELECT 'ACCESS_DENIED', user_id, doc_id, needed FROM de WHERE NOT allowed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cleaning, intake, lexical
@@ -9,7 +11,7 @@ from ..session import scratch
 from ..sources import files
 from ..streaming import jobs
 from . import catalog, evaluation, retrieval
-from .fixtures import CHUNKS, chunks, documents, queries, table
+from .fixtures import CHUNKS, chunks, documents, queries, relevance, table
 
 STREAM = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -25,9 +27,37 @@ S5 = f"WITH {CHUNKS} SELECT tenant_id, any_value(d.n) AS documents, count(*) AS
 
 
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "results")
-    files.write_results(evaluation.rolled(spark, sf_dir), path, evaluation.METRICS)
-    return spark.read.option("header", True).csv(f"{path}/csv")
+    """The roll-up exported and read back: metrics from the JSON, counts and latencies from the CSV, both by the time in their names."""
+    csv, json = files.write_results(evaluation.rolled(spark, sf_dir), scratch(spark, "results"), evaluation.METRICS, datetime(2024, 1, 2, 3, 4, 5))
+    flat = spark.read.option("header", True).csv(csv).select("strategy", "query_type", F.col("n").cast("long").alias("n"), F.col("p95_ms").cast("double").alias("p95_ms"))
+    nested = spark.read.schema("strategy string, query_type string, precision struct<At5: double, At10: double>, recall struct<At5: double, At10: double>, mrr double").json(json)
+    rows = nested.join(flat.hint("merge"), ["strategy", "query_type"]).withColumn("file", F.lit(csv.rpartition("/")[2]))
+    return rows.select("strategy", "query_type", F.col("precision.At5").alias("p_at_5"), F.col("precision.At10").alias("p_at_10"), F.col("recall.At5").alias("r_at_5"), F.col("recall.At10").alias("r_at_10"), F.col("mrr").alias("rr"), "n", "p95_ms", "file")
+
+
+S8 = f"{evaluation.E5.replace('SELECT * FROM rolled', '')} SELECT strategy, query_type, p_at_5, p_at_10, r_at_5, r_at_10, rr, n, CAST(p95_ms AS DOUBLE) AS p95_ms, 'results_2024-01-02_03-04-05.csv' AS file FROM rolled"
+
+
+def s3_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation set written as JSON files, one object each, and read back; some relevance rows name items that are not there."""
+    path = scratch(spark, "evaluation-set")
+    item = F.when(F.col("query_id") % 4 == 0, -F.col("item_id") - 1).otherwise(F.col("item_id")).cast("string")
+    rel = relevance(spark, sf_dir).groupBy("query_id").agg(F.collect_list(item).alias("relevantDocIds"))
+    qs = queries(spark, sf_dir).join(rel.hint("merge"), "query_id", "left")
+    bucket = lambda c: (F.col(c) % SETS).cast("int").alias("bucket")
+    q = F.struct(F.col("query_id").cast("string").alias("id"), "text", F.coalesce("relevantDocIds", F.array().cast("array<string>")).alias("relevantDocIds"), F.col("query_type").alias("queryType"))
+    d = documents(spark, sf_dir).select(bucket("doc_id"), F.struct(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("text"), F.col("tenant_id").alias("source")).alias("d"))
+    sets = d.groupBy("bucket").agg(F.collect_list("d").alias("documents")).join(qs.groupBy(bucket("query_id")).agg(F.collect_list(q).alias("queries")).hint("merge"), "bucket", "left")
+    sets.repartitionById(SETS, F.col("bucket")).select("documents", "queries").write.json(path)
+    found, asked, qrels = files.read_evaluation_set(spark, path)
+    ok, without, dangling = evaluation.E.check_set(asked, qrels, found)
+    part = lambda df, kind: df.select(F.lit(kind).alias("kind"), "query_id")
+    return part(ok, "usable").unionAll(part(without, "without")).unionAll(part(dangling, "dangling"))
+
+
+#: Files of the evaluation set, and of the whole-text files.
+SETS, FILES = 8, 64
+S3_FILE = f"SELECT kind, CAST(query_id AS VARCHAR) AS query_id FROM ({evaluation.S3})"
 
 
 def r1_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,17 +68,15 @@ def r1_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as text files, one folder each, and read back whole."""
+    """Documents written as FILES text files and read back whole, one row a file."""
     path = scratch(spark, "texts")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    lines = docs.select("doc_id", F.posexplode(F.split("value", "\n", -1)).alias("p", "value"))
-    lines.repartition("doc_id").sortWithinPartitions("doc_id", "p").select("doc_id", "value").write.partitionBy("doc_id").text(path)
-    found = files.read_texts(spark, path)
-    id_ = F.regexp_extract("file_path", "doc_id=([0-9]+)", 1).cast("long")
-    return found.select(id_.alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % FILES).cast("int").alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartitionById(FILES, F.col("file")).sortWithinPartitions("doc_id").select("value").write.text(path)
+    found = files.read_texts(spark, path).where("length > 0")
+    return found.select(F.regexp_extract("file_name", "part-([0-9]+)", 1).cast("int").alias("file"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
-S1 = "SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS text_md5, CAST(length(coalesce(text, '')) + 1 AS INTEGER) AS n_chars FROM documents"
+S1 = f"""SELECT CAST(doc_id % {64} AS INTEGER) AS file, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS text_md5, CAST(sum(length(coalesce(text, '')) + 1) AS INTEGER) AS n_chars FROM documents GROUP BY 1"""
 
 
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +157,5 @@ def st3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ST3_LIMITS = f"SELECT * FROM ({catalog.N6}) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"
 
-QUERIES = {"s1_text_files": s1, "r1_bm25_stored": r1_stored, "s5_document_sink": s5, "s8_result_export": s8, "st1_intake_stream": st1, "st2_distinct_stream": st2, "st3_quota_stream": st3, "st3_quota_limits": st3_limits, "d3_first_writer_stream": d3_stream}
-ORACLE_SQL = {"s1_text_files": S1, "r1_bm25_stored": retrieval.R1, "s5_document_sink": S5, "st1_intake_stream": ST1, "st2_distinct_stream": ST2, "st3_quota_stream": ST3, "st3_quota_limits": ST3_LIMITS, "d3_first_writer_stream": D3_STREAM}
+QUERIES = {"s1_text_files": s1, "r1_bm25_stored": r1_stored, "s5_document_sink": s5, "s8_result_export": s8, "s3_evaluation_file": s3_file, "st1_intake_stream": st1, "st2_distinct_stream": st2, "st3_quota_stream": st3, "st3_quota_limits": st3_limits, "d3_first_writer_stream": d3_stream}
+ORACLE_SQL = {"s1_text_files": S1, "r1_bm25_stored": retrieval.R1, "s5_document_sink": S5, "s8_result_export": S8, "s3_evaluation_file": S3_FILE, "st1_intake_stream": ST1, "st2_distinct_stream": ST2, "st3_quota_stream": ST3, "st3_quota_limits": ST3_LIMITS, "d3_first_writer_stream": D3_STREAM}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cleaning import Rules, merge_rules
@@ -59,10 +61,18 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
 
 
-def write_results(rolled: DataFrame, path: str, metrics: list[str]) -> None:
-    """The roll-up as CSV (metrics with four decimals, latencies with two) and as JSON with nested metrics."""
+def stamped(base: str, extension: str, at: datetime) -> str:
+    """``base`` with the time of an export in its name."""
+    return f"{base}_{at:%Y-%m-%d_%H-%M-%S}{extension}"
+
+
+def write_results(rolled: DataFrame, path: str, metrics: list[str], at: datetime | None = None) -> tuple[str, str]:
+    """The roll-up as CSV (metrics with four decimals, latencies with two) and as JSON with nested metrics, in folders below ``path`` that carry the
+    time ``at`` in their names, if it is given; their paths."""
+    names = tuple(f"{path}/{stamped('results', f'.{kind}', at) if at else kind}" for kind in ("csv", "json"))
     flat = rolled.select("strategy", "query_type", *[F.format_string("%.4f", F.col(m)).alias(m) for m in metrics], *[F.format_string("%.2f", F.col(m).cast("double")).alias(m) for m in ("p50_ms", "p95_ms", "p99_ms")], "n")
-    flat.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    at = lambda x: F.struct(*[F.col(f"{x}_at_{k}").alias(f"At{k}") for k in (5, 10)])
-    nested = rolled.select("strategy", "query_type", at("p").alias("precision"), at("r").alias("recall"), F.col("rr").alias("mrr"), F.struct("p50_ms", "p95_ms", "p99_ms").alias("latency"), "n")
-    nested.write.mode("overwrite").json(f"{path}/json")
+    flat.write.mode("overwrite").option("header", True).csv(names[0])
+    nest = lambda x: F.struct(*[F.col(f"{x}_at_{k}").alias(f"At{k}") for k in (5, 10)])
+    nested = rolled.select("strategy", "query_type", nest("p").alias("precision"), nest("r").alias("recall"), F.col("rr").alias("mrr"), F.struct("p50_ms", "p95_ms", "p99_ms").alias("latency"), "n")
+    nested.write.mode("overwrite").json(names[1])
+    return names
