@@ -12,19 +12,31 @@ from docweave.llm import exact_dedup, language, mixing, near_dedup, sentencepiec
 from docweave.llm.staging import collected, drop, staged
 
 
+#: Rows of a batch that goes to a Python worker: whole texts take kilobytes each, and a batch is held by the executor and by the worker.
+BATCH = "1000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set the session's batch size to BATCH rows, for stages that pass whole texts to Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (no letters, or too uncertain) go."""
+    short_batches(spark)
     model = language.learn(docs, "text", "lang", "doc_id")
     return language.accepted(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
+    short_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 over five-word shingles, the smallest doc_id stays."""
+    short_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -35,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix."""
+    short_batches(spark)
     return sentencepieces.encode(docs, sentencepieces.load(), keep=["doc_id", "lang", "source"])
 
 
