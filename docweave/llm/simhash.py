@@ -18,7 +18,7 @@ Nothing is gathered or emitted pair by pair:
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; under ``shingle`` words the whole
 sequence is one shingle; documents without an id carry links, and the component of documents that all lack one is null; repeated rows
 share a node; an empty table gives an empty result; extra columns are left alone. Texts are hashed in steps of about 512 KB; a
-longer text is taken alone and needs about 40 bytes a byte while its words are found (64 MB: about 2.5 GB).
+longer text is taken alone and needs about 30 bytes a byte while its words are found (64 MB: about 2 GB).
 """
 
 from __future__ import annotations
