@@ -135,6 +135,48 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE // 2) -> Itera
         i = j
 
 
+def parts(text: pa.Array, limit: int = PIECE) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Strings of about ``limit`` bytes together, in order, and the row of ``text`` that each is of.
+
+    A longer text is cut behind white space, so that no word is cut; its strings come one after another, and only a word of more
+    than ``limit`` bytes makes a longer step. Nothing is copied. Null counts as empty.
+    """
+    if text.null_count:
+        text = text.fill_null("")
+    if not pa.types.is_large_string(text.type):
+        text = text.cast(pa.large_string())
+    raw, offsets = bytes_of(text)
+    if not len(text):
+        return
+    cuts, owners = [offsets[:-1]], [np.arange(len(text))]
+    for row in np.flatnonzero(np.diff(offsets) > limit):
+        at, end, found = int(offsets[row]), int(offsets[row + 1]), []
+        while end - at > limit:
+            space = np.flatnonzero(SPACE[raw[at : at + limit]])
+            if len(space):
+                at += int(space[-1]) + 1
+            else:  # the next white space, looked for step by step
+                at += limit
+                while at < end and not SPACE[raw[at]]:
+                    ahead = np.flatnonzero(SPACE[raw[at : min(end, at + limit)]])
+                    at = at + int(ahead[0]) if len(ahead) else min(end, at + limit)
+                at = min(end, at + 1)
+            if at < end:
+                found.append(at)
+        cuts.append(np.array(found, np.int64))
+        owners.append(np.full(len(found), row))
+    begin, owner = np.concatenate(cuts), np.concatenate(owners)
+    order = np.lexsort((begin, owner))
+    bounds, owner = np.append(begin[order], offsets[-1]), owner[order]
+    i, n = 0, len(owner)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
+        at = np.ascontiguousarray(bounds[i : j + 1] - bounds[i])
+        data = pa.py_buffer(raw[bounds[i] : bounds[j]])
+        yield pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(at), data), owner[i:j]
+        i = j
+
+
 def give_back() -> None:
     """Return memory that was freed in this process to the system; else allocators keep it while other processes of the machine need it."""
     pa.default_memory_pool().release_unused()

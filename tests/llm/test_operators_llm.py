@@ -408,20 +408,72 @@ def test_quality(spark, data, empty):
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5} and quality.score(empty, model).count() == 0
 
 
+def lexicon_by_hand(texts, most):
+    """The most frequent items, counted one by one."""
+    from collections import Counter
+
+    seen = Counter(int(x) for t in texts for w, s, _ in quality.items(pa.array([t], pa.string())) for x in (*w.view(np.int64), *s.view(np.int64)))
+    return quality.Lexicon(np.sort(np.array([i for i, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]], np.int64).view(np.uint64)))
+
+
 def test_word_vectors_by_hand(spark):
-    """The summed index vectors of all neighbours, word by word."""
+    """The summed index vectors of all neighbours, word by word; a vector for each known word, pooling and network."""
     texts = [t for _, t, *_ in corpus()[:40]] + [None, "", "A a  a B!", "x"]
     rows = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(5)
-    index, want = quality.index_vectors(), np.zeros((1 << quality.BITS, quality.DIM))
-    for t in texts:
-        word, shape, _ = quality.items(pa.array([t], pa.string()))
-        for i in range(len(word)):
-            for j in range(max(0, i - quality.NEAR), min(len(word), i + quality.NEAR + 1)):
-                if i != j:
-                    for own in (word[i], shape[i]):
-                        want[own] += index[word[j]].astype(float) + index[shape[j]]
-    want /= np.maximum(1e-9, np.linalg.norm(want, axis=1, keepdims=True))
-    assert np.allclose(quality.word_vectors(rows), want, atol=1e-6)
+    for most in (0, 30, 100000):
+        lexicon = quality.lexicon_of(rows, most)
+        assert np.array_equal(lexicon.known, lexicon_by_hand(texts, most).known)
+        index, want = lexicon.index_vectors(), np.zeros((len(lexicon), quality.DIM))
+        assert (np.abs(index).sum(1) >= 1).all() and set(np.unique(index)) <= {-1, 0, 1}
+        for t in texts:
+            word, shape, _ = quality.rows_of(pa.array([t], pa.string()), lexicon)
+            for i in range(len(word)):
+                for j in range(max(0, i - quality.NEAR), min(len(word), i + quality.NEAR + 1)):
+                    if i != j:
+                        for own in (word[i], shape[i]):
+                            want[own] += index[word[j]].astype(float) + index[shape[j]]
+        want /= np.maximum(1e-9, np.linalg.norm(want, axis=1, keepdims=True))
+        vectors = quality.word_vectors(rows, lexicon)
+        assert np.allclose(vectors, want, atol=1e-6)
+    # With room for all items no two share a row, and a word's row is a shape's row never.
+    words_, shapes = (np.concatenate([x[i] for t in texts for x in quality.items(pa.array([t], pa.string()))]) for i in (0, 1))
+    assert len(np.unique(lexicon.rows(words_, False))) == len(np.unique(words_)) and not set(lexicon.rows(words_, False)) & set(lexicon.rows(shapes, True))
+    # Pooling and network, text by text.
+    rng = np.random.default_rng(1)
+    layers = (rng.normal(size=120), rng.uniform(1, 2, 120), rng.normal(size=(120, 3)), rng.normal(size=3), rng.normal(size=3), 0.3, 1.7)
+    got = quality.QualityModel(lexicon, vectors, layers, 0.5).score(pa.array(texts, pa.string()))
+    for t, p in zip(texts, got):
+        word, shape, _ = quality.rows_of(pa.array([t], pa.string()), lexicon)
+        x = np.zeros(120)
+        if len(word):
+            v, s = vectors[word].astype(float), vectors[shape].astype(float)
+            x = np.concatenate([v.mean(0), s.mean(0), vectors[sorted(set(word))].astype(float).mean(0), v.std(0), s.std(0)])
+        out = sum(np.tanh(sum((x[i] - layers[0][i]) / layers[1][i] * layers[2][i, h] for i in range(120)) + layers[3][h]) * layers[4][h] for h in range(3)) + 0.3
+        assert abs(p - 1 / (1 + np.exp(-out / 1.7))) < 1e-4
+
+
+def test_long_texts_in_steps(monkeypatch):
+    """Steps smaller than texts and words give the same items, contexts and pooled vectors."""
+    rng = random.Random(9)
+    texts = ["a a  b\n" * 9, None, "", "ü" * 40 + " a a", "   ", " ".join(rng.choice(["Aa", "b!", "b!", "ccc"]) for _ in range(70)), "x" * 33]
+    column = pa.array(texts, pa.string())
+    for limit in (1, 7, 16, 1000):
+        got = list(words.parts(column, limit))
+        joined = [""] * len(texts)
+        for part, owner in got:
+            for t, i in zip(part.to_pylist(), owner):
+                joined[i] += t
+        assert joined == [t or "" for t in texts]
+        pieces_ = [t for part, _ in got for t in part.to_pylist()]
+        assert [w for t in pieces_ for w in t.split()] == [w for t in texts if t for w in t.split()]
+        assert all(len(t.encode()) <= limit or " " not in t[:-1].strip() for t in pieces_)
+    lexicon = quality.Lexicon(np.zeros(0, np.uint64))
+    whole = quality.rows_of(column, lexicon)
+    vectors = np.random.default_rng(2).normal(size=(len(lexicon), quality.DIM)).astype(np.float32)
+    want = quality.pooled(column, lexicon, vectors)
+    monkeypatch.setattr(quality, "parts", lambda t: words.parts(t, 16))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, quality.rows_of(column, lexicon))) and len(whole[0])
+    assert np.allclose(want, quality.pooled(column, lexicon, vectors))
 
 
 def test_quality_learns():
@@ -429,14 +481,15 @@ def test_quality_learns():
     good = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats", "today"]) for _ in range(60)) for _ in range(150)]
     bad = [" ".join([rng.choice(["cat", "sat"])] * 60) for _ in range(75)] + [" ".join(rng.choice(["CAT!!", "SAT!!", "ON!!"]) for _ in range(60)) for _ in range(75)]
     texts = pa.array(good + bad)
-    index = quality.index_vectors()
-    word, shape, owner = quality.items(texts)
+    lexicon = lexicon_by_hand(good + bad, 100)
+    index = lexicon.index_vectors()
+    word, shape, owner = quality.rows_of(texts, lexicon)
     around = quality.context(word, shape, owner, index)
-    vectors = np.zeros((1 << quality.BITS, quality.DIM), np.float32)
+    vectors = np.zeros((len(lexicon), quality.DIM), np.float32)
     np.add.at(vectors, word, around)
     np.add.at(vectors, shape, around)
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    x, y = quality.pooled(texts, vectors), np.array([1.0] * 150 + [0.0] * 150)
+    x, y = quality.pooled(texts, lexicon, vectors), np.array([1.0] * 150 + [0.0] * 150)
     layers = quality.fit(x[::2], y[::2])
     assert ((quality.probability(x[1::2], layers) > 0.5) == y[1::2]).mean() > 0.97
 
