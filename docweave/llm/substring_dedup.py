@@ -12,7 +12,8 @@ Defined cases: null text has no words; a text of fewer than ``k`` words has no w
 counts as repeated; repeated rows repeat each other; an id may occur with several texts (rows are keyed by id and text); an
 empty table gives an empty result; extra columns are left alone. Windows are compared by 64-bit hashes, of which two
 different kinds (of run or window, and of its anchor) must agree; ``rid``, which leads spans back to their rows, is one 64-bit hash of
-id and text. Rows of one id and text share their spans, which are gathered as sets, so that N repeated rows cost N times one row.
+id and text. Rows of one id and text share their spans, which are gathered as sets, so that N repeated rows cost N times one row. A text
+is held whole by one worker: 64 MB of text takes it less than 1.1 GB (tested), and so in proportion.
 """
 
 from __future__ import annotations
@@ -25,67 +26,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .staging import prefilter, staged
-from .words import Words, mix, pieces, powers, windows
+from .words import PIECE, Words, mix, pieces, powers, windows
 
 K, M = 35, 8
 _SPAN_BASE = 0xCA5A826395121157
 _SPAN_INVERSE = pow(_SPAN_BASE, -1, 1 << 64)
 
 
+STEP = PIECE // 4  # words taken at a time
+
+
 class Spans:
     """Hashes of arbitrary word spans of some texts."""
 
     def __init__(self, hashes: np.ndarray):
-        self.total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(mix(hashes) * powers(_SPAN_BASE, len(hashes)), out=self.total[1:])
+        n = len(hashes)
+        self.total = np.zeros(n + 1, np.uint64)
+        for lo in range(0, n, STEP):
+            part = mix(hashes[lo : lo + STEP]) * powers(_SPAN_BASE, min(STEP, n - lo)) * np.uint64(pow(_SPAN_BASE, lo, 1 << 64))
+            self.total[lo + 1 : lo + 1 + len(part)] = np.cumsum(part) + self.total[lo]
+        self.back = np.array([pow(_SPAN_INVERSE, lo, 1 << 64) for lo in range(0, n + 1, STEP)], np.uint64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * powers(_SPAN_INVERSE, len(self.total))[start] + (end - start).astype(np.uint64))
+        back = powers(_SPAN_INVERSE, min(STEP, len(self.total)))[start % STEP] * self.back[start // STEP]
+        return mix((self.total[end] - self.total[start]) * back + (end - start).astype(np.uint64))
 
 
-def leftmost_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position that begins ``width`` values: the smallest of them and where it stands first."""
-    at, have = np.arange(len(values)), 1
-    while have < width:
-        step = min(have, width - have)
-        lower = values[step:] < values[:-step]
-        values, at, have = np.where(lower, values[step:], values[:-step]), np.where(lower, at[step:], at[:-step]), have + step
-    return values, at
+def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """For each position that begins ``width`` values: where the smallest of them stands first; taken in steps."""
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(values) - width + 1, STEP):
+        part = values[lo : lo + STEP + width - 1]
+        at, have = np.arange(lo, lo + len(part)), 1
+        while have < width:
+            move = min(have, width - have)
+            lower = part[move:] < part[:-move]
+            part, at, have = np.where(lower, part[move:], part[:-move]), np.where(lower, at[move:], at[:-move]), have + move
+        out.append(at)
+    return np.concatenate(out)
 
 
 def runs_of(w: Words, k: int, m: int) -> tuple[np.ndarray, ...]:
     """text, first window, number of windows, anchor and content hash of each run."""
-    _, at = windows(w.hashes, w.first, k)
+    at = windows(w.hashes, w.first, k)[1]
     if not len(at):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     mers = np.full(len(w.hashes), np.uint64(2**64 - 1))
     keys, mer_at = windows(w.hashes, w.first, m)
     mers[mer_at] = keys
-    anchor, where = leftmost_minima(mers, k - m + 1)
-    anchor, where = anchor[at], where[at]
+    del keys, mer_at
+    where = leftmost_minima(mers, k - m + 1)[at]
     begin = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-    n = np.diff(np.append(begin, len(at)))
-    start, text = at[begin], w.text_of_word()[at[begin]]
-    return text, start - w.first[text], n, anchor[begin], Spans(w.hashes).of(start, start + n + k - 1)
-
-
-def kept_words(w: Words, keep: np.ndarray) -> list[bytes]:
-    """Each text's kept words, joined by one space."""
-    starts, lengths = w.starts[keep], (w.ends - w.starts)[keep]
-    order = np.arange(int(lengths.sum()))
-    word = np.repeat(np.arange(len(lengths)), lengths)
-    before = np.cumsum(lengths) - lengths
-    out = np.full(len(order) + len(lengths), 32, np.uint8)
-    out[order + word] = w.raw[order - before[word] + starts[word]]
-    total = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths + 1, out=total[1:])
-    count = np.zeros(len(keep) + 1, np.int64)
-    np.cumsum(keep, out=count[1:])
-    at = total[count[w.first]]
-    return [out[i : max(i, j - 1)].tobytes() for i, j in zip(at[:-1], at[1:])]
-
-
-def digests(texts: list[bytes]) -> pa.Array:
+    n, start, anchor = np.diff(np.append(begin, len(at))), at[begin], mers[where[begin]]
+    del at, where, mers
+    text = np.searchsorted(w.first, start, "right") - 1
+    return text, start - w.first[text], n, anchor, Spans(w.hashes).of(start, start + n + k - 1)
+
+
+def kept_words(w: Words, keep: np.ndarray) -> list[memoryview]:
+    """Each text's kept words, joined by one space; put together in steps of about PIECE bytes (a longer word is a step of its own)."""
+    chosen = np.flatnonzero(keep)
+    ends = np.cumsum((w.ends - w.starts)[chosen] + 1)  # where each kept word and its space end
+    joined, i = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8), 0
+    while i < len(chosen):
+        begin = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+        starts, lengths = w.starts[chosen[i:j]], w.ends[chosen[i:j]] - w.starts[chosen[i:j]]
+        order = np.arange(int(lengths.sum()))
+        word = np.repeat(np.arange(j - i), lengths)
+        joined[begin + order + word] = w.raw[order + (starts - np.cumsum(lengths) + lengths)[word]]
+        i = j
+    at = np.append(0, ends)[np.searchsorted(chosen, w.first)]
+    whole = memoryview(joined)
+    return [whole[i : max(i, j - 1)] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def digests(texts: list[memoryview]) -> pa.Array:
     return pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
 
@@ -146,7 +162,7 @@ def removed(texts: DataFrame, k: int, as_text: bool = False) -> DataFrame:
                 gone = np.zeros(size, np.int64)
                 np.cumsum(~keep, out=gone[1:])
                 kept = kept_words(w, keep)
-                out = pa.array([x.decode() for x in kept], pa.string()) if as_text else digests(kept)
+                out = pa.array([str(x, "utf-8") for x in kept], pa.string()) if as_text else digests(kept)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts(), pa.int64()), pa.array(np.diff(gone[w.first])), out], ["doc_id", "n_words", "n_removed", last])
 
     return texts.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, {last} string")

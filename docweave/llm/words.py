@@ -66,6 +66,13 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
+        if hi - lo > PIECE:  # one long span, summed in steps
+            steps = range(lo, hi, PIECE)
+            sums = np.array([np.sum(_BYTE_VALUE[raw[at : min(hi, at + PIECE)]] * powers(_BASE, min(hi - at, PIECE))) for at in steps], np.uint64)
+            scales = np.array([pow(_BASE, at - lo, _M64) for at in steps], np.uint64)
+            out[i:j] = mix(np.sum(sums * scales, keepdims=True) + np.uint64(hi - lo))
+            i = j
+            continue
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[raw[lo:hi]] * powers(_BASE, hi - lo), out=total[1:])
         a, b = starts[i:j] - lo, ends[i:j] - lo
@@ -100,22 +107,29 @@ class Words:
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of ``flags`` between consecutive ``offsets``."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return np.diff(total[offsets])
+    """Sums of ``flags`` between consecutive ascending ``offsets``, of which the last is the end; counted in steps."""
+    before, total = np.zeros(len(offsets), np.int64), 0
+    for lo in range(0, len(flags), PIECE):
+        block = np.cumsum(flags[lo : lo + PIECE], dtype=np.int64)
+        i, j = np.searchsorted(offsets, [lo + 1, lo + len(block) + 1])
+        before[i:j] = total + block[offsets[i:j] - lo - 1]
+        total += int(block[-1])
+    return np.diff(before)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word windows that stay in their text, and the index of each one's first word."""
-    n = len(hashes)
-    if n < k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(base, n), out=total[1:])
-    last = np.repeat(first[1:], np.diff(first))  # end of the text of each word
-    at = np.flatnonzero(np.arange(n) + k <= last)
-    return mix((total[at + k] - total[at]) * powers(pow(base, -1, _M64), n)[at]), at
+    """Hashes of all k-word windows that stay in their text, and the index of each one's first word; taken in steps."""
+    keys, places, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], max(k, PIECE // 4)
+    inverse = pow(base, -1, _M64)
+    for lo in range(0, len(hashes) - k + 1, step):
+        part = hashes[lo : lo + step + k - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(base, len(part)), out=total[1:])
+        begin = np.arange(lo, lo + len(part) - k + 1)
+        at = np.flatnonzero(begin + k <= first[np.searchsorted(first, begin, "right")])
+        keys.append(mix((total[at + k] - total[at]) * powers(inverse, len(part))[at]))
+        places.append(begin[at])
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def with_body(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:

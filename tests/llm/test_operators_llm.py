@@ -730,3 +730,59 @@ def test_ties_of_one_id_are_ordered(spark):
     rows = [(7, "a b c", "en", "s"), (7, "a b d", "en", "s"), (7, "a b c", "en", "s"), (8, "x y z", "en", "s"), (None, "q q q", "en", "s")]
     runs = [sorted(str((r["row"]["text"], r["copies"])) for r in mixing.with_copies(make(spark, rows).repartition(n), share=0.7).collect()) for n in (1, 3, 5)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_steps_agree(monkeypatch):
+    """Measures, runs, span hashes and kept words are the same whatever the size of a step, and as counted one by one."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "bb", "ü", "#x", "b\n", "a\n"], rng.integers(0, 300))) for _ in range(60)] + ["", None, "  ", "z" * 90]
+    column, w = pa.array(texts, pa.string()), words.Words(pa.array(texts, pa.string()))
+    keep = rng.random(len(w.starts)) < 0.6
+
+    def all_of():
+        v = words.Words(column)
+        spans = substring_dedup.Spans(v.hashes).of(np.arange(400), np.arange(400) + np.arange(400) % 70)
+        return [*substring_dedup.runs_of(v, 35, 8), *substring_dedup.runs_of(v, 9, 3), *host_rules.measure(column), *words.windows(v.hashes, v.first, 5), spans, np.array([bytes(x) for x in substring_dedup.kept_words(v, keep)], object)]
+
+    want = all_of()
+    for step in (40, 400):
+        for module, name, value in ((words, "PIECE", step), (substring_dedup, "PIECE", step), (substring_dedup, "STEP", step // 4)):
+            monkeypatch.setattr(module, name, value)
+        assert all(np.array_equal(a, b) for a, b in zip(want, all_of(), strict=True))
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    chosen = iter(keep)
+    assert list(want[-1]) == [" ".join(x for x in s if next(chosen)).encode() for s in split]
+    grams = [[tuple(s[i : i + 5]) for i in range(len(s) - 4)] for s in split]
+    found = [{i + d for i, g in enumerate(x) if x.count(g) > 1 for d in range(5)} for x in grams]
+    assert [len(f) for f in found] == list(want[14])
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op8", "op9"])
+def test_memory_of_a_long_text(name):
+    """A text of 64 MB takes a worker's step less than 1,100 MB, Python and libraries included."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+rng = np.random.default_rng(1)
+pool = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(50000)]
+text = pa.array([" ".join(pool[i] for i in rng.integers(0, 50000, 10_600_000))], pa.string())
+assert 60e6 < text.nbytes < 72e6
+from docweave.llm import host_rules, near_dedup, quality, substring_dedup as s, words
+def op1():
+    lexicon = quality.Lexicon(np.sort(rng.integers(0, 2**63, 49152).astype(np.uint64)))
+    quality.pooled(text, lexicon, np.ones((len(lexicon), quality.DIM), np.float32))
+def op3():
+    host_rules.measure(text)
+def op8():
+    w = words.Words(text)
+    s.kept_words(w, np.ones(len(w.starts), bool))
+    s.runs_of(w, 35, 8)
+def op9():
+    near_dedup.signatures(*near_dedup.shingle_sets(text, 5))
+""" + f"{name}()\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    peak = int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout)
+    assert peak < 1100, peak
