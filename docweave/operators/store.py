@@ -2,7 +2,7 @@
 
 Everything is an upsert or a delete by key, written as one segment and seen at once. Lexical rows and vectors are keyed by chunk; they carry
 ``doc_id``, so that the deletion of a document reaches every table. BM25 answers from the segments: postings count where
-their item's newest row is of the same segment, and the number of items, their average length and the terms' counts are those of live items.
+their item's newest row carries the same number, and the number of items, their average length and the terms' counts are those of live items.
 :func:`compact` rewrites what is live as one base segment. A key must be written at most once in a segment.
 """
 
@@ -21,25 +21,35 @@ from .dense import check_vectors
 #: The tables that hold rows of documents, with their keys. Postings hang on the rows of ``items``.
 KEYS = {"documents": ("doc_id",), "chunks": ("chunk_id",), "items": ("item_id",), "vectors": ("item_id",), "hashes": ("tenant_id", "hash"), "grants": ("doc_id", "user_id")}
 BUCKETS = 64
+#: How postings name their item: a number, and the segment whose write gave it. Both stay when rows are rewritten.
+NUMBER = ["origin", "no"]
 
 
 def alive(df: DataFrame, deleted: bool = False) -> DataFrame:
     return df.withColumn("deleted", F.lit(deleted))
 
 
+def numbered(chunks: DataFrame, origin: int) -> DataFrame:
+    """``chunks`` with a number of their own; it holds once they are written."""
+    return chunks.withColumn("origin", F.lit(origin)).withColumn("no", F.monotonically_increasing_id())
+
+
 def item_rows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, tenant_id, doc_id, dl of items; a text without terms is an item of length 0."""
-    return items.select(F.col(item).alias("item_id"), "tenant_id", "doc_id", F.size(lexical.terms(F.col(text))).cast("long").alias("dl"))
+    """item_id, tenant_id, doc_id, dl, origin, no of numbered items; a text without terms is an item of length 0."""
+    return items.select(F.col(item).alias("item_id"), "tenant_id", "doc_id", F.size(lexical.terms(F.col(text))).cast("long").alias("dl"), *NUMBER)
 
 
 def posting_rows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """term, item_id, tenant_id, tf, dl, bucket of items, dealt by bucket and sorted by term."""
-    post = lexical.postings(items, item, text).select("term", "item_id", "tenant_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    """term, origin, no, tenant_id, tf, dl, bucket of items, dealt by bucket and sorted by term. Items are named by number: their ids may be long, and
+    would be repeated with every term. Terms are counted inside the row, so that postings are shuffled once."""
+    rows = items if "no" in items.columns else numbered(items, 0)
+    rows = rows.select(*NUMBER, "tenant_id", lexical.counted(F.col(text)).alias("terms")).withColumn("dl", F.aggregate("terms", F.lit(0), lambda a, x: a + x["tf"]))
+    post = rows.select(*NUMBER, "tenant_id", "dl", F.explode("terms").alias("t")).select("t.term", *NUMBER, "tenant_id", "t.tf", "dl")
     return by_bucket(post.withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS)))
 
 
 def by_bucket(post: DataFrame) -> DataFrame:
-    return post.repartition(BUCKETS, "bucket").sortWithinPartitions("term")
+    return post.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", *NUMBER)  # the order of the writer too, which would sort again
 
 
 def vector_rows(chunks: DataFrame, source: Column, metadata: dict[str, Column] | None = None) -> DataFrame:
@@ -64,30 +74,32 @@ def live(spark: SparkSession, path: str, name: str, at: segments.State | None =
     return segments.newest(found, *KEYS[name])
 
 
-def live_postings(spark: SparkSession, path: str, at: segments.State | None = None, where: Column | None = None) -> DataFrame:
-    """Postings whose item's newest row was written with them; ``where`` is pushed to the scan."""
+def live_postings(spark: SparkSession, path: str, at: segments.State | None = None, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Postings of live items: those that carry the number of their item's newest row; ``where`` filters them before they are compared."""
     at = at or segments.state(spark, path)
     post = segments.rows(spark, path, "postings", at)
     if post is None:
         raise ValueError(f"{path}: nothing was ever written to postings")
-    post = post if where is None else post.where(where)
+    post = post if where is None else where(post)
     if len(at.segments["items"]) == 1:  # nothing can be outdated
         return post
-    own = segments.newest(segments.rows(spark, path, "items", at).select("item_id", "segment", "deleted"), "item_id")
-    return post.join(own.select("item_id", "segment").hint("merge"), ["item_id", "segment"], "left_semi")
+    return post.join(live(spark, path, "items", at).select(*NUMBER).hint("merge"), NUMBER, "left_semi")
 
 
 def bm25(queries: DataFrame, path: str, k: int = 10, k1: float = lexical.K1, b: float = lexical.B, by_tenant: bool = False, most_k: int = 100) -> DataFrame:
     """(query_id, rank, item_id, score) of ``queries`` (query_id, text[, tenant_id]) over the live items; of postings only the asked terms' buckets are read."""
     spark = queries.sparkSession
     at = segments.state(spark, path)
-    wanted = lexical.asked_terms(queries, by_tenant).withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS))
-    held = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    hits = live_postings(spark, path, at, F.col("bucket").isin(held)).join(sized(wanted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = live(spark, path, "items", at).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = hits.join(sized(wanted.drop("bucket")), [*["tenant_id"] * by_tenant, "term"]).join(df.hint("merge"), "term").crossJoin(F.broadcast(stats))  # one row
-    return lexical.scored(hits, min(k, most_k), k1, b)
+    wanted = lexical.asked_terms(queries, by_tenant)
+    asked = wanted.select("term").distinct().withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS))
+    held = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    few = sized(asked)
+    hits = live_postings(spark, path, at, lambda post: post.where(F.col("bucket").isin(held)).join(few, ["bucket", "term"], "left_semi"))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # no more rows than ``asked``
+    found = live(spark, path, "items", at)
+    stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hits = hits.select("term", *NUMBER, "tenant_id", "tf", "dl").repartition(*NUMBER).join(lexical.within(asked)[0](df), "term").crossJoin(F.broadcast(stats))  # one row
+    return lexical.scored_numbers(hits.join(sized(wanted), [*["tenant_id"] * by_tenant, "term"]), found, NUMBER, min(k, most_k), k1, b)
 
 
 def put_documents(spark: SparkSession, path: str, docs: DataFrame, within: Callable[[DataFrame], DataFrame] | None = None, embedded: Callable[[DataFrame], DataFrame] | None = None, more: dict[str, DataFrame] | None = None, size: int = 512, overlap: int = 128) -> int:
@@ -100,9 +112,9 @@ def put_documents(spark: SparkSession, path: str, docs: DataFrame, within: Calla
     at = segments.state(spark, path)
     new = {
         "documents": lambda done: docs,
-        "chunks": lambda done: chunk(done["documents"].where("not deleted"), size, overlap),
+        "chunks": lambda done: numbered(chunk(done["documents"].where("not deleted"), size, overlap), at.last + 1),
         "items": lambda done: item_rows(done["chunks"].where("not deleted"), "chunk_id"),
-        "vectors": lambda done: embedded(done["chunks"].where("not deleted").drop("deleted")),
+        "vectors": lambda done: embedded(done["chunks"].where("not deleted").drop("deleted", *NUMBER)),
     }
     if not embedded:
         del new["vectors"]
@@ -134,8 +146,8 @@ def delete_documents(path: str, requests: DataFrame) -> DataFrame:
             tables[name] = alive(dead, True).observe(counts[name], F.count(F.lit(1)).alias("n"))
     n_postings = 0
     if "postings" in at.schemas:
-        dead = live(spark, path, "items", at).join(gone, "doc_id", "left_semi").select("item_id")
-        n_postings = live_postings(spark, path, at).join(dead.hint("merge"), "item_id", "left_semi").count()
+        dead = live(spark, path, "items", at).join(gone, "doc_id", "left_semi").select(*NUMBER)  # live, and so are their postings
+        n_postings = segments.rows(spark, path, "postings", at).select(*NUMBER).join(sized(dead), NUMBER, "left_semi").count()
     write(spark, path, tables)
     return spark.createDataFrame([(name, int(o.get["n"])) for name, o in counts.items()] + [("postings", n_postings)], "table string, removed long")
 

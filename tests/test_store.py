@@ -119,3 +119,14 @@ def test_nothing_written(spark, tmp_path):
         store.live(spark, str(tmp_path), "chunks")
     put(spark, str(tmp_path), docs(spark, []))
     assert stored(spark, str(tmp_path)) == [] and store.live(spark, str(tmp_path), "documents").count() == 0
+
+
+def test_postings_do_not_repeat_chunk_ids(spark, tmp_path):
+    """Chunk ids of 64 characters stay out of postings, through upserts and compaction."""
+    path = str(tmp_path)
+    put(spark, path, docs(spark, range(4)))
+    put(spark, path, docs(spark, range(2, 6)))
+    store.compact(spark, path)
+    assert "item_id" not in store.live_postings(spark, path).columns
+    assert store.live_postings(spark, path).count() == store.posting_rows(store.chunk(docs(spark, range(6)), 20, 5), "chunk_id").count()
+    assert stored(spark, path) == fresh(spark, docs(spark, range(6)))
