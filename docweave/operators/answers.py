@@ -186,7 +186,7 @@ def pick_versions(requests: DataFrame, templates: DataFrame, default: str | None
     """``requests`` (query_id, name, version) with picked_version: the asked one (null if missing), else the default, else for A/B tests a
     stable hash of the query, else the one loaded last."""
     versions = templates.groupBy("name").agg(F.array_sort(F.collect_list("version")).alias("vs"), F.max_by("version", F.struct("loaded_at", "version")).alias("newest"))
-    rows = requests.join(versions.hint("merge"), "name", "left")
+    rows = requests.join(sized(versions), "name", "left")  # requests carry whole texts and have few names: a shuffle would deal them by these
     asked = F.get(F.filter("vs", lambda v: F.lower(v) == F.lower(F.col("version"))), F.lit(0))
     standard = F.get(F.filter("vs", lambda v: F.lower(v) == F.lower(F.lit(default))), F.lit(0)) if default else F.lit(None).cast("string")
     hashed = F.get(F.col("vs"), F.pmod(F.conv(F.substring(F.md5(F.col("query_id").cast("string")), 1, 8), 16, 10).cast("long"), F.size("vs")).cast("int")) if ab_test else F.lit(None).cast("string")

@@ -383,3 +383,12 @@ def test_terms_counted_in_the_row(spark):
     d = spark.createDataFrame([(1, "b a B c a b"), (2, ""), (3, None), (4, " - "), (5, "one")], "i long, text string")
     got = {r["i"]: {t["term"]: t["tf"] for t in r["t"]} for r in d.select("i", lexical.counted(F.col("text")).alias("t")).collect()}
     assert got == {1: {"a": 2, "b": 3, "c": 1}, 2: {}, 3: {}, 4: {}, 5: {"one": 1}}
+
+
+def test_requests_are_not_dealt_by_template(spark):
+    """Requests carry texts and have few names: they stay where they are."""
+    r = spark.createDataFrame([(i, "en", None) for i in range(20)], "query_id long, name string, version string")
+    t = spark.createDataFrame([("en", "v1", 1), ("en", "v2", 2)], "name string, version string, loaded_at long")
+    out = answers.pick_versions(r, t)
+    assert {x["picked_version"] for x in out.collect()} == {"v2"}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
