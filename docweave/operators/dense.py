@@ -12,6 +12,8 @@ from .lexical import PLACES, top
 METRICS = ("cosine", "euclid", "dot")
 #: Queries and items (about) that one task multiplies.
 BLOCK, PART = 2000, 20_000
+#: Scores that a task holds at once (about six arrays of 8 bytes each).
+CELLS = 1 << 19
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -29,6 +31,24 @@ def similarity(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0)
 
 
+def products(q: pa.Table, v: pa.Table, k: int, metric: str) -> list[pa.Table]:
+    """(query_id, item_id, score) of the first ``k`` items of each query; queries are taken in slices, so that no more than about CELLS scores are held."""
+    found, items = [], matrix(v["x"].combine_chunks())
+    step = max(1, min(256, CELLS // v.num_rows))
+    for lo in range(0, q.num_rows, step):
+        part = q.slice(lo, step)
+        raw = similarity(metric, matrix(part["x"].combine_chunks()), items)
+        s = np.round(raw if metric == "euclid" else -raw, PLACES)
+        n = min(k, s.shape[1])
+        edge = np.partition(s, n - 1, axis=1)[:, n - 1 : n]  # ties at the edge all stay
+        qi, xi = np.nonzero((s <= edge) & np.isfinite(s))
+        hits = pa.table({"q": qi, "query_id": part["query_id"].take(pa.array(qi)), "item_id": v["item_id"].take(pa.array(xi)), "s": s[qi, xi], "score": raw[qi, xi]})
+        hits = hits.sort_by([("q", "ascending"), ("s", "ascending"), ("item_id", "ascending")])
+        qs = np.asarray(hits["q"])
+        found.append(hits.select(["query_id", "item_id", "score"]).filter(pa.array(np.arange(len(qs)) - np.searchsorted(qs, qs) < k)))
+    return found
+
+
 def _dealt(rows: DataFrame, sizes: DataFrame, key: str, mine: str, others: str, order: bool) -> DataFrame:
     """``rows`` (t, ...) with the group (g, tg, b, p) of each task that needs them: once for each of the ``others`` parts, in their own of ``mine`` parts."""
     rows = rows.join(sizes, "t")
@@ -77,24 +97,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "co
             for size in np.unique(sizes[asks]):  # queries meet items of their own dimension
                 q, v = mine.filter(pa.array(asks & (sizes == size))).combine_chunks(), mine.filter(pa.array(~asks & (sizes == size))).combine_chunks()
                 if size and v.num_rows:
-                    found += products(q, v)
+                    found += products(q, v, k, metric)
         return pa.concat_tables(found) if found else table.schema.empty_table().select(["query_id", "item_id"]).append_column("score", pa.array([], pa.float64()))
 
-    def products(q: pa.Table, v: pa.Table) -> list[pa.Table]:
-        found = []
-        for lo in range(0, q.num_rows, 256):
-            part = q.slice(lo, 256)
-            raw = similarity(metric, matrix(part["x"].combine_chunks()), matrix(v["x"].combine_chunks()))
-            s = np.round(raw if ascending else -raw, PLACES)
-            n = min(k, s.shape[1])
-            edge = np.partition(s, n - 1, axis=1)[:, n - 1 : n]  # ties at the edge all stay
-            qi, xi = np.nonzero((s <= edge) & np.isfinite(s))
-            hits = pa.table({"q": qi, "query_id": part["query_id"].take(pa.array(qi)), "item_id": v["item_id"].take(pa.array(xi)), "s": s[qi, xi], "score": raw[qi, xi]})
-            hits = hits.sort_by([("q", "ascending"), ("s", "ascending"), ("item_id", "ascending")])
-            qs = np.asarray(hits["q"])
-            found.append(hits.select(["query_id", "item_id", "score"]).filter(pa.array(np.arange(len(qs)) - np.searchsorted(qs, qs) < k)))
-        return found
-
     out = dealt.groupBy("g", "tg", "b", "p").applyInArrow(run, f"query_id {q_kind.simpleString()}, item_id {kind.simpleString()}, score double")
     score = F.col("score") if places is None else F.round("score", places)
     return top(out, k, ascending=ascending).select("query_id", "rank", "item_id", score.alias("score"))

@@ -1,6 +1,7 @@
 """Vector search by tenant and by the inverted-list index."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.operators import dense, dense_index
@@ -60,3 +61,16 @@ def test_recall_of_the_query(spark, data):
 
 def test_index_of_nothing(spark):
     assert dense_index.build(spark.createDataFrame([], "item_id long, embedding array<float>")) is None
+
+
+def test_scores_of_a_full_block_are_held_in_slices(monkeypatch):
+    """A task of 2,000 queries and 20,000 items holds CELLS scores at once, not 256 times 20,000."""
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(300, 3)).astype(np.float32), rng.normal(size=(20_000, 3)).astype(np.float32)
+    rows = lambda name, x: pa.table({name: np.arange(len(x)), "x": pa.array(list(x), pa.list_(pa.float32()))})
+    cells, similarity = [], dense.similarity
+    monkeypatch.setattr(dense, "similarity", lambda m, a, b: cells.append(len(a) * len(b)) or similarity(m, a, b))
+    got = pa.concat_tables(dense.products(rows("query_id", q), rows("item_id", v), 5, "dot"))
+    assert max(cells) <= dense.CELLS and sum(cells) == 300 * 20_000
+    want = np.argsort(-(q.astype(float) @ v.astype(float).T), axis=1)[:, :5]
+    assert np.asarray(got["item_id"]).reshape(300, 5).tolist() == want.tolist()
