@@ -402,3 +402,15 @@ def test_requests_are_not_dealt_by_template(spark):
     out = answers.pick_versions(r, t)
     assert {x["picked_version"] for x in out.collect()} == {"v2"}
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_for_each_document(spark, tmp_path):
+    """Each document is a file of its own and a row of its own, with line ends, empty or without a text."""
+    from hashlib import md5
+
+    from docweave.plans import jobs as plans
+
+    texts = {1: "a\nb", 2: "", 3: None, 65: "\n", 129: "x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, plans.s1(spark, str(tmp_path)).collect()))
+    assert got == [(i, md5(((t or "") + "\n").encode()).hexdigest(), len(t or "") + 1) for i, t in texts.items()]
