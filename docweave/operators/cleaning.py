@@ -75,9 +75,14 @@ def clean(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     return out.withColumnRenamed("_text", "cleaned").withColumn("chars_before", before).withColumn("chars_after", F.length("cleaned")).withColumn("reduction", reduction)
 
 
-def split_rejects(docs: DataFrame, text: str = "text", cleaned: str = "cleaned") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a reason): blank extracted text, blank cleaned text."""
+def tag_rejects(docs: DataFrame, text: str = "text", cleaned: str = "cleaned") -> DataFrame:
+    """``docs`` with the reason of a rejection, null for accepted ones: blank extracted text, blank cleaned text."""
     reason = F.when(is_blank(F.col(text)), "no text extracted").when(is_blank(F.col(cleaned)), "no text after cleaning")
     # A generator: a filter on its output stays above it, where one on a plain column would be pushed down and repeat the whole cleaner.
-    tagged = docs.drop("reason").select("*", F.explode(F.array(reason)).alias("reason"))
+    return docs.drop("reason").select("*", F.explode(F.array(reason)).alias("reason"))
+
+
+def split_rejects(docs: DataFrame, text: str = "text", cleaned: str = "cleaned") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason) of :func:`tag_rejects`; each of the two cleans on its own."""
+    tagged = tag_rejects(docs, text, cleaned)
     return tagged.where("reason is null").drop("reason"), tagged.where("reason is not null")

@@ -185,8 +185,7 @@ CAST(length(raw) AS INTEGER) AS chars_before, CAST(length(cleaned) AS INTEGER) A
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without letters are blanked, to have rejects."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 9 == 0, "  \n").when(F.col("doc_id") % 9 == 1, "Signature").otherwise(F.col("text")).alias("text"))
-    accepted, rejected = cleaning.split_rejects(cleaning.clean(d, ENGLISH))
-    return accepted.select("doc_id", F.lit("accepted").alias("status")).unionAll(rejected.select("doc_id", F.col("reason").alias("status")))
+    return cleaning.tag_rejects(cleaning.clean(d, ENGLISH)).select("doc_id", F.coalesce("reason", F.lit("accepted")).alias("status"))
 
 
 T9 = (
