@@ -7,19 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.queries import TYPES
 from ..operators import evaluation as E
 from ..operators.lexical import B, K1, bm25_runs
-from ..session import scratch
+from ..session import written
 from .fixtures import ITEMS, QRELS, QUERIES as QS, bm25_sql, items, queries, relevance, table
 
 METRICS = ["p_at_5", "p_at_10", "r_at_5", "r_at_10", "rr"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, as a table in the shared folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_runs(queries(spark, sf_dir), items(spark, sf_dir), {"BM25": (K1, B), "Flat": (K1, 0.0)})
 
