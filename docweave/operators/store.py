@@ -1,18 +1,22 @@
 """The stored catalogue: documents, chunks, lexical index, vectors, hashes and grants as segmented tables (see ``sources.segments``).
 
 Everything is an upsert or a delete by key, written as one segment and seen at once. Lexical rows and vectors are keyed by chunk; they carry
-``doc_id``, so that the deletion of a document reaches every table. BM25 answers from the segments: postings count where
+``doc_id``, so that the deletion of a document reaches every table. Postings are lists: a row names a term, a block of item numbers, and the items of
+the block that hold the term, with counts. BM25 answers from the segments: postings count where
 their item's newest row carries the same number, and the number of items, their average length and the terms' counts are those of live items.
-:func:`compact` rewrites what is live as one base segment. A key must be written at most once in a segment.
+:func:`compact` rewrites what is live as base segments. A key must be written at most once in a segment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from ..functions.common import sized
+from ..functions.common import let, sized, within as few_rows
+from ..session import written
 from ..sources import segments
 from . import cleaning, lexical
 from .chunking import chunk
@@ -23,6 +27,10 @@ KEYS = {"documents": ("doc_id",), "chunks": ("chunk_id",), "items": ("item_id",)
 BUCKETS = 64
 #: How postings name their item: a number, and the segment whose write gave it. Both stay when rows are rewritten.
 NUMBER = ["origin", "no"]
+#: Items of a block: ``no`` is ``block`` * ITEMS + ``at``.
+ITEMS = 4096
+#: Made-up terms, which no text has: their lists hold the lengths of all items, and how many different terms these have.
+LENGTHS, DIFFERENT = "", " "
 
 
 def alive(df: DataFrame, deleted: bool = False) -> DataFrame:
@@ -34,22 +42,70 @@ def numbered(chunks: DataFrame, origin: int) -> DataFrame:
     return chunks.withColumn("origin", F.lit(origin)).withColumn("no", F.monotonically_increasing_id())
 
 
-def item_rows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, tenant_id, doc_id, dl, origin, no of numbered items; a text without terms is an item of length 0."""
-    return items.select(F.col(item).alias("item_id"), "tenant_id", "doc_id", F.size(lexical.terms(F.col(text))).cast("long").alias("dl"), *NUMBER)
+def item_rows(chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """item_id, tenant_id, doc_id, dl, n_terms, origin, no of numbered chunks, from their postings; a text without terms is an item of length 0."""
+    figures = lambda term, name: unpacked(post.where((F.col("bucket") == lexical.bucket(F.lit(term), BUCKETS)) & (F.col("term") == term))).select(*NUMBER, F.col("tf").alias(name))
+    found = figures(LENGTHS, "dl").join(figures(DIFFERENT, "n_terms").hint("merge"), NUMBER)
+    return chunks.select(F.col("chunk_id").alias("item_id"), "tenant_id", "doc_id", *NUMBER).join(found.hint("merge"), NUMBER).select("item_id", "tenant_id", "doc_id", "dl", "n_terms", *NUMBER)
 
 
-def posting_rows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """term, origin, no, tenant_id, tf, dl, bucket of items, dealt by bucket and sorted by term. Items are named by number: their ids may be long, and
-    would be repeated with every term. Terms are counted inside the row, so that postings are shuffled once."""
-    rows = items if "no" in items.columns else numbered(items, 0)
-    rows = rows.select(*NUMBER, "tenant_id", lexical.counted(F.col(text)).alias("terms")).withColumn("dl", F.aggregate("terms", F.lit(0), lambda a, x: a + x["tf"]))
-    post = rows.select(*NUMBER, "tenant_id", "dl", F.explode("terms").alias("t")).select("t.term", *NUMBER, "tenant_id", "t.tf", "dl")
-    return by_bucket(post.withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS)))
+def posting_lists(items: DataFrame, text: str = "text") -> DataFrame:
+    """term, origin, block, at, tfs, bucket of numbered items, dealt by bucket and sorted by term: of each term the items of a block that hold it, by their place there,
+    and how often they do. A batch of items is turned over at once, so that postings are neither rows nor shuffled one by one; the lists of a block may be in several rows."""
+    rows = items.select(*NUMBER, lexical.terms(F.col(text)).alias("ts")).mapInArrow(turner(), "term string, origin int, block long, at array<int>, tfs array<int>")
+    return by_bucket(rows.withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS)))
+
+
+def turner() -> Callable:
+    """A step from items (origin, no, ts) to lists, for tasks that need not have this module."""
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = len(batch), batch["ts"]
+            if not n:
+                continue
+            lengths = lists.value_lengths().to_numpy().astype(np.int64)
+            encoded = lists.flatten().dictionary_encode()
+            key, tf = np.unique(encoded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+            term, row = key // n, key % n
+            n_words = len(encoded.dictionary)
+            words = pa.concat_arrays([encoded.dictionary.cast(pa.string()), pa.array([LENGTHS, DIFFERENT], pa.string())])
+            term = np.concatenate([term, np.repeat([n_words, n_words + 1], n)])
+            tf = np.concatenate([tf, lengths, np.bincount(row, minlength=n)])
+            row = np.concatenate([row, np.arange(n), np.arange(n)])
+            origin, no = batch["origin"].to_numpy()[row], batch["no"].to_numpy()[row]
+            block = no // ITEMS
+            starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (origin[1:] != origin[:-1]) | (block[1:] != block[:-1])]))
+            ends = pa.array(np.append(starts, len(term)).astype(np.int32))
+            at, tfs = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (no % ITEMS, tf))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(term[starts])), pa.array(origin[starts].astype(np.int32)), pa.array(block[starts]), at, tfs], ["term", "origin", "block", "at", "tfs"])
+
+    return turned
 
 
 def by_bucket(post: DataFrame) -> DataFrame:
-    return post.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", *NUMBER)  # the order of the writer too, which would sort again
+    return in_order(post.repartition(BUCKETS, "bucket"))
+
+
+def in_order(post: DataFrame) -> DataFrame:
+    return post.sortWithinPartitions("bucket", "term", "origin", "block")  # the order of the writer too, which would sort again
+
+
+def unpacked(post: DataFrame) -> DataFrame:
+    """A row (term, origin, no, tf) for each posting of lists."""
+    one = post.select("term", "bucket", "origin", "block", F.explode(F.arrays_zip("at", "tfs")).alias("p"))
+    return one.select("term", "origin", (F.col("block") * ITEMS + F.col("p.at")).alias("no"), F.col("p.tfs").alias("tf"), "bucket")
+
+
+def posting_rows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(term, origin, no, tf, bucket) of items, numbered or not: a row for each posting."""
+    lists = posting_lists(items if "no" in items.columns else numbered(items, 0), text)
+    return unpacked(lists.where(~F.col("term").isin(LENGTHS, DIFFERENT)))
+
+
+def place() -> list[Column]:
+    """origin, block and at of an item's number."""
+    return [F.col("origin"), F.floor(F.col("no") / ITEMS).alias("block"), (F.col("no") % ITEMS).cast("int").alias("at")]
 
 
 def vector_rows(chunks: DataFrame, source: Column, metadata: dict[str, Column] | None = None) -> DataFrame:
@@ -61,9 +117,18 @@ def vector_rows(chunks: DataFrame, source: Column, metadata: dict[str, Column] |
     return chunks.select(F.col("chunk_id").alias("item_id"), "doc_id", "tenant_id", F.col("embedding").cast("array<float>").alias("embedding"), payload.alias("payload"))
 
 
-def write(spark: SparkSession, path: str, tables: dict, base: bool = False) -> int:
+def write(spark: SparkSession, path: str, tables: dict, base: bool = False, number: int | None = None) -> int:
     """Commit rows of the tables (with ``deleted``; postings without) as one segment."""
-    return segments.append(path, tables, spark, {"postings": "bucket"}, base)
+    return segments.append(path, tables, spark, {"postings": "bucket"}, base, number)
+
+
+def tombstones(dead: DataFrame, name: str, seen: Observation | None = None) -> DataFrame:
+    """Rows that delete those of a table: of what is not a key, no more than document, tenant and the number of terms. ``seen`` counts them, and postings."""
+    kept = [f.name for f in dead.schema if f.name in {*KEYS[name], "doc_id", "tenant_id", "n_terms"}]
+    few = dead.select(*kept)
+    if seen:
+        few = few.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("n_terms" if "n_terms" in kept else F.lit(0)).alias("postings"))
+    return alive(few.select(*[F.col(f.name) if f.name in kept else F.lit(None).cast(f.dataType).alias(f.name) for f in dead.schema]), True)
 
 
 def live(spark: SparkSession, path: str, name: str, at: segments.State | None = None) -> DataFrame:
@@ -74,23 +139,50 @@ def live(spark: SparkSession, path: str, name: str, at: segments.State | None =
     return segments.newest(found, *KEYS[name])
 
 
-def live_postings(spark: SparkSession, path: str, at: segments.State | None = None, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Postings of live items: those that carry the number of their item's newest row; ``where`` filters them before they are compared."""
-    at = at or segments.state(spark, path)
+def stored_lists(spark: SparkSession, path: str, at: segments.State) -> DataFrame:
     post = segments.rows(spark, path, "postings", at)
     if post is None:
         raise ValueError(f"{path}: nothing was ever written to postings")
-    post = post if where is None else where(post)
+    return post
+
+
+def live_lists(spark: SparkSession, path: str, at: segments.State) -> DataFrame:
+    """The stored lists without the items that are not live. Those of a block are 4,096 bits, broadcast where all blocks' are few, so that lists stay where they are."""
+    post = stored_lists(spark, path, at)
     if len(at.segments["items"]) == 1:  # nothing can be outdated
         return post
-    return post.join(live(spark, path, "items", at).select(*NUMBER).hint("merge"), NUMBER, "left_semi")
+    words = live(spark, path, "items", at).select(*place()).groupBy("origin", "block", F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("w"))
+    blocks = words.groupBy("origin", "block").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
+    blocks = blocks.select("origin", "block", F.transform(F.sequence(F.lit(0), F.lit(ITEMS // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("live"))
+    both = post.join(sized(written(blocks, "live")), ["origin", "block"])
+    pairs = F.filter(F.arrays_zip("at", "tfs"), lambda p: F.getbit(F.get(F.col("live"), F.shiftright(p["at"], 6)), p["at"].bitwiseAND(63)) == 1)
+    left = both.select("term", "origin", "block", pairs.alias("p"), "bucket", "segment").where(F.size("p") > 0)
+    return left.select("term", "origin", "block", F.col("p.at").alias("at"), F.col("p.tfs").alias("tfs"), "bucket", "segment")
+
+
+def live_postings(spark: SparkSession, path: str, at: segments.State | None = None, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, origin, no, tf, bucket, tenant_id, dl): a row for each posting of live items, those that carry the number of their item's newest row; ``where`` filters
+    lists before they are unpacked."""
+    at = at or segments.state(spark, path)
+    post = stored_lists(spark, path, at).where(~F.col("term").isin(LENGTHS, DIFFERENT))
+    return unpacked(post if where is None else where(post)).join(live(spark, path, "items", at).select(*NUMBER, "tenant_id", "dl").hint("merge"), NUMBER)
 
 
 def bm25(queries: DataFrame, path: str, k: int = 10, k1: float = lexical.K1, b: float = lexical.B, by_tenant: bool = False, most_k: int = 100) -> DataFrame:
-    """(query_id, rank, item_id, score) of ``queries`` (query_id, text[, tenant_id]) over the live items; of postings only the asked terms' buckets are read."""
+    """(query_id, rank, item_id, score) of ``queries`` (query_id, text[, tenant_id]) over the live items; of postings only the asked terms' buckets are read.
+
+    Without tenants, and if the queries' terms are few, a task takes a block of items with their lists and gives each item's asked terms; these rows are
+    written once and ranked as :func:`lexical.bm25_runs` does, so that postings are not rows. Otherwise they are.
+    """
     spark = queries.sparkSession
     at = segments.state(spark, path)
     wanted = lexical.asked_terms(queries, by_tenant)
+    if not by_tenant and few_rows(wanted)[1]:
+        asked = wanted.toArrow().combine_chunks()
+        words = asked["term"].unique()
+        with segments.cleaned(spark):
+            found = written(asked_items(spark, path, at, words), "terms")
+        return lexical.ranked(found, asked, words, dict(wanted.dtypes)["query_id"], {"": (float(k1), float(b))}, min(k, most_k)).drop("strategy")
     asked = wanted.select("term").distinct().withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS))
     held = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS numbers
     few = sized(asked)
@@ -98,10 +190,32 @@ def bm25(queries: DataFrame, path: str, k: int = 10, k1: float = lexical.K1, b:
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # no more rows than ``asked``
     found = live(spark, path, "items", at)
     stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = hits.select("term", *NUMBER, "tenant_id", "tf", "dl").repartition(*NUMBER).join(lexical.within(asked)[0](df), "term").crossJoin(F.broadcast(stats))  # one row
+    hits = hits.select("term", *NUMBER, "tenant_id", "tf", "dl").join(lexical.within(asked)[0](df), "term").crossJoin(F.broadcast(stats))  # one row
     return lexical.scored_numbers(hits.join(sized(wanted), [*["tenant_id"] * by_tenant, "term"]), found, NUMBER, min(k, most_k), k1, b)
 
 
+def asked_items(spark: SparkSession, path: str, at: segments.State, words: pa.Array) -> DataFrame:
+    """(item_id, dl, terms, tfs) of live items, as :func:`lexical.counted_terms` gives them, from the lists of ``words``."""
+    asked = spark.createDataFrame(pa.table({"term": words.cast(pa.string()), "t": pa.array(range(len(words)), pa.int32())})).withColumn("bucket", lexical.bucket(F.col("term"), BUCKETS))
+    held = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    post = stored_lists(spark, path, at).where(F.col("bucket").isin(held)).join(F.broadcast(asked), ["bucket", "term"]).select("origin", "block", "t", "at", "tfs")
+    found = live(spark, path, "items", at).select(*place(), "item_id", "dl")
+
+    def by_item(items: pa.Table, post: pa.Table) -> pa.Table:
+        lists = post["at"].combine_chunks()
+        n, places = len(items), np.full(ITEMS, -1, np.int16)
+        places[items["at"].to_numpy()] = np.arange(n)
+        row = places[lists.flatten().to_numpy()]
+        order = np.argsort(row, kind="stable")[(row < 0).sum() :]  # what is not live comes first
+        starts = pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32))
+        t = np.repeat(post["t"].to_numpy(), lists.value_lengths().to_numpy())[order]
+        tfs = post["tfs"].combine_chunks().flatten().to_numpy()[order]
+        arrays = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (t, tfs)]
+        return pa.table({"item_id": items["item_id"], "dl": items["dl"], "terms": arrays[0], "tfs": arrays[1]})
+
+    return found.groupBy("origin", "block").cogroup(post.groupBy("origin", "block")).applyInArrow(by_item, f"item_id {dict(found.dtypes)['item_id']}, dl int, terms array<int>, tfs array<int>")
+
+
 def put_documents(spark: SparkSession, path: str, docs: DataFrame, within: Callable[[DataFrame], DataFrame] | None = None, embedded: Callable[[DataFrame], DataFrame] | None = None, more: dict[str, DataFrame] | None = None, size: int = 512, overlap: int = 128) -> int:
     """Upsert documents (tenant_id, doc_id, text, ...) with their chunks, lexical rows and, if ``embedded`` makes :func:`vector_rows` of
     chunks, vectors, as one segment; ``more``: rows of hashes and grants that come with them.
@@ -113,7 +227,8 @@ def put_documents(spark: SparkSession, path: str, docs: DataFrame, within: Calla
     new = {
         "documents": lambda done: docs,
         "chunks": lambda done: numbered(chunk(done["documents"].where("not deleted"), size, overlap), at.last + 1),
-        "items": lambda done: item_rows(done["chunks"].where("not deleted"), "chunk_id"),
+        "postings": lambda done: posting_lists(done["chunks"].where("not deleted")),
+        "items": lambda done: item_rows(done["chunks"].where("not deleted"), done["postings"]),
         "vectors": lambda done: embedded(done["chunks"].where("not deleted").drop("deleted", *NUMBER)),
     }
     if not embedded:
@@ -122,13 +237,13 @@ def put_documents(spark: SparkSession, path: str, docs: DataFrame, within: Calla
     def outdated(name: str, done: dict[str, DataFrame]) -> DataFrame:
         old = live(spark, path, name, at).drop("segment")
         old = within(old) if within else old.join(sized(done["documents"].select("doc_id")), "doc_id", "left_semi")
-        return alive(old.join(done[name].select(*KEYS[name]).hint("merge"), list(KEYS[name]), "left_anti"), True)
+        return tombstones(old.join(done[name].select(*KEYS[name]).hint("merge"), list(KEYS[name]), "left_anti"), name)
 
     tables: dict = {}
     for name, make in new.items():
-        fresh = lambda done, make=make: alive(make(done))
-        tables[name] = (fresh, lambda done, name=name: outdated(name, done)) if name in at.schemas else fresh
-    tables["postings"] = lambda done: posting_rows(done["chunks"].where("not deleted"), "chunk_id")
+        fresh = make if name == "postings" else lambda done, make=make: alive(make(done))
+        replaces = name in KEYS and name in at.schemas and (within or name != "documents")  # documents that come again replace themselves
+        tables[name] = (fresh, lambda done, name=name: outdated(name, done)) if replaces else fresh
     return write(spark, path, tables | {name: alive(df) for name, df in (more or {}).items()})
 
 
@@ -143,22 +258,28 @@ def delete_documents(path: str, requests: DataFrame) -> DataFrame:
         if name in at.schemas:
             counts[name] = Observation(f"removed {name}")
             dead = live(spark, path, name, at).join(gone, "doc_id", "left_semi").drop("segment")
-            tables[name] = alive(dead, True).observe(counts[name], F.count(F.lit(1)).alias("n"))
-    n_postings = 0
-    if "postings" in at.schemas:
-        dead = live(spark, path, "items", at).join(gone, "doc_id", "left_semi").select(*NUMBER)  # live, and so are their postings
-        n_postings = segments.rows(spark, path, "postings", at).select(*NUMBER).join(sized(dead), NUMBER, "left_semi").count()
+            tables[name] = tombstones(dead, name, counts[name])
     write(spark, path, tables)
-    return spark.createDataFrame([(name, int(o.get["n"])) for name, o in counts.items()] + [("postings", n_postings)], "table string, removed long")
+    removed = [(name, int(o.get["n"])) for name, o in counts.items()]
+    postings = int(counts["items"].get["postings"] or 0) if "items" in counts else 0
+    return spark.createDataFrame([*removed, ("postings", postings)], "table string, removed long")
 
 
 def compact(spark: SparkSession, path: str, drop: bool = True) -> int:
-    """Rewrite the live rows of all tables as one base segment, and remove what it replaces."""
+    """Rewrite the live rows of all tables as base segments of one number, and remove what they replace. Tables go one after another, so that no more than
+    one is there twice; postings go before the items that say which of them are live."""
     at = segments.state(spark, path)
-    tables = {name: alive(live(spark, path, name, at).drop("segment")) for name in KEYS if name in at.schemas}
+    number = at.last + 1
     if "postings" in at.schemas:
-        tables["postings"] = by_bucket(live_postings(spark, path, at).drop("segment"))
-    number = write(spark, path, tables, base=True)
+        post = live_lists(spark, path, at).drop("segment")
+        # Lists of one segment are in order already, by buckets.
+        write(spark, path, {"postings": in_order(post) if len(at.segments["postings"]) == 1 else by_bucket(post)}, True, number)
+    for name in KEYS:
+        if drop:
+            segments.drop_old(spark, path)
+        if name in at.schemas:
+            rows = segments.settled(segments.rows(spark, path, name, at), *KEYS[name]).drop("segment")
+            write(spark, path, {name: alive(rows)}, True, number)
     if drop:
         segments.drop_old(spark, path)
     return number

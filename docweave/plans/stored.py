@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.common import spread
 from ..operators import intake, reindex, store
-from ..session import scratch
+from ..session import scratch, written
 from . import text as T
 from .fixtures import CHUNKS, QUERIES as QS, bm25_sql, documents, grants, queries, table
 
@@ -64,8 +64,8 @@ def m4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored BM25 after the delete, from tombstones and once they are compacted."""
     path = filled(spark, sf_dir, "delete-search")
     store.delete_documents(path, toxic(spark, sf_dir))
-    before = store.bm25(queries(spark, sf_dir), path).withColumn("state", F.lit("deleted"))
-    store.compact(spark, path, drop=False)  # ``before`` still reads the old segments
+    before = written(store.bm25(queries(spark, sf_dir), path).withColumn("state", F.lit("deleted")), "found")  # before the old segments go
+    store.compact(spark, path)
     return before.unionAll(store.bm25(queries(spark, sf_dir), path).withColumn("state", F.lit("compacted")))
 
 
