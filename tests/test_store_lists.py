@@ -1,7 +1,10 @@
-"""Postings as lists by blocks of items, compaction table by table, and what stays where it is."""
+"""Postings as pages by blocks of items, compaction table by table, and what stays where it is."""
 
 import os
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,10 +24,10 @@ def blocks(monkeypatch):
     monkeypatch.setattr(store, "ITEMS", 64)
 
 
-def test_a_row_is_a_list(spark, tmp_path, blocks):
+def test_postings_are_pages(spark, tmp_path, blocks):
     path, rows = str(tmp_path), docs(spark, range(300)).coalesce(1).withColumn("text", F.when(F.col("doc_id") % 50 == 7, "... -- !").otherwise(F.concat("text", F.lit(" Żółw żółw "), "doc_id")))
     put(spark, path, rows)
-    lists = segments.rows(spark, path, "postings").where(~F.col("term").isin(store.LENGTHS, store.DIFFERENT))
+    lists = segments.rows(spark, path, "postings")
     items, post = store.live(spark, path, "items"), store.live_postings(spark, path)
     assert items.count() > 5 * 64 and lists.count() < post.count() / 3  # it was a row for each posting
     chunks = store.live(spark, path, "chunks")
@@ -34,20 +37,20 @@ def test_a_row_is_a_list(spark, tmp_path, blocks):
     assert stored(spark, path) == fresh(spark, rows)
 
 
-def test_dead_items_leave_the_lists(spark, tmp_path, blocks):
+def test_dead_items_leave_the_pages(spark, tmp_path, blocks):
     path = str(tmp_path)
     put(spark, path, docs(spark, range(200)).coalesce(1))
     put(spark, path, docs(spark, range(150, 260), n=30).coalesce(2))
     store.delete_documents(path, spark.createDataFrame([(i,) for i in range(0, 260, 3)], "doc_id long"))
     now = docs(spark, range(150)).unionAll(docs(spark, range(150, 260), n=30)).where("doc_id % 3 <> 0")
     held = lambda df: sorted((r["term"], r["origin"], r["no"], r["tf"]) for r in df.select("term", "origin", "no", "tf").collect())
-    at, made_up = segments.state(spark, path), F.col("term").isin(store.LENGTHS, store.DIFFERENT)
+    at = segments.state(spark, path)
     left = held(store.live_postings(spark, path))
-    assert left == held(store.unpacked(store.live_lists(spark, path, at).where(~made_up)))
+    assert left == held(store.unpacked(store.live_pages(spark, path, at).where(F.col("bucket") < store.BUCKETS)))
     for by_tenant in (False, True):
         assert stored(spark, path, by_tenant=by_tenant) == fresh(spark, now, by_tenant=by_tenant) != []
     store.compact(spark, path)
-    assert left == held(store.unpacked(segments.rows(spark, path, "postings").where(~made_up))) and stored(spark, path) == fresh(spark, now)
+    assert left == held(store.unpacked(segments.rows(spark, path, "postings").where(F.col("bucket") < store.BUCKETS))) and stored(spark, path) == fresh(spark, now)
 
 
 def test_many_asked_terms_give_the_same(spark, tmp_path, monkeypatch):
@@ -117,3 +120,26 @@ def test_tombstones_hold_no_texts(spark, tmp_path):
     store.delete_documents(path, spark.createDataFrame([(3,), (4,)], "doc_id long"))
     for name, column in (("documents", "text"), ("chunks", "text"), ("vectors", "payload")):
         assert segments.rows(spark, path, name).where("deleted").agg(F.count(F.lit(1)), F.count(column)).first()[1] == 0
+
+
+def test_plain_texts_are_cut_as_spark_does(spark):
+    rng = random.Random(3)
+    signs = [chr(c) for c in range(lexical.PLAIN) if c != 0x130]
+    rows = ["", "_", "a", *signs, *("".join(rng.choice(signs if i % 2 else "aB \n_9é.") for _ in range(rng.randint(0, 60))) for i in range(1500))]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    want = [r["ts"] for r in df.select(lexical.terms(F.col("text")).alias("ts")).collect()]
+    lengths, found = lexical.cutter()(pa.array(rows))
+    found, ends = found.to_pylist(), np.append(0, np.cumsum(lengths))
+    assert [found[ends[i] : ends[i + 1]] for i in range(len(rows))] == want
+    odd = ["İ", "aɐ", "ẞ", "Σ", "\U0001f422", "x\n中"]
+    assert spark.createDataFrame([(t,) for t in odd], "text string").where(F.rlike("text", F.lit(lexical.NOT_PLAIN))).count() == len(odd)
+    assert df.where(F.rlike("text", F.lit(lexical.NOT_PLAIN))).count() == 0
+
+
+def test_texts_that_are_not_plain(spark, tmp_path):
+    ends = ["İstanbul ΣΑΣ σας", "中文 x", "plain Żółw", "\U0001f422 \U00010428x ẞ"]
+    rows = docs(spark, range(24)).withColumn("text", F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, ends)), (F.col("doc_id") % 4 + 1).cast("int"))))
+    put(spark, str(tmp_path), rows)
+    post, items = store.live_postings(spark, str(tmp_path)), store.live(spark, str(tmp_path), "items")
+    got = post.join(items.select("item_id", *store.NUMBER), store.NUMBER).select("item_id", "term", "tf")
+    assert sorted(map(tuple, got.collect())) == brute(store.live(spark, str(tmp_path), "chunks"))
