@@ -32,7 +32,7 @@ BUCKETS = 64
 NUMBER = ["origin", "no"]
 #: Items of a block: ``no`` is ``block`` * ITEMS + ``at``.
 ITEMS = 4096
-PAGE = "bucket int, origin int, block long, terms array<string>, sizes array<int>, at array<int>, tfs array<int>"
+PAGE = "bucket int, origin int, block long, terms array<string>, sizes array<int>, at array<short>, tfs array<int>"
 #: Made-up terms, which no text has, in a bucket of their own: their lists hold the lengths of all items, and how many different terms these have.
 LENGTHS, DIFFERENT = "", " "
 
@@ -68,7 +68,7 @@ def posting_pages(items: DataFrame, text: str = "text") -> DataFrame:
 def page_arrays(terms: pa.Array, sizes: np.ndarray, at: np.ndarray, tfs: np.ndarray, first: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
     """Columns of pages: ``first`` are where their terms begin and end, ``starts`` where their items do."""
     lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x)
-    return [lists(first, terms), lists(first, pa.array(sizes.astype(np.int32))), *[lists(starts, pa.array(x.astype(np.int32))) for x in (at, tfs)]]
+    return [lists(first, terms), lists(first, pa.array(sizes.astype(np.int32))), lists(starts, pa.array(at.astype(np.int16))), lists(starts, pa.array(tfs.astype(np.int32)))]
 
 
 def turner() -> Callable:
@@ -131,7 +131,7 @@ def picker(words: pa.Array) -> Callable:
     """A step from pages to (origin, block, t, sizes, at, tfs): the lists of ``words``, by their numbers there."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x.astype(np.int32)))
+        lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x))
         for batch in batches:
             sizes, at, tfs = (batch[c].flatten().to_numpy() for c in ("sizes", "at", "tfs"))
             t = pc.index_in(batch["terms"].flatten(), value_set=words).fill_null(-1).to_numpy()
@@ -270,7 +270,7 @@ def asked_items(spark: SparkSession, path: str, at: segments.State, words: pa.Ar
     """(item_id, dl, terms, tfs) of live items, as :func:`lexical.counted_terms` gives them, from the lists of ``words``."""
     held = sorted({crc32(w) % BUCKETS for w in words.cast(pa.binary()).to_pylist()})
     pages = stored_pages(spark, path, at).where(F.col("bucket").isin(held)).select("origin", "block", "terms", "sizes", "at", "tfs")
-    post = pages.mapInArrow(picker(words.cast(pa.string())), "origin int, block long, t array<int>, sizes array<int>, at array<int>, tfs array<int>")
+    post = pages.mapInArrow(picker(words.cast(pa.string())), "origin int, block long, t array<int>, sizes array<int>, at array<short>, tfs array<int>")
     found = live(spark, path, "items", at).select(*place(), "item_id", "dl")
 
     def by_item(items: pa.Table, post: pa.Table) -> pa.Table:
